@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import warc
+from tessera.llm import packing, warc
 
 
 def queries() -> dict:
-    return {"op10_warc": warc.op10_warc}
+    return {"op5_packing": packing.op5_packing, "op10_warc": warc.op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
