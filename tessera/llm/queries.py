@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import langid, packing, warc
+from tessera.llm import langid, packing, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op5_packing": packing.op5_packing, "op7_langid": langid.op7_langid, "op10_warc": warc.op10_warc}
+    return {"op5_packing": packing.op5_packing, "op7_langid": langid.op7_langid, "op8_toxicity": toxicity.op8_toxicity, "op10_warc": warc.op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
