@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import langid, packing, toxicity, warc
+from tessera.llm import langid, linededup, mixing, packing, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op5_packing": packing.op5_packing, "op7_langid": langid.op7_langid, "op8_toxicity": toxicity.op8_toxicity, "op10_warc": warc.op10_warc}
+    return {"op4_mixing": mixing.op4_mixing, "op5_packing": packing.op5_packing, "op6_linededup": linededup.op6_linededup, "op7_langid": langid.op7_langid, "op8_toxicity": toxicity.op8_toxicity, "op10_warc": warc.op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": warc.ORACLE_SQL}
+    return {"op6_linededup": linededup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
