@@ -77,3 +77,21 @@ def train_row(doc_id) -> object:
 
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def key_groups(batches, key: int = 0):
+    """(key, list of record batches) for runs of equal keys in batches that come sorted by that column."""
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(keys)), strict=True):
+            if held and keys[lo] != now:
+                yield now, held
+                held = []
+            now = keys[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield now, held
