@@ -79,6 +79,14 @@ def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values in an array (none in an empty one)."""
+    if not len(keys):
+        return []
+    cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True))
+
+
 def key_groups(batches, key: int = 0):
     """(key, list of record batches) for runs of equal keys in batches that come sorted by that column."""
     held, now = [], None

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, keep_ids, key_groups, materialize, mix64, release
+from tessera.llm.common import U64, keep_ids, key_groups, materialize, mix64, release, runs
 from tessera.llm.deepshallow import sort_strings
 from tessera.llm.shingles import _BASE, _INVERSE, _LETTER, CHUNK, _power
 
@@ -149,8 +149,7 @@ def anchor_groups(docs: DataFrame, buckets: int) -> DataFrame:
         b = ((h >> U64(40)) % U64(buckets)).astype(np.int64)
         order = np.lexsort((pos, doc, b))
         b, h, c, doc, pos = b[order], h[order], c[order], doc[order], pos[order]
-        cut = np.flatnonzero(np.diff(b, prepend=-1))
-        for lo, hi in zip(cut, np.append(cut[1:], len(b)), strict=True):
+        for lo, hi in runs(b):
             s = slice(lo, hi)
             docs_, places = (zlib.compress(np.diff(x[s], prepend=0).astype("<i8").tobytes(), 1) for x in (doc, pos))
             rows.append((0, int(b[lo]), _narrow(h[s], _WIDTH) + _narrow(c[s], _WIDTH), docs_, places))
@@ -187,8 +186,7 @@ def anchor_groups(docs: DataFrame, buckets: int) -> DataFrame:
 def _by_doc(doc: np.ndarray, pos: np.ndarray):
     order = np.argsort(doc, kind="stable")
     doc, pos = doc[order], pos[order]
-    cut = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)) if len(doc) else np.empty(0, np.int64)
-    for lo, hi in zip(cut, np.append(cut[1:], len(doc)), strict=True):
+    for lo, hi in runs(doc):
         yield doc[lo], pos[lo:hi]
 
 

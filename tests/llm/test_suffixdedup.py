@@ -76,5 +76,6 @@ def test_sample_table(spark):
 
 def test_empty_nulls_and_repeats(spark):
     assert result(spark, []) == []
+    assert result(spark, [(1, "no repeat " * 3 + "at all in this text, which is long enough")]) == plain([(1, "no repeat " * 3 + "at all in this text, which is long enough")])
     rows = [(1, "q" * 80), (1, "q" * 80), (2, "b" + "q" * 80), (None, "q" * 80)]
     assert [r[:4] for r in result(spark, rows)] == [(1, 80, 0, 0), (2, 81, 80, 1)]
