@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
-from tessera.llm.tokens import word_ids
+from tessera.llm.tokens import run_ids
 
 MAX_TOKENS, END_ID = 4096, 1
 #: Nodes that the search may visit before it keeps its incumbent.
@@ -43,15 +43,17 @@ def pieces(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, end_id: int
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches):
-        ids_of = word_ids(path)
+        end = np.array([end_id], "<u4")
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(ids_of.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), max_tokens)):
-                    part = ids[at : at + max_tokens]
-                    rows.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes())))
-            if rows:
+            ids_of = run_ids(path)
+            for lo in range(0, batch.num_rows, 2000):
+                rows = []
+                texts = [t or "" for t in batch.column(1)[lo : lo + 2000].to_pylist()]
+                for doc_id, ids in zip(batch.column(0)[lo : lo + 2000].to_pylist(), ids_of.encode_many(texts), strict=True):
+                    ids = np.concatenate([ids, end])
+                    for k, at in enumerate(range(0, len(ids), max_tokens)):
+                        part = ids[at : at + max_tokens]
+                        rows.append((doc_id, k, at, len(part), zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)

@@ -1,75 +1,101 @@
-"""Token ids of whole texts by a public tokenizer, with a bounded cache of words in each Python worker."""
+"""Token ids of whole texts by a public tokenizer, with a bounded cache in each Python worker."""
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
-#: Words (split at white space) whose ids a worker keeps; the cache starts anew when it is full.
-CACHE_WORDS = 500_000
-#: Texts with these are encoded in one piece: special tokens' marks, and characters that only str.split takes for white space.
-_WHOLE = re.compile("[\x1c-\x1f]|<\\|")
-_workers: dict[str, WordIds] = {}
+from tessera.llm.common import U64, mix64
+from tessera.llm.shingles import _BASE, _INVERSE, _LETTER, CHUNK, _power
+
+#: Runs (of letters, or of other visible characters) whose ids a worker keeps, about 40 bytes each; a full cache starts anew.
+CACHE_RUNS = 1_200_000
+#: Texts with these are encoded one by one: special tokens' marks, contractions, and characters that only some take for white space.
+_WHOLE = ("'", "<|", "\x1c", "\x1d", "\x1e", "\x1f")
+_SPACE, _LETTERS, _OTHER = 0, 1, 2
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32, 0x85, 0xA0]] = _SPACE
+_CLASS[[c for c in range(256) if chr(c).isalpha()]] = _LETTERS
+_workers: dict[str, RunIds] = {}
 
 
-class WordIds(dict):
-    """word -> its place in the flat array of ids. The tokenizer drops white space and never joins over it, so a text's ids are its words' ids in a row."""
+class RunIds:
+    """Ids of runs, found by their hash.
+
+    In Latin-1 texts without apostrophes the tokenizer drops white space and always divides between
+    letters and others, so a text's ids are its runs' ids in a row. Other texts go to the tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known, self.start, self.size = np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.starts, self.sizes = [], []
 
-    def __missing__(self, word: str) -> int:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+    def _learn(self, hashes: np.ndarray, runs: list[str]) -> None:
+        made = self.tokenizer.encode(runs, is_pretokenized=True, add_special_tokens=False)
+        ids, size = np.array(made.ids, np.uint32), np.bincount(np.array(made.word_ids, np.int64), minlength=len(runs))
         if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(self.flat), 2 * len(ids)), np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self[word] = at = len(self.starts)
-        self.starts.append(self.used)
-        self.sizes.append(len(ids))
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
         self.used += len(ids)
-        return at
 
-    def encode(self, text: str) -> np.ndarray:
-        if _WHOLE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        if len(self) > CACHE_WORDS:
-            self.clear()
-            self.flat, self.used, self.starts, self.sizes = np.empty(1 << 20, np.uint32), 0, [], []
-            self.__dict__.pop("frozen", None)
-        at = np.fromiter(map(self.__getitem__, text.split()), np.int64)
-        if not len(at):
-            return np.empty(0, np.uint32)
-        starts, sizes = self._arrays()
-        s, n = starts[at], sizes[at]
-        ends = np.cumsum(n)
-        return self.flat[np.repeat(s - (ends - n), n) + np.arange(ends[-1])]
+    def _chunk(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > CACHE_RUNS:
+            self._empty()
+        raw = (" ".join(texts) + " ").lower().encode("latin-1")
+        data = np.frombuffer(raw, np.uint8)
+        cls = _CLASS[data]
+        change = np.flatnonzero(np.diff(cls, prepend=np.uint8(_SPACE)))
+        ends = np.append(change[1:], len(data))
+        shown = cls[change] != _SPACE
+        starts, ends = change[shown], ends[shown]
+        total = np.zeros(len(data) + 1, U64)
+        np.cumsum(_LETTER[data] * _power(_BASE, len(data)), out=total[1:])
+        h = mix64((total[ends] - total[starts]) * _power(_INVERSE, len(data))[starts] + (ends - starts).astype(U64))
+        unique, first, where = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, unique)
+        new = np.ones(len(unique), bool)
+        if len(self.known):
+            new = self.known[np.minimum(at, len(self.known) - 1)] != unique
+        if new.any():
+            self._learn(unique[new], [raw[starts[k] : ends[k]].decode("latin-1") for k in first[new]])
+            at = np.searchsorted(self.known, unique)
+        s, n = self.start[at][where], self.size[at][where]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(s - upto[:-1], n) + np.arange(upto[-1])]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        bounds = upto[np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))]
+        return [ids[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
 
-    def _arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        """starts and sizes as arrays; what came since the last call is appended."""
-        known = self.__dict__.get("frozen")
-        if known is None or known[2] != len(self.starts):
-            done = known[2] if known else 0
-            room = len(known[0]) if known else 0
-            if len(self.starts) > room:
-                grown = [np.empty(max(1 << 16, 2 * len(self.starts)), np.int64) for _ in range(2)]
-                if known:
-                    for g, k in zip(grown, known, strict=False):
-                        g[:done] = k[:done]
-                known = (*grown, done)
-            known[0][done : len(self.starts)] = self.starts[done:]
-            known[1][done : len(self.sizes)] = self.sizes[done:]
-            self.frozen = (known[0], known[1], len(self.starts))
-        return self.frozen[0], self.frozen[1]
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        part, size = [], 0
+        for k, text in enumerate(texts):
+            if any(mark in text for mark in _WHOLE) or not (text.isascii() or max(text) <= "\xff"):
+                out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                continue
+            part.append(k)
+            size += len(text)
+            if size > CHUNK:
+                for i, ids in zip(part, self._chunk([texts[i] for i in part]), strict=True):
+                    out[i] = ids
+                part, size = [], 0
+        if part:
+            for i, ids in zip(part, self._chunk([texts[i] for i in part]), strict=True):
+                out[i] = ids
+        return out
 
 
-def word_ids(path: str) -> WordIds:
+def run_ids(path: str) -> RunIds:
     """This worker's cache for the tokenizer file at path."""
     if path not in _workers:
-        _workers[path] = WordIds(path)
+        _workers[path] = RunIds(path)
     return _workers[path]

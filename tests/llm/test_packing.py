@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import packing
-from tessera.llm.tokens import WordIds
+from tessera.llm.tokens import RunIds
 
 
 def brute(sizes, cap):
@@ -61,16 +61,18 @@ def test_large_histogram_is_near_the_bound():
 
 
 def test_word_cache_equals_tokenizer():
-    ids = WordIds(packing.tokenizer_path())
+    ids = RunIds(packing.tokenizer_path())
     texts = ["", " ", "Don't STOP, 12,5 €!", "a\x1cb", "x <|endoftext|> y", "é́ Straße ſ\n\t\x0b z", "東京 tower 🙂", "e ́x"]
-    for t in texts * 2:
-        assert ids.encode(t).tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids, t
+    texts += ["ÀÉß DÉJÀ vu×2÷3 ²x³ ªº µm", "a\xa0b\x85c\x0bd", "x" * 3000 + " 42%%% ###!", "mañana.*** ¿Qué?"]
+    for _ in range(2):
+        for t, got in zip(texts, ids.encode_many(texts), strict=True):
+            assert got.tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 def test_pack_documents(spark):
     rows = [(i, "word " * n, "x") for i, n in enumerate([0, 1, 5, 9000, 4095, 4096, 3, 3, 3])] + [(20, None, "x"), (3, "word " * 9000, "x")]
     out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, sequence_id string")).collect()
-    one = np.array(WordIds(packing.tokenizer_path()).encode("word").tolist() + [1], "<u4")
+    one = np.array(RunIds(packing.tokenizer_path()).encode_many(["word"])[0].tolist() + [1], "<u4")
     assert [r.ids_crc32 for r in out if r.doc_id == 1] == [zlib.crc32(one.tobytes())]
     seqs = {}
     for r in out:
@@ -84,3 +86,12 @@ def test_pack_documents(spark):
     assert len(out) == 9 + 2 + 1 + 1 + 3 and sorted(r.length for r in out if r.doc_id == 5) == [1, 4096]
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert list(itertools.chain(r.doc_id for r in out if r.length == 1)).count(20) == 1
+
+
+def test_word_cache_on_documents():
+    import pyarrow.parquet as pq
+
+    ids = RunIds(packing.tokenizer_path())
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()[::3]
+    for t, got in zip(texts, ids.encode_many(texts), strict=True):
+        assert got.tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids
