@@ -241,7 +241,6 @@ score_query(
     "B7_time_score", lambda: scoring.time_score(F.col("date_issued_ts"), F.col("is_superseded"), F.col("effective_to_ts"), NOW),
     f"case when date_issued_ts is null then 0 else least(1, greatest(-1, 1.0 / (1.0 + log10(greatest(1.0, cast({NOW} - date_issued_ts as double) / 86400))) - case when is_superseded then 0.9 else 0 end - case when effective_to_ts < {NOW} then 0.7 else 0 end)) end",
 )
-_types = F.split("relation_list", ",")
 score_query("B8_relation_bonus", lambda: scoring.relation_bonus(F.split("relation_list", ",")), f"least(0.9, greatest(-1, list_sum(list_transform(list_distinct(string_split(relation_list, ',')), lambda t: {_case('t', scoring.RELATION_WEIGHTS, 0.0)}))))")
 score_query("B9_section_boost", lambda: scoring.section_boost(F.col("section_type")), _case("lower(coalesce(section_type, ''))", scoring.SECTION_BOOSTS, 1.0))
 score_query("B23_recency_steps", lambda: scoring.recency_steps(F.col("year")), "case when 2024 - year <= 1 then 1.0 when 2024 - year <= 3 then 0.9 when 2024 - year <= 5 then 0.8 when 2024 - year <= 10 then 0.6 else 0.3 end")
