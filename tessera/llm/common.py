@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Ids up to this count may be broadcast (16 bytes each); beyond it the same join is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Partitions of a shuffle by bucket, at most.
+MOST_PARTITIONS = 20_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -37,6 +40,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for what is materialized inside: rows with arrays or long texts then need little memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(*dfs: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
     for df in dfs:
@@ -75,8 +90,9 @@ def train_row(doc_id) -> object:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 != 1
 
 
-def partitions(spark: SparkSession, at_least: int = 1) -> int:
-    return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def dealt_into(spark: SparkSession, groups: int) -> int:
+    """Partitions for so many groups: the session's number at least; from MOST_PARTITIONS on a task takes several groups, one after the other."""
+    return min(MOST_PARTITIONS, max(groups, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def runs(keys: np.ndarray) -> list[tuple[int, int]]:

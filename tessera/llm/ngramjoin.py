@@ -5,7 +5,7 @@ shingles in a table of fixed size. Two sets that are similar enough share a shin
 set's probing prefix and the smaller set's indexing prefix, so prefix shingles bring candidates
 together. Entries travel as packed arrays, a row for each bucket of shingles.
 
-Tiles. The documents under one shingle are dealt into bands of set size; only equal or neighbouring
+Tiles. The documents under one shingle (equal groups of them counted once) are dealt into bands of set size; only equal or neighbouring
 bands can hold similar sets. Small tiles give their pairs at once. In larger ones each document is
 first paired with its band's smallest document alone; once those links are known, a later round
 compares, inside the tile, only documents that are not yet connected.
@@ -28,31 +28,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, keep_ids, materialize, mix64, release
+from tessera.llm.common import U64, batches_of, dealt_into, keep_ids, materialize, mix64, release
 from tessera.llm.components import components
 from tessera.llm.shingles import WORDS, shingle_sets
 
 NUM, DEN = 3, 4
 #: Slots of the count of all shingles; a fixed size, whatever the corpus.
-SLOTS = 1 << 20
+SLOTS = 1 << 22
+_SHIFT = 64 - 22
 #: Groups of up to this many documents under a shingle give all their pairs at once.
-SMALL = 4
+SMALL = 16
 #: Documents on a side of a tile.
-SIDE = 1024
+SIDE = 512
+#: Rows in an Arrow batch, and packed entries that a task holds.
+BATCH, HELD = 1000, 1_000_000
 #: Packed entries that a bucket holds on average.
 BUCKET = 250_000
-MOST_BITS = 4096
+MOST_BITS, SHORT_BITS = 1 << 18, 8192
 
 
 def _bits(n: int) -> int:
-    return min(MOST_BITS, max(64, 1 << (max(1, n) - 1).bit_length()))
-
-
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Parity bitmap of 64 to MOST_BITS bits, about as many as shingles; bits are numbered from the low end, so halves fold by xor."""
-    bits = _bits(len(shingles))
-    flips = np.bincount((mix64(shingles) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+    """Bits of a set's parity bitmap: some four or more for each shingle, so that few flips cancel. Bits are numbered from the low end, so halves fold by xor."""
+    return min(MOST_BITS, max(64, 4 << (max(1, n) - 1).bit_length()))
 
 
 def fold(words: np.ndarray, size: int) -> np.ndarray:
@@ -76,23 +73,39 @@ def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, int]
     """(doc_id, n, f1, f2, bits) of every document, the counts of shingles by slot, and how many there are."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("bits", pa.binary()), ("is_count", pa.bool_())])
 
+    def rows_of(ids, sets, counts):
+        """Signatures of some documents together: all their shingles in one array."""
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        has = np.flatnonzero(n)
+        out = [(d, 0, 0, 0, b"", False) for d in ids]
+        if len(has):
+            every, n = np.concatenate([sets[k] for k in has]), n[has]
+            counts += np.bincount((every >> U64(_SHIFT)).astype(np.int64), minlength=SLOTS)
+            start = np.cumsum(n) - n
+            f1, f2 = (np.add.reduceat(mix64(every ^ U64(k)), start).view(np.int64).tolist() for k in (0x1234567, 0x89ABCDEF1234))
+            bits = np.array([_bits(int(k)) for k in n])
+            base = np.cumsum(bits) - bits
+            at = np.repeat(base, n) + (mix64(every) & np.repeat(bits - 1, n).astype(U64)).astype(np.int64)
+            flips = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+            for k, size, x, y, lo, width in zip(has.tolist(), n.tolist(), f1, f2, (base // 8).tolist(), (bits // 8).tolist(), strict=True):
+                out[k] = (ids[k], size, x, y, flips[lo : lo + width], False)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
     def sign(batches):
         counts = np.zeros(SLOTS, np.int64)
         seen = False
         for batch in batches:
-            rows = []
+            ids, sets, size = [], [], 0
             for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words), strict=True):
-                if not len(s):
-                    rows.append((doc_id, 0, 0, 0, b"", False))
-                    continue
-                counts += np.bincount((s >> U64(44)).astype(np.int64), minlength=SLOTS) if len(s) > 20_000 else 0
-                if len(s) <= 20_000:
-                    np.add.at(counts, (s >> U64(44)).astype(np.int64), 1)
-                f1, f2 = (int(mix64(s ^ U64(k)).sum(dtype=U64).astype(np.int64)) for k in (0x1234567, 0x89ABCDEF1234))
-                rows.append((doc_id, len(s), f1, f2, bitmap(s), False))
-            seen |= bool(rows)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                ids.append(doc_id)
+                sets.append(s)
+                size += len(s)
+                if size > 1_000_000:
+                    yield rows_of(ids, sets, counts)
+                    ids, sets, size = [], [], 0
+            if ids:
+                yield rows_of(ids, sets, counts)
+            seen |= batch.num_rows > 0
         if seen:
             blob = zlib.compress(counts.astype("<u4").tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, 0, 0, 0, blob, True), schema, strict=True)], schema=schema)
@@ -118,58 +131,61 @@ def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, int]
 
 
 def frequency_class(counts: np.ndarray) -> np.ndarray:
-    """0 for slots of common size; above that, how many doublings a slot is over it."""
-    usual = 4 * counts.mean() + 32
-    return np.where(counts > usual, np.ceil(np.log2(np.maximum(counts, 1) / usual)).clip(1, 60), 0).astype(np.uint8)
+    """0 for slots within two standard deviations of the mean; above that, half doublings of the excess."""
+    mean = counts.mean() if len(counts) else 0.0
+    spread = np.sqrt(max(mean, 1.0))
+    excess = np.maximum(0.0, counts - mean - 2 * spread) / spread
+    return np.ceil(2 * np.log2(1 + excess)).clip(0, 120).astype(np.uint8)
 
 
 def ordered(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Order keys of shingles: frequency class in the top byte, then the hash."""
-    return (classes[(s >> U64(44)).astype(np.int64)].astype(U64) << U64(56)) | (mix64(s) >> U64(8))
+    return (classes[(s >> U64(_SHIFT)).astype(np.int64)].astype(U64) << U64(56)) | (mix64(s) >> U64(8))
 
 
 def prefix_groups(docs: DataFrame, words: int, classes: np.ndarray, buckets: int) -> DataFrame:
-    """Rows of kind 0: candidate pair (x, y); of kind 1: document y, with size and flag in n, in the large group under shingle x."""
+    """Rows of kind 0: candidate pair (x, y); of kind 1: document y, of n shingles, in the large group x."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # SLOTS bytes
     packed = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
 
     def entries(batches):
         cls = shared.value
+        keys, ids, sizes, seen, held = [], [], [], set(), 0
         for batch in batches:
-            keys, ids, sizes, seen, held = [], [], [], set(), 0
             for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words), strict=True):
                 n = len(s)
                 if doc_id is None or not n:
                     continue
                 mark = s.tobytes() if n < 4 else (n, int(s[0]), int(s[n // 2]), int(s[-1]), int(mix64(s).sum(dtype=U64)))
-                if mark in seen:  # a copy in the same batch: it is linked through its fingerprint
+                if mark in seen:  # a copy in the same task: it is linked through its fingerprint
                     continue
-                seen.add(mark)
+                if len(seen) < 200_000:
+                    seen.add(mark)
                 k = ordered(s, cls)
                 probe = n - -(-NUM * n // DEN) + 1
-                index = n - needed(n, n) + 1
                 if probe < n:
                     k = np.partition(k, probe - 1)[:probe]
                 k.sort()
                 keys.append(k)
                 ids.append(np.full(len(k), doc_id, np.int64))
-                sizes.append(2 * n + (np.arange(len(k)) < index))
+                # the size, and the place in the set's order, which bounds what two sets can share after it
+                sizes.append(np.uint64(n << 32) | np.arange(len(k), dtype=U64))
                 held += len(k)
-                if held > 3_000_000:
+                if held > HELD:
                     yield from pack(keys, ids, sizes)
                     keys, ids, sizes, held = [], [], [], 0
-            if held:
-                yield from pack(keys, ids, sizes)
+        if held:
+            yield from pack(keys, ids, sizes)
 
     def pack(keys, ids, sizes):
-        k, i, z = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes).astype("<u4")
+        k, i, z = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes).astype("<u8")
         b = (mix64(k) % U64(buckets)).astype(np.int32)
         order = np.argsort(b, kind="stable")
         b, k, i, z = b[order], k[order], i[order], z[order]
         cut = np.flatnonzero(np.diff(b, prepend=-1))
         ends = np.append(cut[1:], len(b))
         squeeze = lambda a: zlib.compress(a.tobytes(), 1)
-        rows = [(int(b[lo]), k[lo:hi].tobytes(), squeeze(np.diff(i[lo:hi], prepend=np.int64(0))), squeeze(z[lo:hi])) for lo, hi in zip(cut, ends, strict=True)]
+        rows = [(int(b[lo]), k[lo:hi].tobytes(), squeeze(np.diff(i[lo:hi], prepend=np.int64(0))), squeeze(z[lo:hi].view(np.uint8).reshape(-1, 8).T.copy())) for lo, hi in zip(cut, ends, strict=True)]
         for lo in range(0, len(rows), 2000):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 2000], strict=True), packed, strict=True)], schema=packed)
 
@@ -182,12 +198,12 @@ def prefix_groups(docs: DataFrame, words: int, classes: np.ndarray, buckets: int
                     yield from _bucket_groups(held)
                     held = []
                 now = b
-                held.append((np.frombuffer(k, U64), np.cumsum(np.frombuffer(zlib.decompress(i), np.int64)), np.frombuffer(zlib.decompress(z), "<u4")))
+                held.append((np.frombuffer(k, U64), np.cumsum(np.frombuffer(zlib.decompress(i), np.int64)), np.frombuffer(zlib.decompress(z), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()))
         if held:
             yield from _bucket_groups(held)
 
     blobs = docs.mapInArrow(entries, "bucket int, keys binary, ids binary, sizes binary")
-    dealt = blobs.repartition(max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket")
+    dealt = blobs.repartition(dealt_into(docs.sparkSession, buckets), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(groups, "kind int, x long, y long, n long")
 
 
@@ -208,38 +224,47 @@ def band(n: np.ndarray) -> np.ndarray:
 
 def _bucket_groups(held):
     k, i, z = (np.concatenate(c) for c in zip(*held, strict=True))
-    order = np.lexsort((i, z >> 1, k))
-    k, i, z = k[order], i[order], z[order].astype(np.int64)
+    n, at = (z >> U64(32)).astype(np.int64), (z & U64(0xFFFFFFFF)).astype(np.int64)
+    order = np.lexsort((i, n, k))
+    k, i, n, at = k[order], i[order], n[order], at[order]
     start = np.flatnonzero(np.diff(k, prepend=~k[:1]) != 0)
     size = np.diff(np.append(start, len(k)))
     many = np.repeat(size, size)
     keep = many >= 2
-    k, i, z, many = k[keep], i[keep], z[keep], many[keep]
-    n = z >> 1
+    k, i, n, at, many = k[keep], i[keep], n[keep], at[keep], many[keep]
     pairs = []
     few = many <= SMALL
     for shift in range(1, SMALL):
-        a, b = np.arange(len(k) - shift), np.arange(shift, len(k))
-        ok = few[a] & (k[a] == k[b]) & (n[a] * DEN >= n[b] * NUM) & ((z[a] & 1) == 1) & (i[a] != i[b])
+        a, b = np.arange(max(0, len(k) - shift)), np.arange(min(shift, len(k)), len(k))
+        ok = few[a] & (k[a] == k[b]) & (n[a] * DEN >= n[b] * NUM) & (i[a] != i[b])
+        a, b = a[ok], b[ok]
+        # if this is the first shingle that both hold, they share no more than what follows it
+        ok = 1 + np.minimum(n[a] - 1 - at[a], n[b] - 1 - at[b]) >= needed(n[a], n[b])
         pairs.append((i[a[ok]], i[b[ok]]))
     large = ~few
     if large.any():
-        k, i, z, n = k[large], i[large], z[large], n[large]
+        k, i, n = k[large], i[large], n[large]
         w = band(n)
         # the first document of each band of a shingle leads its own band and the next
         order = np.lexsort((i, w, k))
-        k, i, z, n, w = k[order], i[order], z[order], n[order], w[order]
+        k, i, n, w = k[order], i[order], n[order], w[order]
         new = (np.diff(k, prepend=~k[:1]) != 0) | (np.diff(w, prepend=w[:1] - 9) != 0)
         lead = np.flatnonzero(new)
         mine = np.cumsum(new) - 1
         for back in (0, 1):
             g = mine - back
             ok = g >= 0
-            at = lead[np.maximum(g, 0)]
-            ok &= (k[at] == k) & (w - w[at] <= 1) & (i[at] != i)
-            ok &= np.minimum(n[at], n) * DEN >= np.maximum(n[at], n) * NUM
-            pairs.append((i[at[ok]], i[ok]))
-        yield from _out(1, k.view(np.int64), i, z)
+            to = lead[np.maximum(g, 0)]
+            ok &= (k[to] == k) & (w - w[to] <= 1) & (i[to] != i)
+            ok &= np.minimum(n[to], n) * DEN >= np.maximum(n[to], n) * NUM
+            pairs.append((i[to[ok]], i[ok]))
+        # a group is known by its members: near copies meet under many shingles, and equal groups become one tile
+        first = np.diff(k, prepend=~k[:1]) != 0
+        group = np.cumsum(first) - 1
+        order = np.lexsort((i, group))
+        mark = mix64(i[order].view(U64) + U64(0x9E3779B97F4A7C15))
+        name = mix64(np.add.reduceat(mark, np.flatnonzero(first)))
+        yield from _out(1, name[group].view(np.int64), i, n)
     a, b = (np.concatenate(c) for c in zip(*pairs, strict=True))
     if len(a):
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
@@ -302,13 +327,22 @@ def exact_links(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     return proved
 
 
+def _short_bitmaps(batches):
+    """Bitmaps folded to SHORT_BITS at most: tiles hold a document many times, and pairs are bounded by the long ones later."""
+    size = SHORT_BITS // 64
+    for batch in batches:
+        ids, bits = batch.column(0), batch.column(1)
+        short = [fold(np.frombuffer(b.as_py(), U64)[None], max(1, min(size, len(b.as_py()) // 8))).tobytes() for b in bits]
+        yield pa.RecordBatch.from_arrays([ids, pa.array(short, pa.binary())], names=["doc_id", "bits"])
+
+
 def open_tiles(tiles: DataFrame, labels: DataFrame, sigs: DataFrame, best: bool) -> DataFrame:
     """Pairs of unconnected documents in the large groups that pass the bounds; with best, a document's best one in each other component."""
-    rows = tiles.select(F.col("x").alias("key"), F.col("y").alias("doc_id"), F.col("n").alias("z"))
+    rows = tiles.select(F.col("x").alias("key"), F.col("y").alias("doc_id"), "n").distinct()
     rows = rows.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rows = rows.join(several, "key", "left_semi")
-    w = F.floor(F.log(F.expr("z div 2").cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9).cast("long")
+    w = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9).cast("long")
     rows = rows.withColumn("band", w)
     counts = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("parts"))
     # tile (key, band): its own documents on the left, its own and the next band's on the right
@@ -317,12 +351,12 @@ def open_tiles(tiles: DataFrame, labels: DataFrame, sigs: DataFrame, best: bool)
     right_parts = counts.select("key", (F.col("band") - 1).alias("band"), F.col("parts").alias("next_parts"))
     own = own.join(right_parts, ["key", "band"], "left").withColumn("part", part).fillna(0, ["next_parts"])
     # a left document goes to each right part of its tile; a right one to each left part
-    left = own.select("key", "band", "doc_id", "z", "component", F.lit(0).alias("side"), F.col("part").alias("i"), F.explode(F.expr("sequence(0, parts + next_parts - 1)")).alias("j"))
-    right_own = own.select("key", "band", "doc_id", "z", "component", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, parts - 1)")).alias("i"), F.col("part").alias("j"))
+    left = own.select("key", "band", "doc_id", "n", "component", F.lit(0).alias("side"), F.col("part").alias("i"), F.explode(F.expr("sequence(0, parts + next_parts - 1)")).alias("j"))
+    right_own = own.select("key", "band", "doc_id", "n", "component", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, parts - 1)")).alias("i"), F.col("part").alias("j"))
     low = counts.select("key", (F.col("band") + 1).alias("band"), F.col("parts").alias("low_parts"))
-    right_next = own.join(low, ["key", "band"]).select("key", (F.col("band") - 1).alias("band"), "doc_id", "z", "component", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, low_parts - 1)")).alias("i"), (F.col("low_parts") + F.col("part")).alias("j"))
-    dealt = left.unionByName(right_own).unionByName(right_next).join(sigs.select("doc_id", "bits"), "doc_id")
-    dealt = dealt.withColumn("tile", F.xxhash64("key", "band", "i", "j")).select("tile", "side", "doc_id", "z", "component", "bits")
+    right_next = own.join(low, ["key", "band"]).select("key", (F.col("band") - 1).alias("band"), "doc_id", "n", "component", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, low_parts - 1)")).alias("i"), (F.col("low_parts") + F.col("part")).alias("j"))
+    dealt = left.unionByName(right_own).unionByName(right_next).join(sigs.select("doc_id", "bits").mapInArrow(_short_bitmaps, "doc_id long, bits binary"), "doc_id")
+    dealt = dealt.withColumn("tile", F.xxhash64("key", "band", "i", "j")).select("tile", "side", "doc_id", "n", "component", "bits")
 
     def tile_pairs(left, right):
         if not left or not right:
@@ -330,12 +364,10 @@ def open_tiles(tiles: DataFrame, labels: DataFrame, sigs: DataFrame, best: bool)
         cut = min(min(len(r[3]) for r in left), min(len(r[3]) for r in right)) // 8
         pack = lambda rows: np.vstack([fold(np.frombuffer(r[3], U64)[None], cut) for r in rows])
         lb, rb = pack(left), pack(right)
-        rid, rz, rc = (np.array([r[k] for r in right], np.int64) for k in range(3))
-        rn = rz >> 1
+        rid, rn, rc = (np.array([r[k] for r in right], np.int64) for k in range(3))
         for row, bits in zip(left, lb, strict=True):
-            doc, z, comp, _ = row
-            n = z >> 1
-            ok = (rc != comp) & (np.minimum(n, rn) * DEN >= np.maximum(n, rn) * NUM) & np.where(rn < n, rz & 1, z & 1).astype(bool)
+            doc, n, comp, _ = row
+            ok = (rc != comp) & (np.minimum(n, rn) * DEN >= np.maximum(n, rn) * NUM)
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
@@ -356,14 +388,14 @@ def open_tiles(tiles: DataFrame, labels: DataFrame, sigs: DataFrame, best: bool)
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for tile, side, doc, z, comp, bits in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for tile, side, doc, n, comp, bits in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if tile != now:
                     found.update(tile_pairs(*sides))
                     now, sides = tile, ([], [])
                     if len(found) > 50_000:
                         yield flush(found)
                         found = set()
-                sides[side].append((doc, z, comp, bits))
+                sides[side].append((doc, n, comp, bits))
         found.update(tile_pairs(*sides))
         if found:
             yield flush(found)
@@ -373,7 +405,11 @@ def open_tiles(tiles: DataFrame, labels: DataFrame, sigs: DataFrame, best: bool)
 
 def join_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
+    with batches_of(docs.sparkSession, BATCH):
+        return _join_components(docs, words)
+
+
+def _join_components(docs: DataFrame, words: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_sigs, counts, total = signatures(docs, words)
     every = all_sigs.where("not is_count").select("doc_id", "n", "f1", "f2", "bits")
@@ -391,7 +427,7 @@ def join_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     labels = components(copies.unionByName(found))
     tiles = groups.where("kind = 1")
     for best in (True, False):
-        open_pairs = materialize(open_tiles(tiles, labels, sigs, best), "open-pairs")
+        open_pairs = materialize(bounded_pairs(open_tiles(tiles, labels, sigs, best), sigs), "open-pairs")
         if open_pairs.isEmpty():
             release(open_pairs)
             break
@@ -404,7 +440,6 @@ def join_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
         new = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
         release(labels)
         labels = new
-    del spark
     release(groups, *edges)
     out = every.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

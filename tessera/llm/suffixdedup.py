@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, keep_ids, key_groups, materialize, mix64, release, runs
+from tessera.llm.common import U64, dealt_into, keep_ids, key_groups, materialize, mix64, release, runs
 from tessera.llm.deepshallow import sort_strings
 from tessera.llm.shingles import _BASE, _INVERSE, _LETTER, CHUNK, _power
 
@@ -179,7 +179,7 @@ def anchor_groups(docs: DataFrame, buckets: int) -> DataFrame:
             yield from _found(1, doc[look], pos[look], mix64(h[look] ^ (U64(kind_key[1]) << U64(48))))
 
     blobs = docs.mapInArrow(entries, "kind int, key long, hashes binary, docs binary, places binary")
-    n = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = dealt_into(docs.sparkSession, buckets)
     return blobs.repartition(n, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(groups, FOUND)
 
 
