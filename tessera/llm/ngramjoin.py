@@ -69,18 +69,34 @@ def links(shared: int, x: int, y: int) -> bool:
     return DEN * shared >= NUM * (x + y - shared)
 
 
+def _counted(slots: list[np.ndarray], held: np.ndarray | None) -> np.ndarray:
+    found = np.bincount(np.concatenate(slots), minlength=SLOTS) if slots else np.zeros(SLOTS, np.int64)
+    return found if held is None else found + held
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Slots that are not 0, and their counts."""
+    at = np.flatnonzero(counts)
+    return zlib.compress(np.concatenate([np.diff(at, prepend=0), counts[at]]).astype("<u4").tobytes(), 1)
+
+
+def _add(total: np.ndarray, blob: bytes) -> None:
+    steps, counts = np.frombuffer(zlib.decompress(blob), "<u4").reshape(2, -1)
+    total[np.cumsum(steps, dtype=np.int64)] += counts.astype(U64)
+
+
 def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, int]:
     """(doc_id, n, f1, f2, bits) of every document, the counts of shingles by slot, and how many there are."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("bits", pa.binary()), ("is_count", pa.bool_())])
 
     def rows_of(ids, sets, counts):
-        """Signatures of some documents together: all their shingles in one array."""
+        """Signatures of some documents together: all their shingles in one array, whose slots are appended to counts."""
         n = np.fromiter(map(len, sets), np.int64, len(sets))
         has = np.flatnonzero(n)
         out = [(d, 0, 0, 0, b"", False) for d in ids]
         if len(has):
             every, n = np.concatenate([sets[k] for k in has]), n[has]
-            counts += np.bincount((every >> U64(_SHIFT)).astype(np.int64), minlength=SLOTS)
+            counts.append((every >> U64(_SHIFT)).astype(np.uint32))
             start = np.cumsum(n) - n
             f1, f2 = (np.add.reduceat(mix64(every ^ U64(k)), start).view(np.int64).tolist() for k in (0x1234567, 0x89ABCDEF1234))
             bits = np.array([_bits(int(k)) for k in n])
@@ -92,8 +108,8 @@ def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, int]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def sign(batches):
-        counts = np.zeros(SLOTS, np.int64)
-        seen = False
+        counts: list[np.ndarray] = []
+        held = None
         for batch in batches:
             ids, sets, size = [], [], 0
             for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words), strict=True):
@@ -105,9 +121,10 @@ def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, int]
                     ids, sets, size = [], [], 0
             if ids:
                 yield rows_of(ids, sets, counts)
-            seen |= batch.num_rows > 0
-        if seen:
-            blob = zlib.compress(counts.astype("<u4").tobytes(), 1)
+            if sum(map(len, counts)) > SLOTS:
+                held, counts = _counted(counts, held), []
+        if counts or held is not None:
+            blob = _packed(_counted(counts, held))
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, 0, 0, 0, blob, True), schema, strict=True)], schema=schema)
 
     sigs = materialize(docs.mapInArrow(sign, "doc_id long, n int, f1 long, f2 long, bits binary, is_count boolean"), "signatures")
@@ -117,8 +134,8 @@ def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, int]
         total = np.zeros(SLOTS, np.uint64)
         for batch in batches:
             for blob in batch.column(0):
-                total += np.frombuffer(zlib.decompress(blob.as_py()), "<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.minimum(total, U64(2**32 - 1)).astype("<u4").tobytes(), 1)], pa.binary())], names=["bits"])
+                _add(total, blob.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([_packed(np.minimum(total, U64(2**32 - 1)))], pa.binary())], names=["bits"])
 
     n = counts.count()
     while n > 16:  # sums of 16 at a time, so neither a task nor the driver holds many tables of SLOTS counts
@@ -126,7 +143,7 @@ def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, int]
         counts = counts.repartition(n).mapInArrow(add, "bits binary")
     total = np.zeros(SLOTS, np.uint64)
     for row in counts.toLocalIterator():
-        total += np.frombuffer(zlib.decompress(bytes(row["bits"])), "<u4")
+        _add(total, bytes(row["bits"]))
     return sigs, total, int(total.sum())
 
 
@@ -322,7 +339,7 @@ def exact_links(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     held = materialize(held, "pair-sets")
     out = pairs.join(held.withColumnRenamed("doc_id", "b").withColumnRenamed("shingles", "y"), "b")
     out = out.join(held.withColumnRenamed("doc_id", "a").withColumnRenamed("shingles", "x"), "a").select("a", "b", "x", "y")
-    proved = materialize(out.mapInArrow(prove, "a long, b long").distinct(), "links")
+    proved = materialize(out.mapInArrow(prove, "a long, b long"), "links")
     release(ids, held)
     return proved
 
@@ -416,7 +433,7 @@ def _join_components(docs: DataFrame, words: int) -> DataFrame:
     sigs = every.where("doc_id is not null and n > 0")
     buckets = max(8, total // 4 // BUCKET)
     groups = materialize(prefix_groups(docs, words, frequency_class(counts), buckets), "groups")
-    pairs = groups.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    pairs = groups.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
     likely = materialize(bounded_pairs(pairs, sigs), "bounded")
     found = exact_links(docs, likely, words)
     release(likely)
