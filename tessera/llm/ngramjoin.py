@@ -41,7 +41,7 @@ SMALL = 16
 #: Documents on a side of a tile.
 SIDE = 512
 #: Rows in an Arrow batch, and packed entries that a task holds.
-BATCH, HELD = 1000, 1_000_000
+BATCH, HELD = 1000, 500_000
 #: Packed entries that a bucket holds on average.
 BUCKET = 250_000
 MOST_BITS, SHORT_BITS = 1 << 18, 8192
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, int]
                 ids.append(doc_id)
                 sets.append(s)
                 size += len(s)
-                if size > 1_000_000:
+                if size > 250_000:
                     yield rows_of(ids, sets, counts)
                     ids, sets, size = [], [], 0
             if ids:

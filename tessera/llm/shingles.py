@@ -10,7 +10,7 @@ from tessera.llm.common import U64, mix64
 
 WORDS = 5
 #: Bytes of text hashed at a time; a longer text is a chunk of its own.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -8,7 +8,7 @@ from tessera.llm.common import U64, mix64
 from tessera.llm.shingles import _BASE, _INVERSE, _LETTER, CHUNK, _power
 
 #: Runs (of letters, or of other visible characters) whose ids a worker keeps, about 40 bytes each; a full cache starts anew.
-CACHE_RUNS = 1_200_000
+CACHE_RUNS = 700_000
 #: Texts with these are encoded one by one: special tokens' marks, contractions, and characters that only some take for white space.
 _WHOLE = ("'", "<|", "\x1c", "\x1d", "\x1e", "\x1f")
 _SPACE, _LETTERS, _OTHER = 0, 1, 2

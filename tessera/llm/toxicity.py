@@ -92,7 +92,7 @@ class Trie:
 class Matcher:
     """word -> weight (negative for a misspelling), remembered up to a bound. Halves of the entries rule most words out: one edit leaves one half whole."""
 
-    def __init__(self, entries: dict[str, tuple[float, bool]], clean: set[str], bound: int = 400_000):
+    def __init__(self, entries: dict[str, tuple[float, bool]], clean: set[str], bound: int = 150_000):
         self.trie, self.clean, self.bound = Trie(entries), clean, bound
         self.halves: dict[int, tuple[set, set]] = {}
         for w in entries:
