@@ -110,10 +110,10 @@ EDGES = "u long, v long, s float"
 
 
 def first_edges(table: DataFrame, n: int, seed: int) -> DataFrame:
-    """Edges inside the groups of each code; groups over four leaves are split by a hash of the id."""
+    """Edges inside the groups of each code; groups over four leaves are split by a hash of the id, another one in each code table and round."""
     rows = coded(table, n, seed)
     sizes = rows.groupBy("code").agg(F.ceil(F.count("*") / (4 * LEAF)).cast("int").alias("parts"))
-    rows = rows.join(sizes, "code").withColumn("group", F.xxhash64("code", F.pmod(F.xxhash64("id"), F.col("parts")))).select("group", "id", "half")
+    rows = rows.join(sizes, "code").withColumn("group", F.xxhash64("code", F.pmod(F.xxhash64(F.lit(seed), F.pmod("code", F.lit(65_536 * CODES)), "id"), F.col("parts")))).select("group", "id", "half")
 
     def link(batches):
         for _, part in key_groups(batches):

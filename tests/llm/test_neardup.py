@@ -1,6 +1,8 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import neardup
+from tessera.llm.components import components
 
 
 def plain(rows, threshold=0.95):
@@ -55,3 +57,14 @@ def test_recall_on_sample_table(spark):
     want = plain(rows)
     assert sum(got[i][1] for i, *_ in want) >= 0.99 * sum(w[1] for w in want)
     assert sum(got[i] == w for w in want for i in [w[0]]) >= 0.99 * len(want)
+
+
+def test_code_tables_split_large_groups_differently(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LEAF", 4)
+    rng = np.random.RandomState(6)
+    c = rng.standard_normal(24)
+    rows = [(i, (c + rng.standard_normal(24) * 1e-4).tolist()) for i in range(90)]
+    _, table = neardup.nodes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    # groups of 90 are split in six; no part of one table may be a part of every other
+    edges = neardup.first_edges(table, 90, 0).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    assert components(edges).where("component = 0").count() == 90
