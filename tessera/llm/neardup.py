@@ -4,8 +4,10 @@ Equal vectors are one node with a count. A neighbour graph starts from groups of
 hyperplane codes and is refined: neighbours of a node become candidates of each other (half
 precision, for the search only), and each node keeps its best. Nodes whose list is full of near
 duplicates get a longer one. Edges above the threshold are proved in double precision and kept;
-an audit compares a sample of vectors with all others and starts a further round from other codes
-while it finds links that the graph lacks.
+an audit compares a sample of vectors, another one each time and with a share from components over
+LONGEST, with all others. Links that it finds missing are kept, and a further round starts from other
+codes. If the audit after ROUNDS rounds still finds some, every pair of vectors is compared, so no link
+between components is left out; else what the last audit did not sample is not proved. Recall is logged.
 
 All links lie inside components of the kept edges, so the numbers of links come from exact block
 products inside each component, in tiles of a set size; no pair is emitted for them.
@@ -17,6 +19,8 @@ repeat a vec_id the one with the smallest fingerprint counts; an empty table giv
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import key_groups, materialize, release
 from tessera.llm.components import components
 
+log = logging.getLogger(__name__)
+
 THRESHOLD = 0.95
 #: Neighbours kept, and the longest list that a saturated node may grow to before its component's exact count takes over.
 NEIGHBOURS, LONGEST = 8, 64
@@ -32,7 +38,7 @@ NEIGHBOURS, LONGEST = 8, 64
 CODES, LEAF = 3, 96
 #: Rounds of refinement from one set of codes; a round ends sooner when fewer than this share of lists change.
 REFINE, SETTLED = 4, 0.01
-#: Vectors that are compared with all others in an audit, and rounds of codes at most.
+#: Vectors that are compared with all others in an audit (as many again from components over LONGEST), and rounds of codes before every pair is compared.
 AUDIT, ROUNDS = 256, 3
 #: Vectors on a side of a tile of exact counts.
 TILE = 512
@@ -196,10 +202,16 @@ def proved(edges: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(prove, "a long, b long")
 
 
-def audit(table: DataFrame, labels: DataFrame, n: int, threshold: float) -> tuple[float, DataFrame]:
+def audit(table: DataFrame, labels: DataFrame, n: int, threshold: float, seed: int) -> tuple[float, DataFrame]:
     """Share of a sample's links that lie inside components, and the links that don't. The sample is compared with every vector."""
-    mark = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1_000_000))
-    sample = table.where(mark < int(1_000_000 * min(1.0, AUDIT / max(1, n))) + 1).select("id", "dims", "unit").limit(4 * AUDIT).collect()
+    mark = F.pmod(F.xxhash64(F.lit(5), F.lit(seed), "id"), F.lit(1_000_000))
+    chosen = lambda of: mark < int(1_000_000 * min(1.0, AUDIT / max(1, of))) + 1
+    sample = table.where(chosen(n)).select("id", "dims", "unit").limit(4 * AUDIT).collect()
+    # components that lists can't hold whole are the ones that may be cut: they get a sample of their own
+    large = labels.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > LONGEST)
+    inside = labels.join(large.select("component"), "component", "left_semi").select("id")
+    sample += table.join(inside.where(chosen(inside.count())), "id", "left_semi").select("id", "dims", "unit").limit(4 * AUDIT).collect()
+    sample = list({r["id"]: r for r in sample}.values())
     by_dims: dict[int, list] = {}
     for r in sample:
         by_dims.setdefault(r["dims"], []).append((r["id"], bytes(r["unit"])))
@@ -225,6 +237,36 @@ def audit(table: DataFrame, labels: DataFrame, n: int, threshold: float) -> tupl
     return good / total if total else 1.0, found.where("not ok").select("a", "b")
 
 
+def across(table: DataFrame, labels: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of components that some link joins, by block products of all vectors with all others."""
+    parts = max(1, -(-n // (8 * TILE)))
+    rows = table.join(labels, "id", "left").select(F.coalesce("component", "id").alias("component"), "dims", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "unit")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    tile = F.least("part", "other").cast("long") * parts + F.greatest("part", "other")
+    rows = rows.select(tile.alias("tile"), "component", "dims", (F.col("part") <= F.col("other")).alias("low"), (F.col("part") == F.col("other")).alias("same"), "unit")
+
+    def tiles(batches):
+        for _, group in key_groups(batches):
+            t = pa.Table.from_batches(group)
+            component, dims = (t.column(k).to_numpy() for k in (1, 2))
+            low, same = (t.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (3, 4))
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                x = np.stack([np.frombuffer(t.column(5)[int(k)].as_py()) for k in at])
+                own = component[at]
+                left = np.flatnonzero(low[at])
+                right = left if same[at].all() else np.flatnonzero(~low[at])
+                found: set = set()
+                for k in range(0, len(left), TILE):
+                    p, q = np.nonzero(x[left[k : k + TILE]] @ x[right].T >= threshold)
+                    a, b = own[left[k + p]], own[right[q]]
+                    ok = a != b
+                    found |= set(zip(np.minimum(a, b)[ok].tolist(), np.maximum(a, b)[ok].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(tiles, "a long, b long").distinct()
+
+
 def count_links(table: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """(id, linked): linked vectors of other nodes, copies included, by block products inside each component."""
     rows = table.join(labels, "id").select("component", "id", "copies", "dims", "unit")
@@ -262,21 +304,31 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every vec_id of df (vec_id, embedding)."""
     member, table = nodes(df)
     n = table.count()
-    edges, labels = [], None
+    edges: list[DataFrame] = []
+
+    def joined() -> DataFrame:
+        union = edges[0]
+        for e in edges[1:]:
+            union = union.unionByName(e)
+        return components(union)
+
     for seed in range(ROUNDS):
         graph = descend(table, n, seed, threshold)
         edges.append(materialize(proved(graph, table, threshold), "near-edges"))
         release(graph)
-        union = edges[0]
-        for e in edges[1:]:
-            union = union.unionByName(e)
-        if labels is not None:
-            release(labels)
-        labels = components(union)
-        recall, missed = audit(table, labels, n, threshold)
+        labels = joined()
+        recall, missed = audit(table, labels, n, threshold, seed)
+        log.info("round %d: audited recall %.6f", seed + 1, recall)
         if recall >= 1.0:
             break
         edges.append(missed)
+        release(labels)
+        labels = joined()
+    else:
+        log.warning("audited recall %.6f after %d rounds: all %d vectors are compared with all others", recall, ROUNDS, n)
+        edges.append(materialize(across(table, labels, n, threshold), "across"))
+        release(labels)
+        labels = joined()
     linked = count_links(table, labels, threshold)
     facts = table.select("id", "copies").join(labels, "id", "left").join(linked, "id", "left")
     facts = materialize(facts.select(F.col("id").alias("node"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "node-facts")

@@ -68,3 +68,19 @@ def test_code_tables_split_large_groups_differently(spark, monkeypatch):
     # groups of 90 are split in six; no part of one table may be a part of every other
     edges = neardup.first_edges(table, 90, 0).select(F.col("u").alias("a"), F.col("v").alias("b"))
     assert components(edges).where("component = 0").count() == 90
+
+
+def test_links_that_the_rounds_miss(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 4)
+    monkeypatch.setattr(neardup, "AUDIT", 8)
+    monkeypatch.setattr(neardup, "ROUNDS", 1)
+    rng = np.random.RandomState(7)
+    rows = []
+    for size in (60, 9, 3):
+        c = rng.standard_normal(16)
+        rows += [(c + rng.standard_normal(16) * 0.02).tolist() for _ in range(size)]
+    rows = [(i, v) for i, v in enumerate(rows + [rng.standard_normal(16).tolist() for _ in range(30)])]
+    # a search that never links an even id with an odd one
+    search = neardup.proved
+    monkeypatch.setattr(neardup, "proved", lambda *a: search(*a).where("a % 2 = b % 2"))
+    assert result(spark, rows) == plain(rows)
