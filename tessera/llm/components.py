@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, release
 
 #: Edges that a task contracts at a time.
-HELD = 500_000
+HELD = 100_000
 
 
 def _contract(batches):

@@ -5,6 +5,9 @@ shingles in a table of fixed size. Two sets that are similar enough share a shin
 set's probing prefix and the smaller set's indexing prefix, so prefix shingles bring candidates
 together. Entries travel as packed arrays, a row for each bucket of shingles.
 
+A shingle that too many documents hold is dealt into several buckets by document; each bucket's
+first document of a band leads its own, and the leaders are paired afterwards.
+
 Tiles. The documents under one shingle (equal groups of them counted once) are dealt into bands of set size; only equal or neighbouring
 bands can hold similar sets. Small tiles give their pairs at once. In larger ones each document is
 first paired with its band's smallest document alone; once those links are known, a later round
@@ -36,14 +39,19 @@ NUM, DEN = 3, 4
 #: Slots of the count of all shingles; a fixed size, whatever the corpus.
 SLOTS = 1 << 22
 _SHIFT = 64 - 22
+#: Tables of counts travel and are summed in so many pieces of PIECE slots.
+PIECES = 16
+PIECE = SLOTS // PIECES
 #: Groups of up to this many documents under a shingle give all their pairs at once.
 SMALL = 16
 #: Documents on a side of a tile.
 SIDE = 512
 #: Rows in an Arrow batch, and packed entries that a task holds.
-BATCH, HELD = 1000, 500_000
+BATCH, HELD = 200, 250_000
 #: Packed entries that a bucket holds on average.
 BUCKET = 250_000
+#: Documents that may have a shingle before its group is dealt into several buckets.
+GROUP = 250_000
 MOST_BITS, SHORT_BITS = 1 << 18, 8192
 
 
@@ -69,9 +77,30 @@ def links(shared: int, x: int, y: int) -> bool:
     return DEN * shared >= NUM * (x + y - shared)
 
 
-def _counted(slots: list[np.ndarray], held: np.ndarray | None) -> np.ndarray:
-    found = np.bincount(np.concatenate(slots), minlength=SLOTS) if slots else np.zeros(SLOTS, np.int64)
-    return found if held is None else found + held
+class SlotCounts:
+    """Counts of shingles by slot, in cells of four bytes; a task holds one, and packs it a piece at a time."""
+
+    def __init__(self):
+        self.cells, self.waiting, self.size = np.zeros(SLOTS, np.uint32), [], 0
+
+    def add(self, slots: np.ndarray) -> None:
+        self.waiting.append(slots)
+        self.size += len(slots)
+        if self.size > 500_000:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.waiting:
+            slot, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+            self.cells[slot] += n.astype(np.uint32)
+            self.waiting, self.size = [], 0
+
+    def pieces(self):
+        self.settle()
+        for piece in range(PIECES):
+            part = self.cells[piece * PIECE : (piece + 1) * PIECE]
+            if part.any():
+                yield piece, _packed(part)
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -82,21 +111,21 @@ def _packed(counts: np.ndarray) -> bytes:
 
 def _add(total: np.ndarray, blob: bytes) -> None:
     steps, counts = np.frombuffer(zlib.decompress(blob), "<u4").reshape(2, -1)
-    total[np.cumsum(steps, dtype=np.int64)] += counts.astype(U64)
+    total[np.cumsum(steps, dtype=np.int64)] += counts.astype(total.dtype)
 
 
-def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, int]:
-    """(doc_id, n, f1, f2, bits) of every document, the counts of shingles by slot, and how many there are."""
+def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, list[bytes], int]:
+    """(doc_id, n, f1, f2, bits) of every document, the packed counts of shingles by slot (a blob for each piece), and how many there are."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("bits", pa.binary()), ("is_count", pa.bool_())])
 
     def rows_of(ids, sets, counts):
-        """Signatures of some documents together: all their shingles in one array, whose slots are appended to counts."""
+        """Signatures of some documents together: all their shingles in one array, whose slots are counted."""
         n = np.fromiter(map(len, sets), np.int64, len(sets))
         has = np.flatnonzero(n)
         out = [(d, 0, 0, 0, b"", False) for d in ids]
         if len(has):
             every, n = np.concatenate([sets[k] for k in has]), n[has]
-            counts.append((every >> U64(_SHIFT)).astype(np.uint32))
+            counts.add((every >> U64(_SHIFT)).astype(np.uint32))
             start = np.cumsum(n) - n
             f1, f2 = (np.add.reduceat(mix64(every ^ U64(k)), start).view(np.int64).tolist() for k in (0x1234567, 0x89ABCDEF1234))
             bits = np.array([_bits(int(k)) for k in n])
@@ -108,60 +137,72 @@ def signatures(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, int]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def sign(batches):
-        counts: list[np.ndarray] = []
-        held = None
+        counts = SlotCounts()
         for batch in batches:
             ids, sets, size = [], [], 0
             for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words), strict=True):
                 ids.append(doc_id)
                 sets.append(s)
                 size += len(s)
-                if size > 250_000:
+                if size > 100_000:
                     yield rows_of(ids, sets, counts)
                     ids, sets, size = [], [], 0
             if ids:
                 yield rows_of(ids, sets, counts)
-            if sum(map(len, counts)) > SLOTS:
-                held, counts = _counted(counts, held), []
-        if counts or held is not None:
-            blob = _packed(_counted(counts, held))
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, 0, 0, 0, blob, True), schema, strict=True)], schema=schema)
+        for piece, blob in counts.pieces():
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, piece, 0, 0, blob, True), schema, strict=True)], schema=schema)
 
     sigs = materialize(docs.mapInArrow(sign, "doc_id long, n int, f1 long, f2 long, bits binary, is_count boolean"), "signatures")
-    counts = sigs.where("is_count").select("bits")
 
     def add(batches):
-        total = np.zeros(SLOTS, np.uint64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for blob in batch.column(0):
-                _add(total, blob.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([_packed(np.minimum(total, U64(2**32 - 1)))], pa.binary())], names=["bits"])
-
-    n = counts.count()
-    while n > 16:  # sums of 16 at a time, so neither a task nor the driver holds many tables of SLOTS counts
-        n = -(-n // 16)
-        counts = counts.repartition(n).mapInArrow(add, "bits binary")
-    total = np.zeros(SLOTS, np.uint64)
-    for row in counts.toLocalIterator():
-        _add(total, bytes(row["bits"]))
-    return sigs, total, int(total.sum())
-
-
-def frequency_class(counts: np.ndarray) -> np.ndarray:
+            for piece, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                _add(total.setdefault(piece, np.zeros(PIECE, np.uint64)), blob.as_py())
+        for piece, t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([int(t.sum())], pa.int64()), pa.array([_packed(np.minimum(t, U64(2**32 - 1)))], pa.binary())], names=["piece", "n", "bits"])
+
+    pieces = sigs.where("is_count").select(F.col("n").alias("piece"), "bits").repartition(PIECES, "piece")
+    sums = pieces.mapInArrow(add, "piece int, n long, bits binary").collect()  # PIECES rows of at most 8 * PIECE bytes
+    blobs = [b""] * PIECES
+    for row in sums:
+        blobs[row["piece"]] = bytes(row["bits"])
+    return sigs, blobs, sum(row["n"] for row in sums)
+
+
+def slot_classes(blobs: list[bytes], total: int) -> np.ndarray:
+    """The frequency class of every slot, from the packed counts."""
+    classes = np.zeros(SLOTS, np.uint8)
+    for piece, blob in enumerate(blobs):
+        if blob:
+            counts = np.zeros(PIECE, np.int64)
+            _add(counts, blob)
+            classes[piece * PIECE : (piece + 1) * PIECE] = frequency_class(counts, total / SLOTS)
+    return classes
+
+
+def frequency_class(counts: np.ndarray, mean: float) -> np.ndarray:
     """0 for slots within two standard deviations of the mean; above that, half doublings of the excess."""
-    mean = counts.mean() if len(counts) else 0.0
     spread = np.sqrt(max(mean, 1.0))
     excess = np.maximum(0.0, counts - mean - 2 * spread) / spread
     return np.ceil(2 * np.log2(1 + excess)).clip(0, 120).astype(np.uint8)
 
 
+def class_parts(mean: float) -> np.ndarray:
+    """For each frequency class, into how many buckets a shingle's group is dealt: by the most documents that the class allows above the mean."""
+    spread = np.sqrt(max(mean, 1.0))
+    parts = np.ceil((2 + 2 ** (np.arange(256) / 2)) * spread / GROUP)
+    parts[0] = 1
+    return np.clip(parts, 1, 2**31).astype(np.int64)
+
+
 def ordered(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Order keys of shingles: frequency class in the top byte, then the hash."""
     return (classes[(s >> U64(_SHIFT)).astype(np.int64)].astype(U64) << U64(56)) | (mix64(s) >> U64(8))
 
 
-def prefix_groups(docs: DataFrame, words: int, classes: np.ndarray, buckets: int) -> DataFrame:
-    """Rows of kind 0: candidate pair (x, y); of kind 1: document y, of n shingles, in the large group x."""
+def prefix_groups(docs: DataFrame, words: int, classes: np.ndarray, parts: np.ndarray, buckets: int) -> DataFrame:
+    """Rows of kind 0: candidate pair (x, y); of kind 1: document y, of n shingles, in the large group x; of kind 2: document y leads a part of the split group x in its band."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # SLOTS bytes
     packed = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
 
@@ -173,10 +214,10 @@ def prefix_groups(docs: DataFrame, words: int, classes: np.ndarray, buckets: int
                 n = len(s)
                 if doc_id is None or not n:
                     continue
-                mark = s.tobytes() if n < 4 else (n, int(s[0]), int(s[n // 2]), int(s[-1]), int(mix64(s).sum(dtype=U64)))
+                mark = int(mix64(s).sum(dtype=U64)) << 64 | int(mix64(s ^ U64(0x1234567)).sum(dtype=U64))
                 if mark in seen:  # a copy in the same task: it is linked through its fingerprint
                     continue
-                if len(seen) < 200_000:
+                if len(seen) < 100_000:
                     seen.add(mark)
                 k = ordered(s, cls)
                 probe = n - -(-NUM * n // DEN) + 1
@@ -196,7 +237,8 @@ def prefix_groups(docs: DataFrame, words: int, classes: np.ndarray, buckets: int
 
     def pack(keys, ids, sizes):
         k, i, z = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes).astype("<u8")
-        b = (mix64(k) % U64(buckets)).astype(np.int32)
+        salt = mix64(i.view(U64)) % parts[(k >> U64(56)).astype(np.int64)].astype(U64)
+        b = (mix64(k + salt * U64(0x9E3779B97F4A7C15)) % U64(buckets)).astype(np.int32)
         order = np.argsort(b, kind="stable")
         b, k, i, z = b[order], k[order], i[order], z[order]
         cut = np.flatnonzero(np.diff(b, prepend=-1))
@@ -212,12 +254,12 @@ def prefix_groups(docs: DataFrame, words: int, classes: np.ndarray, buckets: int
             cols = [c.to_pylist() for c in batch.columns]
             for b, k, i, z in zip(*cols, strict=True):
                 if b != now and held:
-                    yield from _bucket_groups(held)
+                    yield from _bucket_groups(held, parts)
                     held = []
                 now = b
                 held.append((np.frombuffer(k, U64), np.cumsum(np.frombuffer(zlib.decompress(i), np.int64)), np.frombuffer(zlib.decompress(z), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()))
         if held:
-            yield from _bucket_groups(held)
+            yield from _bucket_groups(held, parts)
 
     blobs = docs.mapInArrow(entries, "bucket int, keys binary, ids binary, sizes binary")
     dealt = blobs.repartition(dealt_into(docs.sparkSession, buckets), "bucket").sortWithinPartitions("bucket")
@@ -239,7 +281,7 @@ def band(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(DEN / NUM) + 1e-9).astype(np.int64)
 
 
-def _bucket_groups(held):
+def _bucket_groups(held, parts):
     k, i, z = (np.concatenate(c) for c in zip(*held, strict=True))
     n, at = (z >> U64(32)).astype(np.int64), (z & U64(0xFFFFFFFF)).astype(np.int64)
     order = np.lexsort((i, n, k))
@@ -247,10 +289,11 @@ def _bucket_groups(held):
     start = np.flatnonzero(np.diff(k, prepend=~k[:1]) != 0)
     size = np.diff(np.append(start, len(k)))
     many = np.repeat(size, size)
-    keep = many >= 2
-    k, i, n, at, many = k[keep], i[keep], n[keep], at[keep], many[keep]
+    split = parts[(k >> U64(56)).astype(np.int64)] > 1  # others of the group are in other buckets
+    keep = (many >= 2) | split
+    k, i, n, at, many, split = k[keep], i[keep], n[keep], at[keep], many[keep], split[keep]
     pairs = []
-    few = many <= SMALL
+    few = (many <= SMALL) & ~split
     for shift in range(1, SMALL):
         a, b = np.arange(max(0, len(k) - shift)), np.arange(min(shift, len(k)), len(k))
         ok = few[a] & (k[a] == k[b]) & (n[a] * DEN >= n[b] * NUM) & (i[a] != i[b])
@@ -260,11 +303,11 @@ def _bucket_groups(held):
         pairs.append((i[a[ok]], i[b[ok]]))
     large = ~few
     if large.any():
-        k, i, n = k[large], i[large], n[large]
+        k, i, n, split = k[large], i[large], n[large], split[large]
         w = band(n)
         # the first document of each band of a shingle leads its own band and the next
         order = np.lexsort((i, w, k))
-        k, i, n, w = k[order], i[order], n[order], w[order]
+        k, i, n, w, split = k[order], i[order], n[order], w[order], split[order]
         new = (np.diff(k, prepend=~k[:1]) != 0) | (np.diff(w, prepend=w[:1] - 9) != 0)
         lead = np.flatnonzero(new)
         mine = np.cumsum(new) - 1
@@ -280,14 +323,26 @@ def _bucket_groups(held):
         group = np.cumsum(first) - 1
         order = np.lexsort((i, group))
         mark = mix64(i[order].view(U64) + U64(0x9E3779B97F4A7C15))
-        name = mix64(np.add.reduceat(mark, np.flatnonzero(first)))
-        yield from _out(1, name[group].view(np.int64), i, n)
+        name = mix64(np.add.reduceat(mark, np.flatnonzero(first)))[group]
+        name[split] = mix64(k[split])
+        yield from _out(1, name.view(np.int64), i, n)
+        lead = lead[split[lead]]
+        yield from _out(2, k[lead].view(np.int64), i[lead], n[lead])
     a, b = (np.concatenate(c) for c in zip(*pairs, strict=True))
     if len(a):
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         yield from _out(0, both[:, 0], both[:, 1], np.zeros(len(both), np.int64))
 
 
+def leader_pairs(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) that bring the parts of split groups together: each part's leader with the first leader of its band and of the band below."""
+    w = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9).cast("long")
+    leaders = groups.where("kind = 2").select(F.col("x").alias("key"), w.alias("band"), F.col("y").alias("id")).distinct()
+    first = leaders.groupBy("key", "band").agg(F.min("id").alias("first"))
+    both = first.unionByName(first.withColumn("band", F.col("band") + 1))
+    return leaders.join(both, ["key", "band"]).where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
+
+
 def _differ(x: bytes, y: bytes) -> int:
     a, b = np.frombuffer(x, U64)[None], np.frombuffer(y, U64)[None]
     size = min(a.shape[1], b.shape[1])
@@ -432,8 +487,8 @@ def _join_components(docs: DataFrame, words: int) -> DataFrame:
     every = all_sigs.where("not is_count").select("doc_id", "n", "f1", "f2", "bits")
     sigs = every.where("doc_id is not null and n > 0")
     buckets = max(8, total // 4 // BUCKET)
-    groups = materialize(prefix_groups(docs, words, frequency_class(counts), buckets), "groups")
-    pairs = groups.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    groups = materialize(prefix_groups(docs, words, slot_classes(counts, total), class_parts(total / SLOTS), buckets), "groups")
+    pairs = groups.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(leader_pairs(groups)).distinct()
     likely = materialize(bounded_pairs(pairs, sigs), "bounded")
     found = exact_links(docs, likely, words)
     release(likely)

@@ -10,7 +10,7 @@ from tessera.llm.common import U64, mix64
 
 WORDS = 5
 #: Bytes of text hashed at a time; a longer text is a chunk of its own.
-CHUNK = 1_000_000
+CHUNK = 250_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -24,7 +24,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """1, base, base^2, ... modulo 2^64."""
     known = _powers.get(str(base))
     if known is None or len(known) < n:
-        steps = np.full(max(n, CHUNK + 4096), base, U64)
+        steps = np.full(max(n, 2 * CHUNK), base, U64)
         steps[0] = 1
         known = np.cumprod(steps, dtype=U64)
         if len(known) <= 4 * CHUNK:

@@ -84,6 +84,14 @@ def test_small_tiles_force_splits(spark, monkeypatch):
     assert result(spark, rows) == plain_components(rows)
 
 
+def test_groups_split_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "GROUP", 9)
+    monkeypatch.setattr(ngramjoin, "BUCKET", 300)
+    assert ngramjoin.class_parts(1.0)[8] > 1
+    rows = near_copies(4)
+    assert result(spark, rows) == plain_components(rows)
+
+
 def test_sample_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in df.collect()]
