@@ -314,7 +314,7 @@ def entity_expansion(spark, d):
     c = candidates(spark, d)
     top = answers.top(c, 5)
     named = top.where("section_type is not null").select("query_id", "vertical", "section_type").distinct()
-    found = named.join(c.where("score >= 0.9").select("vertical", "section_type", "doc_id"), ["vertical", "section_type"]).select("query_id", "doc_id").distinct()
+    found = named.join(c.where("score >= 0.9").select("vertical", "section_type", "doc_id").distinct(), ["vertical", "section_type"]).select("query_id", "doc_id").distinct()
     return found.join(top.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.6))
 
 

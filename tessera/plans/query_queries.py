@@ -301,9 +301,9 @@ def dates(spark, d):
     return corpus(spark, d).select("n", answers.day_month_year(raw).alias("date"))
 
 
-@query("W14_coverage", f"with q as ({ASKED_SQL}), c as (select n, lower(text) as text from corpus where n <= 200), t as (select query_id, list_filter(string_split_regex(lower(query), '\\s+'), lambda w: length(w) > 2 and w not in ('what', 'is', 'are', 'the', 'a', 'an', 'how', 'why', 'when', 'where')) as terms from q) select query_id, n, len(terms) = 0 or cast(len(list_filter(terms, lambda w: contains(c.text, w))) as double) / greatest(len(terms), 1) >= 0.5 as covered from t join c on c.n % 20 = t.query_id % 20")
+@query("W14_coverage", f"with q as ({ASKED_SQL}), c as (select n, lower(text) as text from corpus), t as (select query_id, list_filter(string_split_regex(lower(query), '\\s+'), lambda w: length(w) > 2 and w not in ('what', 'is', 'are', 'the', 'a', 'an', 'how', 'why', 'when', 'where')) as terms from q) select query_id, n, len(terms) = 0 or cast(len(list_filter(terms, lambda w: contains(c.text, w))) as double) / greatest(len(terms), 1) >= 0.5 as covered from t join c on c.n % 20 = t.query_id % 20")
 def coverage(spark, d):
-    texts = corpus(spark, d).where("n <= 200").select("n", "text", (F.col("n") % 20).alias("k"))
+    texts = corpus(spark, d).select("n", "text", (F.col("n") % 20).alias("k"))
     return asked(spark).withColumn("k", F.col("query_id") % 20).join(texts, "k").select("query_id", "n", answers.covered(F.col("query"), F.col("text")).alias("covered"))
 
 

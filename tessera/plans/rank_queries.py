@@ -73,16 +73,12 @@ _SUPERSESSION = f"select c.doc_id, max(r.source_id) as superseded_by from ({_rel
 query("J28_supersession_map", _SUPERSESSION)(_superseded)
 
 
-@query("J29_J34_superseded_last", f"select c.doc_id, s.doc_id is not null as is_superseded, row_number() over (order by s.doc_id is not null, c.n desc) as place from corpus c left join ({_SUPERSESSION}) s on s.doc_id = c.doc_id where c.n <= 1000")
+@query("J29_J34_superseded_last", f"select c.doc_id, s.doc_id is not null as is_superseded, row_number() over (partition by floor(c.n / 100) order by s.doc_id is not null, c.n desc) as place from corpus c left join ({_SUPERSESSION}) s on s.doc_id = c.doc_id")
 def superseded_last(spark, d):
-    flagged = corpus(spark, d).where("n <= 1000").join(_superseded(spark, d), "doc_id", "left").withColumn("is_superseded", F.col("superseded_by").isNotNull())
-    # a hundred buckets of n keep the ranking from one task: rank in the bucket, plus what the buckets before hold
-    group = flagged.withColumn("bucket", F.floor((1000 - F.col("n")) / 100))
-    counts = group.groupBy("is_superseded", "bucket").count()
-    before = counts.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("is_superseded", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("is_superseded", "bucket").orderBy(F.desc("n")))
-    out = group.withColumn("inside", inside).join(F.broadcast(before.drop("count")), ["is_superseded", "bucket"])
-    return out.select("doc_id", "is_superseded", (F.col("before") + F.col("inside")).cast("long").alias("place"))
+    """Result lists of a hundred documents each, those in force first."""
+    flagged = corpus(spark, d).join(_superseded(spark, d), "doc_id", "left").withColumn("is_superseded", F.col("superseded_by").isNotNull())
+    place = F.row_number().over(Window.partitionBy(F.floor(F.col("n") / 100)).orderBy("is_superseded", F.desc("n")))
+    return flagged.select("doc_id", "is_superseded", place.cast("long").alias("place"))
 
 
 @query(
@@ -179,11 +175,11 @@ def bm25(spark, d):
     return lexical.search(load(spark, d, "documents"), asked)
 
 
-@query("A17_B1_term_statistics", f"with t as (select doc_id, unnest(list_distinct({_TERMS.format('text')})) as term from documents) select term, count(*) as df, round(ln(((select count(*) from documents) - count(*) + 0.5) / (count(*) + 0.5) + 1.0), 6) as idf from t group by term having count(*) >= 20")
+@query("A17_B1_term_statistics", f"with t as (select doc_id, unnest(list_distinct({_TERMS.format('text')})) as term from documents) select term, count(*) as df, round(ln(((select count(*) from documents) - count(*) + 0.5) / (count(*) + 0.5) + 1.0), 6) as idf from t group by term")
 def term_statistics(spark, d):
     docs = load(spark, d, "documents")
     n = docs.agg(F.count("*").alias("n"))
-    df = lexical.postings(docs).groupBy("term").agg(F.count("*").alias("df")).where("df >= 20")
+    df = lexical.postings(docs).groupBy("term").agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(lexical.idf(F.col("df"), F.col("n")), 6).alias("idf"))
 
 

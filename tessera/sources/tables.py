@@ -18,10 +18,10 @@ CORPUS_SQL = """select concat('go_', cast(o_orderkey as string)) as doc_id, o_or
   case when o_orderkey % 7 = 0 then concat('This order supersedes G.O.Ms.No. ', cast(o_orderkey - 7 as string), '. ')
        when o_orderkey % 7 = 1 then concat('It amends G.O.Ms.No. ', cast(o_orderkey - 1 as string), '. ')
        when o_orderkey % 7 = 2 then concat('As per Section ', cast(o_orderkey % 30 + 1 as string), ' of the Act. ') else '' end) as text
- from {orders} where o_orderkey between 7 and 4000"""
+ from {orders}"""
 
-#: Scored candidates of forty queries, with the metadata that scoring and reranking read.
-CANDIDATES_SQL = """select o_orderkey % 40 as query_id, o_orderkey as chunk_id, o_orderkey * 31 % 211 as doc_id,
+#: Scored candidates, a hundred for each query whatever the size, with the metadata that scoring and reranking read.
+CANDIDATES_SQL = """select cast(floor(o_orderkey / 100) as bigint) as query_id, o_orderkey as chunk_id, o_orderkey * 31 % 211 as doc_id,
  case o_orderkey % 5 when 0 then 'go' when 1 then 'legal' when 2 then 'judicial' when 3 then 'data' else 'schemes' end as vertical,
  cast(o_orderkey * 7919 % 1000 as double) / 1000 as score, cast(o_orderkey * 104729 % 1000 as double) / 1000 as bm25,
  cast(2008 + o_orderkey * 13 % 18 as int) as year,
@@ -30,7 +30,7 @@ CANDIDATES_SQL = """select o_orderkey % 40 as query_id, o_orderkey as chunk_id,
  o_orderkey % 11 = 0 as is_superseded,
  case when o_orderkey % 13 = 0 then null else 1500000000 + o_orderkey * 37 % 2000 * 86400 end as date_issued_ts,
  case when o_orderkey % 9 = 0 then 1650000000 + o_orderkey % 100 * 1000000 else null end as effective_to_ts
- from {orders} where o_orderkey <= 6000"""
+ from {orders}"""
 
 
 #: The same documents with what extraction leaves behind: broken words, page marks, artifacts, variant references.
