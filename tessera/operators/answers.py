@@ -58,3 +58,21 @@ def quality(issues: Column, government_first: Column, covers: Column) -> Column:
 
 def cited_numbers(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))))
+
+
+# fixed values: words of answers and queries that ask for verification
+STATISTICS = ["enrollment", "dropout", "attendance", "achievement", "performance", "ratio", "rate", "percentage", "count", "total", "number of"]
+RECENT = ["latest", "current", "recent", "now", "today", "2024", "2025", "as of", "up to date", "newest"]
+
+
+def should_verify(answer: Column, query: Column, confidence: Column) -> Column:
+    """Answers with numbers, with statistics where the query asks for recent ones, or of a confidence under 0.7."""
+    return answer.rlike(r"\d") | F.lower(answer).rlike("|".join(STATISTICS)) & F.lower(query).rlike("|".join(RECENT)) | (confidence < 0.7)
+
+
+def citation(vertical: Column, source: Column, section: Column, go_number: Column, case_number: Column, year: Column) -> Column:
+    """A bibliography entry in the style of its vertical; parts that are null or empty are left out."""
+    some = lambda prefix, c: F.when(c != "", F.concat(F.lit(prefix), c))
+    name, when = F.coalesce(source, F.lit("Unknown Source")), F.concat(F.lit("("), year.cast("string"), F.lit(")"))
+    parts = F.when(vertical == "legal", F.array(name, some("Section ", section), when)).when(vertical == "go", F.array(some("G.O. Ms. No. ", go_number), name, when))
+    return F.concat_ws(", ", F.array_compact(parts.when(vertical == "judicial", F.array(some("", case_number), name, when)).otherwise(F.array(name, when))))

@@ -180,56 +180,9 @@ def rewrites(spark, d):
     return asked(spark).where("query <> ''").select("query_id", F.posexplode(F.array(F.lit("legal provisions"), F.lit("government orders"), F.lit("statistics"))).alias("place", "t"), "query").select("query_id", "place", F.concat("query", F.lit(" "), "t").alias("rewrite"))
 
 
-expression("Q23_dynamic_k", candidates, "chunk_id", "cast(floor(20 * case when chunk_id % 3 = 0 then 15 else 10 end / 10 * case when chunk_id % 5 > 3 then 12 else 10 end / 10) as int)")
-
 # ---- boosts
 
 
-def boost(name: str, sql: str, digits: int = 6) -> None:
-    QUERIES[name] = lambda spark, d: candidates(spark, d).select("chunk_id", F.round(F.expr(sql).cast("double"), digits).alias("value"))
-    ORACLE[name] = oracle(f"select chunk_id, round(cast({sql} as double), {digits}) as value from candidates")
-
-
-boost("B5_term_hybrid", "score * 0.7 + cast(chunk_id % 4 as double) / 4 * 0.3")
-boost("B17_entity_boost", "score * (1 + least(0.3, 0.3 * bm25)) * case when chunk_id % 3 = 0 then 1.1 when chunk_id % 3 = 1 then 1.05 else 1.0 end * case when is_superseded then 0.3 else 1.0 end", 9)
-boost("B18_B19_category_boost", "least(1.0, score + ln((1000 - 1 + 0.5) / 1.5 + 1) * (2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * (chunk_id % 200 + 1) / 100.0))) * 1.8 * 0.1)")
-boost("B25_B27_metadata", "case when year is null then 0.5 else cast(case when vertical = 'go' then 1 else 0 end + case when year >= 2020 then 1 else 0 end as double) / 2 end")
-boost("B29_legal_boost", "case when vertical = 'legal' then score * case when section_type = 'orders' then 1.2 else 1.1 end else score end")
-boost("B30_go_boost", "case when vertical = 'go' then score * case when year >= 2023 then 1.15 when year >= 2020 then 1.1 else 1.0 end * case when is_superseded then 0.8 else 1.0 end else score end")
-boost("B31_judicial_boost", "case when vertical = 'judicial' then score * case when chunk_id % 2 = 0 then 1.2 else 1.1 end else score end")
-boost("B32_data_boost", "case when vertical = 'data' then score * case when section_type = 'table' then 1.15 else 1.0 end * case when year >= 2022 then 1.1 else 1.0 end else score end")
-boost("B33_schemes_boost", "case when vertical = 'schemes' then score * case when chunk_id % 4 = 0 then 1.15 else 1.0 end else score end")
-boost("B34_B36_web_rerank", "1.0 / (chunk_id % 10 + 1) * case when chunk_id % 4 = 0 then 1.5 when chunk_id % 4 = 1 then 1.3 when chunk_id % 4 = 2 then 1.2 else 1.0 end * case when year = 2024 then 1.2 when year = 2023 then 1.1 else 1.0 end")
-boost("Q26_brainstorm_weights", "score * case vertical when 'schemes' then 1.3 when 'data' then 1.2 when 'go' then 1.0 when 'legal' then 0.8 else 0.7 end")
-
-
-@query("B11_domain_relevance", "select a.chunk_id, len(list_intersect(list_distinct(string_split(a.relation_list, ',')), list_distinct(string_split(b.relation_list, ',')))) >= 2 or a.vertical = b.vertical as relevant from candidates a join candidates b on b.chunk_id = a.chunk_id + 1")
-def relevance(spark, d):
-    c = candidates(spark, d).select("chunk_id", "vertical", F.split("relation_list", ",").alias("t"))
-    o = c.select((F.col("chunk_id") - 1).alias("chunk_id"), F.col("vertical").alias("v2"), F.col("t").alias("t2"))
-    return c.join(o, "chunk_id").select("chunk_id", ((F.size(F.array_intersect("t", "t2")) >= 2) | (F.col("vertical") == F.col("v2"))).alias("relevant"))
-
-
-@query("B15_final_relation_rerank", "with r as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r0 from candidates), s as (select query_id, chunk_id, round(score * case when r0 <= 5 and not is_superseded then 1.05 else 1.0 end, 9) as score from r) select query_id, chunk_id, score, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank from s")
-def final_rerank(spark, d):
-    r = fusion.ranked(candidates(spark, d), "score", "r0")
-    s = r.select("query_id", "chunk_id", F.round(F.col("score") * F.when((F.col("r0") <= 5) & ~F.col("is_superseded"), 1.05).otherwise(1.0), 9).alias("score"))
-    return fusion.ranked(s, "score")
-
-
-@query("B16_entity_overlap", "select a.chunk_id, round(cast(len(list_intersect(x, y)) as double) / len(list_distinct(list_concat(x, y))), 6) as overlap from (select chunk_id, list_distinct(string_split(relation_list, ',')) as x from candidates) a join (select chunk_id, list_distinct(string_split(relation_list, ',')) as y from candidates) b on b.chunk_id = a.chunk_id + 2")
-def entity_overlap(spark, d):
-    c = candidates(spark, d).select("chunk_id", F.array_distinct(F.split("relation_list", ",")).alias("x"))
-    o = c.select((F.col("chunk_id") - 2).alias("chunk_id"), F.col("x").alias("y"))
-    return c.join(o, "chunk_id").select("chunk_id", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("overlap"))
-
-
-@query("B37_B38_official_first", "select query_id, chunk_id, cast(row_number() over (partition by query_id order by vertical in ('go', 'legal') desc, score desc, chunk_id) as integer) as place from candidates where score > 0.3")
-def official(spark, d):
-    c = candidates(spark, d).where("score > 0.3")
-    return c.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.col("vertical").isin("go", "legal")), F.desc("score"), "chunk_id")).alias("place"))
-
-
 @query("B3_legal_keyword_boost", "select doc_id, round(case when k > 0 then 1.5 * 2 + k * 0.5 else 1.5 end, 6) as score from (select doc_id, (length(lower(text)) - length(replace(lower(text), 'section', ''))) / 7 + (length(lower(text)) - length(replace(lower(text), 'act', ''))) / 3 as k from corpus)")
 def legal_boost(spark, d):
     from tessera.functions.classify import occurrences
@@ -283,12 +236,6 @@ def coverage_report(spark, d):
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("query_id")), 6))
 
 
-@query("F28_F29_phases", "with a as (select query_id, chunk_id, round(score * case when vertical in ('legal', 'go') then 1.05 else 1.0 end * case when is_superseded then 0.4 else 1.0 end, 9) as s from candidates) select query_id, chunk_id, s as score, cast(r as integer) as rank from (select *, row_number() over (partition by query_id order by s desc, chunk_id) as r from a) where r <= 10")
-def phases(spark, d):
-    boosted = candidates(spark, d).withColumn("score", F.round(F.col("score") * F.when(F.col("vertical").isin("legal", "go"), 1.05).otherwise(1.0) * F.when(F.col("is_superseded"), 0.4).otherwise(1.0), 9))
-    return fusion.ranked(boosted, "score").where("rank <= 10").select("query_id", "chunk_id", "score", "rank")
-
-
 # ---- joins
 
 
@@ -415,31 +362,11 @@ def context(spark, d):
     return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda s: s["line"]), "\n").alias("context"))
 
 
-boost("W21_confidence", "0.5 + case when score >= 0.5 then 0.3 else 0.0 end + case when year >= 2020 then 0.1 else 0.0 end + case when bm25 >= 0.5 then 0.1 else 0.0 end")
-boost("W26_overall_confidence", "0.6 * score + 0.4 * bm25")
-
-
 @query("W23_weak_retrieval", "select query_id, max(score) < 0.97 as weak from candidates group by query_id")
 def weak(spark, d):
     return candidates(spark, d).groupBy("query_id").agg((F.max("score") < 0.97).alias("weak"))
 
 
-@query("W25_claim_consistency", "select n, case when d <= 0.1 then 0.9 when d <= 0.3 then 0.7 else 0.4 end as confidence from (select n, cast(abs(n % 100 + 1 - (n % 83 + 1)) as double) / (n % 100 + 1) as d from corpus)")
-def consistency(spark, d):
-    gap = F.abs(F.col("n") % 100 - F.col("n") % 83) / (F.col("n") % 100 + 1)
-    return corpus(spark, d).select("n", F.when(gap <= 0.1, 0.9).when(gap <= 0.3, 0.7).otherwise(0.4).alias("confidence"))
-
-
-ORACLE["W25_claim_consistency"] = ORACLE["W25_claim_consistency"].replace("else 0.4 end as confidence", "else 0.4 end::double as confidence")
-
-
-@query("W27_citation_styles", "select chunk_id, case vertical when 'legal' then 'Act ' || doc_id || ' (' || year || ')' when 'go' then 'G.O. ' || doc_id || ', ' || year when 'judicial' then 'Case ' || doc_id else vertical || ' ' || doc_id end as entry from candidates")
-def styles(spark, d):
-    v, i, y = F.col("vertical"), F.col("doc_id").cast("string"), F.col("year").cast("string")
-    c = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
-    return candidates(spark, d).select("chunk_id", F.when(v == "legal", c("Act ", i, " (", y, ")")).when(v == "go", c("G.O. ", i, ", ", y)).when(v == "judicial", c("Case ", i)).otherwise(c(v, " ", i)).alias("entry"))
-
-
 @query("W22_W28_key_points", "select doc_id, split_part(text, '.', 1) as point, length(text) > 220 as cut from documents")
 def points(spark, d):
     return load(spark, d, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("point"), (F.length("text") > 220).alias("cut"))

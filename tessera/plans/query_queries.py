@@ -197,14 +197,6 @@ def payload(spark, d):
     return load(spark, d, "documents").select("doc_id", files.payload_text(F.col("text")).alias("text"), F.coalesce("lang", F.lit("unknown")).alias("lang"))
 
 
-@query("S32_cache_lookup", "select doc_id, sha256('classify:m:' || text) as key, case when doc_id % 3 = 0 then lang end as cached from documents")
-def cache(spark, d):
-    docs = load(spark, d, "documents")
-    keyed = docs.select("doc_id", files.cache_key("classify", "m", F.col("text")).alias("key"))
-    stored = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("c_doc"), files.cache_key("classify", "m", F.col("text")).alias("c_key"), F.col("lang").alias("cached"))
-    return keyed.join(stored, (F.col("key") == F.col("c_key")) & (F.col("doc_id") == F.col("c_doc")), "left").select("doc_id", "key", "cached")
-
-
 @query("S26_resume", "select doc_id from documents where doc_id % 7 <> 0")
 def resume(spark, d):
     docs = load(spark, d, "documents").select("doc_id")

@@ -47,10 +47,6 @@ def intent(spark, d):
     return asked(spark).select("query_id", mode.alias("mode"), F.round(F.when(best < 0.3, 0.6).otherwise(best), 6).alias("confidence"))
 
 
-flags("K27_K30_query_tests", {
-    "international": "finland|singapore|south korea|japan|oecd|unesco|world bank|international|global|worldwide|estonia",
-    "verify": "latest|current|recent|statistics|how many|percentage|enrollment|dropout", "boost": r"\b(section|act|rule|scheme|teacher|scholarship|infrastructure|midday meal)\b", "metrics": r"\d+%|ratio|percentage|enrollment|dropout",
-})
 flags("E14_E20_query_entities", {"go_refs": r"go\s*(?:ms\.?|rt\.?)?\s*(?:no\.?)?\s*\d+", "sections": r"section\s+\d+", "acts": r"(rte|right\s+to\s+education|ssa|rmsa|mdm)\s+act", "schemes": r"(nadu-nedu|samagra\s+shiksha|mid\s+day\s+meal|amma\s+vodi)", "hr_terms": "(salary|payscale|recruitment|hiring|contract|private|appointment|vacancy|post)"})
 flags("Q2_rewrite_pattern", {"definition": r"^what\s+(is|are)", "listing": r"\b(list|all|types)\b", "procedure": r"\bhow\s+to\b", "comparison": r"\b(compare|vs|versus)\b"})
 
@@ -75,15 +71,6 @@ def cached(spark, d):
     return c.withColumn("key", key).join(cache, "key", "left").select("doc_id", F.coalesce("hit", "true_vertical").alias("vertical"))
 
 
-@query("K31_K33_status_by_case", "select chunk_id, case when is_superseded then 'superseded' when year >= 2020 then 'active' when year >= 2015 then 'possibly active' else 'archived' end as status, case when vertical = 'judicial' then case when score >= 0.8 then 'binding' when score >= 0.5 then 'persuasive' else 'reference' end end as precedent from candidates")
-def status(spark, d):
-    y, s = F.col("year"), F.col("score")
-    return candidates(spark, d).select(
-        "chunk_id", F.when(F.col("is_superseded"), "superseded").when(y >= 2020, "active").when(y >= 2015, "possibly active").otherwise("archived").alias("status"),
-        F.when(F.col("vertical") == "judicial", F.when(s >= 0.8, "binding").when(s >= 0.5, "persuasive").otherwise("reference")).alias("precedent"),
-    )
-
-
 @query("K19_K20_K22_category_counts", f"select c as category, count(*) as queries from (select unnest(list_filter([{', '.join(f'case when regexp_matches(lower(query), {chr(39)}' + '|'.join(ws) + f'{chr(39)}) then {chr(39)}{c}{chr(39)} end' for c, ws in interpret.CATEGORY_KEYWORDS.items())}], lambda x: x is not null)) as c from ({ASKED_SQL})) group by c")
 def category_counts(spark, d):
     hits = F.array_compact(F.array(*[F.when(F.lower("query").rlike("|".join(ws)), c) for c, ws in interpret.CATEGORY_KEYWORDS.items()]))
@@ -102,12 +89,6 @@ def provenance(spark, d):
     return candidates(spark, d).select("chunk_id", F.to_json(F.struct("doc_id", "vertical", "section_type", "date_issued_ts")).alias("provenance"))
 
 
-@query("M13_M14_hints", "select chunk_id, case vertical when 'legal' then 'check amendments' when 'go' then 'check supersession' when 'judicial' then 'check appeal' when 'data' then 'check year' else 'check eligibility' end as hint from candidates")
-def hints(spark, d):
-    table = F.create_map(*[F.lit(x) for kv in {"legal": "check amendments", "go": "check supersession", "judicial": "check appeal", "data": "check year", "schemes": "check eligibility"}.items() for x in kv])
-    return candidates(spark, d).select("chunk_id", table[F.col("vertical")].alias("hint"))
-
-
 @query("J4_global_order", "select query_id, chunk_id, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank from (select *, row_number() over (partition by query_id, vertical order by score desc, chunk_id) as r from candidates) where r <= 10")
 def global_order(spark, d):
     best = candidates(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("query_id", "vertical").orderBy(F.desc("score"), "chunk_id"))).where("r <= 10")
@@ -144,18 +125,6 @@ def fetch(spark, d):
 ORACLE["J21_fetch_by_identifier"] = ORACLE["J21_fetch_by_identifier"].replace("select i.n, c.chunk_id", "select distinct i.n, c.chunk_id")
 
 
-@query("B12_B14_superseded_flags", "select chunk_id, list_contains(string_split(relation_list, ','), 'supersedes') as supersedes, is_superseded or (vertical = 'go' and year < 2010) as superseded, list_contains(string_split(relation_list, ','), 'cites') and vertical in ('legal', 'go') as cites_important from candidates")
-def superseded_flags(spark, d):
-    has = lambda t: F.array_contains(F.split("relation_list", ","), t)
-    return candidates(spark, d).select("chunk_id", has("supersedes").alias("supersedes"), (F.col("is_superseded") | ((F.col("vertical") == "go") & (F.col("year") < 2010))).alias("superseded"), (has("cites") & F.col("vertical").isin("legal", "go")).alias("cites_important"))
-
-
-@query("B20_boost_terms", rf"select query_id, array_to_string(list_slice(list_distinct(regexp_extract_all(lower(query), '([a-z]{{5,}})', 1)), 1, 100), '') <> '' as any_term, cast(len(list_distinct(regexp_extract_all(lower(query), '([a-z]{{5,}})', 1))) as integer) as terms from ({ASKED_SQL})")
-def boost_terms(spark, d):
-    t = F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"([a-z]{5,})"), F.lit(1)))
-    return asked(spark).select("query_id", (F.size(t) > 0).alias("any_term"), F.size(t).alias("terms"))
-
-
 @query("F2_best_copy_of_fused", "with u as (select query_id, doc_id, chunk_id, score, 1.0 / (60 + row_number() over (partition by query_id order by score desc, chunk_id)) as part from candidates where chunk_id % 2 = 0 union all select query_id, doc_id, chunk_id, bm25, 1.0 / (60 + row_number() over (partition by query_id order by bm25 desc, chunk_id)) from candidates) select query_id, chunk_id, round(sum(part), 9) as rrf, max(score) as best from u group by query_id, chunk_id")
 def best_copy(spark, d):
     c = candidates(spark, d)

@@ -33,6 +33,35 @@ CANDIDATES_SQL = """select cast(floor(o_orderkey / 100) as bigint) as query_id,
  from {orders}"""
 
 
+#: Results of searches with their queries, texts and payloads, a hundred for each query whatever the size.
+RESULTS_SQL = """select cast(floor(o_orderkey / 100) as bigint) as query_id, o_orderkey as chunk_id,
+ case cast(floor(o_orderkey / 100) as bigint) % 8 when 0 then 'latest go ms no 45 on school infrastructure' when 1 then 'rte act section 12 admission criteria' when 2 then 'amma vodi scholarship scheme benefit for students' when 3 then 'fire safety audit of classroom building'
+  when 4 then 'teacher transfer and posting' when 5 then 'scheme' when 6 then 'recent procurement tender specification' else 'high court order on admission rule' end as query,
+ case o_orderkey % 5 when 0 then 'go' when 1 then 'legal' when 2 then 'judicial' when 3 then 'data' else 'schemes' end as vertical,
+ cast(o_orderkey * 7919 % 1000 as double) / 1000 as score,
+ concat(case o_orderkey % 7 when 0 then 'The Landmark judgment is a binding precedent. ' when 1 then 'A pilot in Finland shows success. ' when 2 then 'Enrollment rose to 45.5% and 12 lakh in 2021. ' when 3 then 'This order supersedes the notification. '
+   when 4 then 'The rule was replaced by a circular under the RTE Act. ' when 5 then 'National scheme with Amma Vodi scholarship and hostel. ' else 'Fire safety audit of the classroom building and toilet. ' end,
+  case o_orderkey % 6 when 0 then 'Section 12 admission criteria of the high court order.' when 1 then 'The go ms no 45 on school infrastructure.' when 2 then 'Teacher transfer and posting by the commissioner.' when 3 then 'Tender specification and procurement of furniture; audit of 1,250 units.' when 4 then 'State trial of tables.' else 'None.' end) as content,
+ case when o_orderkey % 13 = 0 then null else cast(2008 + o_orderkey * 13 % 18 as int) end as year,
+ case o_orderkey % 4 when 0 then 'School Education' when 1 then 'Finance' when 2 then null else 'Teacher Training' end as department,
+ case when o_orderkey % 3 = 0 then cast(o_orderkey % 900 as string) else null end as go_number,
+ case o_orderkey % 6 when 0 then 'Constitution of India' when 1 then 'Right to Education Act' when 2 then 'RTE Rules' when 3 then null else 'Service Act' end as act_name,
+ case when o_orderkey % 4 = 1 then cast(o_orderkey % 40 as string) when o_orderkey % 4 = 2 then '' else null end as section_number,
+ case o_orderkey % 7 when 0 then 'Supreme Court of India' when 1 then 'High Court of the State' when 2 then 'District Court' when 3 then 'Service Tribunal' when 4 then null else 'Lok Adalat' end as court_name,
+ o_orderkey * 7 % 17 as citation_count,
+ case o_orderkey % 9 when 0 then 'UDISE' when 1 then 'ASER survey' when 2 then 'OECD Review' when 3 then 'Annual Report 2020' when 4 then null when 5 then 'education.gov.in' when 6 then 'ugc.ac.in' when 7 then 'unesco.org' else 'Gazette' end as source,
+ case o_orderkey % 5 when 0 then 'Active' when 1 then 'ongoing pilot' when 2 then 'closed' else null end as status,
+ case o_orderkey % 6 when 0 then 'https://cse.ap.gov.in/x' when 1 then 'https://iit.ac.in/p' when 2 then 'https://www.worldbank.org/r' when 3 then null else 'https://blog.example.com/y' end as url,
+ case when o_orderkey % 10 = 0 then '' when o_orderkey % 10 = 1 then null else concat('Report of ', cast(2019 + o_orderkey % 8 as string)) end as title,
+ case o_orderkey % 5 when 0 then 'short' when 1 then null else concat('A snippet that is long enough to be kept, with 1,', cast(100 + o_orderkey % 800 as string), ' schools in it.') end as snippet,
+ case o_orderkey % 6 when 0 then 'amends,implements,amends' when 1 then 'supersedes' when 2 then 'cites,governed_by' when 3 then '' when 4 then 'superseded_by,cites' else 'implements' end as relation_list,
+ case o_orderkey % 4 when 0 then 'Section 12' when 1 then 'the manual' when 2 then 'G.O.Ms.No.7' else 'annexure' end as target,
+ o_orderkey % 11 = 0 as is_superseded, o_orderkey % 8 = 3 as is_neighbour,
+ case when o_orderkey % 13 = 0 then null else 1500000000 + o_orderkey * 37 % 2400 * 86400 end as date_issued_ts,
+ case when o_orderkey % 9 = 0 then 1650000000 + o_orderkey % 100 * 1000000 else null end as effective_to_ts
+ from {orders}"""
+
+
 #: The same documents with what extraction leaves behind: broken words, page marks, artifacts, variant references.
 DIRTY_SQL = """select doc_id, n, concat('  GO MS No ', cast(n as string), ' and G.O.Rt.No.', cast(n % 90 as string), ' see Sec. ', cast(n % 12 as string), ' on ', cast(n % 28 + 1 as string), '/05/2024', chr(10), 'educa-', chr(10), 'tion   [Image: fig ', cast(n as string), '] <b>bold</b> data', chr(10), 'Page ', cast(n % 50 as string), chr(10), cast(n % 9 as string), ' of 40', chr(10), '- 4 -', chr(10), '## head', chr(10), 'Govemment 0rder of Andhra  Pradcsh', chr(10), chr(10), chr(10), chr(10), '|~@ 9 ^^', chr(10), text) as text from {corpus}"""
 
@@ -54,8 +83,12 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CANDIDATES_SQL, orders=load(spark, sf_dir, "orders"))
 
 
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(RESULTS_SQL, orders=load(spark, sf_dir, "orders"))
+
+
 def oracle(body: str) -> str:
-    """SQL with the derived tables corpus and candidates before a query over them."""
+    """SQL with the derived tables corpus, candidates and results before a query over them."""
     parts = []
     if "corpus" in body or "dirty" in body:
         parts.append(f"corpus as ({CORPUS_SQL.format(orders='orders')})")
@@ -63,6 +96,8 @@ def oracle(body: str) -> str:
         parts.append(f"dirty as ({DIRTY_SQL.format(corpus='corpus')})")
     if "candidates" in body:
         parts.append(f"candidates as ({CANDIDATES_SQL.format(orders='orders')})")
+    if "results" in body:
+        parts.append(f"results as ({RESULTS_SQL.format(orders='orders')})")
     if not parts:
         return body
     body = body.strip()
