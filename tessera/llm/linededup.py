@@ -1,73 +1,84 @@
 """Line dedup by content-defined chunks of lines; DataFrame operations only.
 
-A line's hash is 32 bits of its MD5. A cyclic rolling hash over WINDOW line hashes ends a chunk
-where it is divisible by DIVISOR, so boundaries depend on the lines around them and not on their
-place in the text. Of chunks of MIN_LINES lines or more whose bytes are equal, the first in order
-of (doc_id, place) stays and the others are removed.
-
-Defined results: null texts stay null; rows without doc_id pass unchanged and own no chunk; rows
-that repeat a doc_id are the same document, so all of them keep its chunks; a text whose lines all
+Each line has a hash, and a rolling hash runs over the hashes of WINDOW lines. Chunk boundaries are the
+places where the rolling hash is one that the corpus holds only here, or here first: they depend on
+the lines around them and not on their place in a text, so texts that share a passage have the same
+chunk there, however they differ around it. What lies between two boundaries is a chunk of lines
+whose every window occurs elsewhere earlier, in order of (doc_id, place); the bytes of each window are compared with
+those of its first occurrence before the chunk goes. Chunks with fewer than MIN_LINES lines that aren't blank stay.
+
+(Boundaries where the rolling hash is divisible by a constant need two of them inside a passage: of
+passages of three or four lines most were kept.)
+
+Defined results: null texts stay null; rows without doc_id pass unchanged and own no window; rows
+that repeat a doc_id are the same document, so all of them keep its windows; a text whose lines all
 go becomes empty (its row stays); lines are separated by \\n alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_IDS, materialize
+from tessera.llm.common import BROADCAST_IDS, materialize, release
 
-#: Chunks are three lines long on average, and removable from two.
-DIVISOR, MIN_LINES = 3, 2
+#: Lines that the rolling hash covers, and lines with words that a chunk must have to go.
+WINDOW, MIN_LINES = 2, 2
 
 
-def chunk_bounds(docs: DataFrame) -> DataFrame:
-    """doc_id, _lines, _chunks: an array of (k, start, size), start from 1."""
+def windows(docs: DataFrame, with_bytes: bool) -> DataFrame:
+    """doc_id, k (the window's first line, from 1) and id (its rolling hash) of every window; its bytes and which of its first and last lines have words, if wanted."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.split("text", "\n", -1).alias("_lines"))
-    hashed = rows.withColumn("_h", F.transform("_lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")))
-    # _h and _ends are each named twice below, which keeps the optimizer from computing them inside the lambdas
-    cuts = "filter(sequence(1, size(_h)), i -> i = size(_h) or i > 1 and ((_h[i - 2] * 2) ^ _h[i - 1]) % {d} = 0)".format(d=DIVISOR)
-    ends = hashed.withColumn("_ends", F.expr(cuts))
-    chunks = "transform(sequence(1, size(_ends)), k -> named_struct('k', k, 'start', if(k = 1, 1, _ends[k - 2] + 1), 'size', _ends[k - 1] - if(k = 1, 0, _ends[k - 2])))"
-    return ends.select("doc_id", "_lines", F.expr(chunks).alias("_chunks"))
+    hashed = rows.withColumn("_h", F.transform("_lines", lambda x: F.xxhash64(x))).where(F.size("_lines") >= WINDOW)
+    rolling = "xxhash64(slice(_h, k, {w}))".format(w=WINDOW)
+    more = ", 'bytes', array_join(slice(_lines, k, {w}), '\n'), 'solid', _lines[k - 1] rlike '[^ \\\\t\\\\r]', 'solid_last', _lines[k + {w} - 2] rlike '[^ \\\\t\\\\r]'".format(w=WINDOW) if with_bytes else ""
+    each = hashed.select("doc_id", F.explode(F.expr(f"transform(sequence(1, size(_h) - {WINDOW - 1}), k -> named_struct('k', k, 'id', {rolling}{more}))")).alias("c"))
+    return each.select("doc_id", "c.*")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, starts and sizes of the chunks to remove (a row for each document that has some)."""
-    spark = docs.sparkSession
-    bounds = chunk_bounds(docs)
-    chunk = bounds.select("doc_id", "_lines", F.explode(F.expr(f"filter(_chunks, c -> c.size >= {MIN_LINES})")).alias("c"))
-    chunk = chunk.select("doc_id", "c.k", "c.start", "c.size", F.array_join(F.slice("_lines", F.col("c.start"), F.col("c.size")), "\n").alias("bytes"))
-    chunk = chunk.withColumn("id", F.xxhash64("bytes"))
-    owners = chunk.groupBy("id").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.max(F.struct("doc_id", "k")).alias("last")).where("first <> last")
+    """doc_id, _gone: starts and sizes of the chunks to remove (a row for each document that has some)."""
+    place = F.struct("doc_id", "k")
+    owners = windows(docs, False).groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     owners = materialize(owners.select("id", F.col("first.doc_id").alias("o_doc"), F.col("first.k").alias("o_k")), "line-owners")
     ids = F.broadcast(owners) if owners.count() <= BROADCAST_IDS else owners
-    # only chunks that occur again are carried with their bytes
-    again = materialize(chunk.join(ids, "id"), "line-chunks")
+    # only windows that occur again are carried with their bytes
+    again = materialize(windows(docs, True).join(ids, "id"), "line-windows")
     mine = (F.col("doc_id") == F.col("o_doc")) & (F.col("k") == F.col("o_k"))
-    # rows that repeat a doc_id would give the owner's chunk several times
+    # rows that repeat a doc_id would give the owner's window several times
     owned = again.where(mine).groupBy("id").agg(F.min("bytes").alias("o_bytes"))
     others = again.where(~mine).join(owned, "id")
-    gone = others.where(F.col("bytes") == F.col("o_bytes")).select("doc_id", "start", "size").distinct()
-    # equal hashes of different bytes: these few chunks are settled by their bytes
+    columns = ["doc_id", "k", "solid", "solid_last"]
+    gone = others.where(F.col("bytes") == F.col("o_bytes")).select(columns)
+    # equal hashes of different bytes: these few windows are settled by their bytes
     odd = others.where(F.col("bytes") != F.col("o_bytes"))
-    odd_first = odd.groupBy("bytes").agg(F.min(F.struct("doc_id", "k")).alias("first"))
-    odd_gone = odd.join(odd_first, "bytes").where(F.struct("doc_id", "k") != F.col("first")).select("doc_id", "start", "size").distinct()
-    del spark
-    return gone.unionByName(odd_gone).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("_gone"))
+    odd_first = odd.groupBy("bytes").agg(F.min(place).alias("first"))
+    odd_gone = odd.join(odd_first, "bytes").where(place != F.col("first")).select(columns)
+    gone = gone.unionByName(odd_gone).distinct()
+    # windows that overlap or touch are one chunk
+    by_place = Window.partitionBy("doc_id").orderBy("k")
+    linked = gone.withColumn("_new", F.when(F.col("k") - F.lag("k").over(by_place) <= WINDOW, 0).otherwise(1)).withColumn("_next", F.lead("k").over(by_place))
+    # a line that the next window starts with is counted there
+    solid = F.col("solid").cast("int") + F.when(F.col("_next") == F.col("k") + 1, 0).otherwise(F.col("solid_last").cast("int"))
+    runs = linked.withColumn("_run", F.sum("_new").over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    chunks = runs.groupBy("doc_id", "_run").agg(F.min("k").alias("start"), (F.max("k") + WINDOW - F.min("k")).alias("size"), F.sum(solid).alias("_solid")).where(F.col("_solid") >= MIN_LINES)
+    found = materialize(chunks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("_gone")), "line-chunks")
+    release(owners, again)
+    return found
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs with the repeated chunks' lines taken out of text, and _removed_lines, _removed_chunks."""
-    gone = repeated_chunks(docs).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, docs["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
-    out = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n", -1)))
+    """docs with the repeated chunks' lines taken out of text, and _removed_lines, _removed_chunks; other columns, whatever their names, stay."""
+    gone = repeated_chunks(docs.select("doc_id", "text"))
+    names = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")  # in a struct, so no name can clash
+    joined = docs.select(row).join(gone, F.col("_row.doc_id").cast("long") == F.col("doc_id"), "left").select("_row", "_gone")
+    out = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("_row.text", "\n", -1)))
     drop = "flatten(transform(_gone, c -> sequence(c.start, c.start + c.size - 1)))"
     out = out.withColumn("_left", F.expr(f"case when _gone is not null then array_except(sequence(1, size(_lines)), {drop}) end"))
-    kept = "case when _gone is null then text else array_join(transform(_left, i -> _lines[i - 1]), '\n') end"
-    return out.withColumn("text", F.expr(kept)).withColumns({
-        "_removed_lines": F.expr("coalesce(size(_lines) - size(_left), 0)"), "_removed_chunks": F.expr("coalesce(size(_gone), 0)"),
-    }).drop("_gone", "_lines", "_left")
+    kept = F.expr("case when _gone is null then _row.text else array_join(transform(_left, i -> _lines[i - 1]), '\n') end")
+    columns = [kept.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names if c not in ("_removed_lines", "_removed_chunks")]
+    return out.select(*columns, F.expr("coalesce(size(_lines) - size(_left), 0)").alias("_removed_lines"), F.expr("coalesce(size(_gone), 0)").alias("_removed_chunks"))
 
 
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,23 +91,24 @@ def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 with l as (
-  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null
-), h as (
-  select *, cast(concat('0x', substr(md5(line), 1, 8)) as bigint) as h, count(*) over (partition by doc_id) as n from l
-), e as (
-  select *, case when i > 1 and xor(lag(h) over (partition by doc_id order by i) * 2, h) % 3 = 0 then 1 else 0 end as ends from h
-), k as (
-  select *, coalesce(sum(ends) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as k from e
-), c as (
-  select doc_id, k, min(i) as start, count(*) as size, string_agg(line, chr(10) order by i) as bytes from k group by doc_id, k
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from documents where text is not null
+), w as (
+  select doc_id, k, line || chr(10) || lead(line) over d as bytes, regexp_matches(line, '[^ \t\r]') as solid, regexp_matches(lead(line) over d, '[^ \t\r]') as solid_last
+  from l window d as (partition by doc_id order by k)
 ), r as (
-  select *, row_number() over (partition by bytes order by doc_id, k) as nth from c
+  select *, row_number() over (partition by bytes order by doc_id, k) as nth from w where bytes is not null
+), g as (
+  select *, case when k - lag(k) over d <= 2 then 0 else 1 end as new, lead(k) over d as next from r where nth > 1 window d as (partition by doc_id order by k)
+), n as (
+  select *, sum(new) over (partition by doc_id order by k) as run from g
+), c as (
+  select doc_id, min(k) as lo, max(k) + 1 as hi, sum(cast(solid as integer) + case when next = k + 1 then 0 else cast(solid_last as integer) end) as solid from n group by doc_id, run
 ), m as (
-  select doc_id, sum(case when size >= 2 and nth > 1 then size else 0 end) as removed_lines, sum(case when size >= 2 and nth > 1 then 1 else 0 end) as removed_chunks,
-         coalesce(string_agg(bytes, chr(10) order by k) filter (where size < 2 or nth = 1), '') as kept
-  from r group by doc_id
+  select l.doc_id, l.k, l.line, c.lo from l left join c on c.doc_id = l.doc_id and c.solid >= 2 and l.k between c.lo and c.hi
+), t as (
+  select doc_id, count(lo) as removed_lines, count(distinct lo) as removed_chunks, coalesce(string_agg(line, chr(10) order by k) filter (where lo is null), '') as kept from m group by doc_id
 )
 select d.doc_id, cast(coalesce(removed_lines, 0) as bigint) as removed_lines, cast(coalesce(removed_chunks, 0) as bigint) as removed_chunks,
        cast(octet_length(encode(coalesce(kept, ''))) as bigint) as kept_bytes, sha256(coalesce(kept, '')) as kept_sha256
-from documents d left join m on d.doc_id = m.doc_id
+from documents d left join t on d.doc_id = t.doc_id
 """

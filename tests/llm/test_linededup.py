@@ -1,25 +1,30 @@
-import hashlib
 import random
 
 from tessera.llm import linededup
 
 
 def plain(rows):
-    owners, out = {}, []
-    for d, t in sorted(((d, t) for d, t in rows if d is not None), key=lambda r: r[0]):
-        lines = (t or "").split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        chunks, start = [], 0
-        for i in range(len(lines)):
-            if i == len(lines) - 1 or i > 0 and ((h[i - 1] * 2) ^ h[i]) % 3 == 0:
-                chunks.append(lines[start : i + 1])
-                start = i + 1
-        kept = []
-        for k, c in enumerate(chunks):
-            body = "\n".join(c)
-            if len(c) < 2 or owners.setdefault(body, (d, k)) == (d, k):
-                kept += c
-        out.append((d, None if t is None else "\n".join(kept)))
+    first, texts = {}, sorted(((d, t) for d, t in rows if d is not None), key=lambda r: r[0])
+    for d, t in texts:
+        lines = (t or "").split("\n") if t is not None else []
+        for i in range(len(lines) - 1):
+            first.setdefault((lines[i], lines[i + 1]), (d, i))
+    out = []
+    for d, t in texts:
+        if t is None:
+            out.append((d, None))
+            continue
+        lines = t.split("\n")
+        gone = {j for i in range(len(lines) - 1) if first[lines[i], lines[i + 1]] != (d, i) for j in (i, i + 1)}
+        runs, now = [], []
+        for i in range(len(lines) + 1):
+            if i in gone:
+                now.append(i)
+            elif now:
+                runs.append(now)
+                now = []
+        drop = {i for run in runs if sum(bool(lines[i].strip(" \t\r")) for i in run) >= 2 for i in run}
+        out.append((d, "\n".join(x for i, x in enumerate(lines) if i not in drop)))
     return out
 
 
@@ -46,3 +51,30 @@ def test_edges(spark):
     assert linededup.line_dedup(spark.createDataFrame([], schema)).collect() == []
     out = linededup.line_dedup(spark.createDataFrame([(None, "a\nb"), (1, "a\nb"), (1, "a\nb"), (2, "a\nb")], schema)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, "a\nb"), (1, "a\nb"), (1, "a\nb"), (2, "")]
+
+
+def test_passages_between_other_lines(spark):
+    """A passage of two lines or more goes from every document but the first, whatever surrounds it."""
+    rng = random.Random(3)
+    own = lambda: " ".join(rng.choice("abcdefghij") * 3 + str(rng.randint(0, 10**6)) for _ in range(12))
+    passages = {n: [own() for _ in range(n)] for n in range(2, 9)}
+    rows, clean, at = [], {}, 0
+    for n, passage in passages.items():
+        for copy in range(4):
+            before, after = [own() for _ in range(rng.randint(0, 4))], [own() for _ in range(rng.randint(1, 4))]
+            rows.append((at, "\n".join(before + passage + after)))
+            clean[at] = "\n".join(before + after) if copy else rows[-1][1]
+            at += 1
+    assert dict(result(spark, rows)) == clean
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b\nc d", "x", 1, 2, 3), (2, "a b\nc d", "y", 4, 5, 6)], "doc_id long, text string, _gone string, _id int, k int, `odd.name` int")
+    out = linededup.line_dedup(df)
+    assert out.columns[:6] == df.columns
+    assert sorted((r.doc_id, r.text, r._gone, r._id, r.k) for r in out.collect()) == [(1, "a b\nc d", "x", 1, 2), (2, "", "y", 4, 5)]
+
+
+def test_blank_lines_alone_stay(spark):
+    rows = [(1, "one\n\n\ntwo"), (2, "three\n\n\nfour\n\nsolo line\n\nfive"), (3, "six\n\nsolo line\n\nseven")]
+    assert result(spark, rows) == rows
