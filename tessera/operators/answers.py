@@ -76,3 +76,21 @@ def citation(vertical: Column, source: Column, section: Column, go_number: Colum
     name, when = F.coalesce(source, F.lit("Unknown Source")), F.concat(F.lit("("), year.cast("string"), F.lit(")"))
     parts = F.when(vertical == "legal", F.array(name, some("Section ", section), when)).when(vertical == "go", F.array(some("G.O. Ms. No. ", go_number), name, when))
     return F.concat_ws(", ", F.array_compact(parts.when(vertical == "judicial", F.array(some("", case_number), name, when)).otherwise(F.array(name, when))))
+
+
+def plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
+def locate(snippets: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, page, confidence: the first page of its document where a snippet stands whole (exact), with its first 50 characters (medium) or with over 70 % of its longer words (low); page 1 and none elsewhere.
+
+    snippets are (doc_id, snippet), pages (doc_id, page, text); a snippet meets its own document's pages alone.
+    """
+    s, t = plain(F.col("snippet")), plain(F.col("text"))
+    head = F.substring(s, 1, 50)
+    words = F.array_distinct(F.filter(F.split(s, " "), lambda w: F.length(w) > 3))
+    shared = F.size(F.array_intersect(words, F.split(t, " "))) / F.greatest(F.size(words), F.lit(1))
+    tier = F.when(t.contains(s), "exact").when((F.length(head) > 20) & t.contains(head), "medium").when((F.size(words) > 5) & (shared > 0.7), "low")
+    best = snippets.join(pages, "doc_id", "left").withColumn("tier", tier).groupBy("doc_id", "snippet").agg(F.min(F.when(F.col("tier").isNotNull(), F.struct("page", "tier"))).alias("hit"))
+    return best.select("doc_id", F.coalesce("hit.page", F.lit(1)).cast("int").alias("page"), F.coalesce("hit.tier", F.lit("none")).alias("confidence"))

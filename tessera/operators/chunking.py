@@ -14,10 +14,10 @@ def paragraphs(text: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
-def pack(parts: Column, least: int, most: int, overlap: int, keep_tail: bool = False, joint: str = "\n\n") -> Column:
+def pack(parts: Column, least: int, most: int, overlap: int, keep_tail: bool = False, joint: str = "\n\n", whole: bool = False) -> Column:
     """Chunks of an array of paragraphs: a group closes when the next paragraph would pass `most`, if it has `least` characters; the next group starts with its last paragraph, or that one's end.
 
-    A last group under `least` is left out, unless keep_tail.
+    A last group under `least` is left out, unless keep_tail. With `whole` the last paragraph is carried over as it is, and the next one counts twice.
     """
     state = "struct<chunks:array<string>,group:array<string>,size:int>"
     start = F.struct(F.array().cast("array<string>").alias("chunks"), F.array().cast("array<string>").alias("group"), F.lit(0).alias("size")).cast(state)
@@ -28,8 +28,8 @@ def pack(parts: Column, least: int, most: int, overlap: int, keep_tail: bool = F
         text = F.array_join(group, joint)
         closes = (size + n > most) & (F.size(group) > 0) & (F.length(text) >= least)
         tail = F.substring(F.element_at(group, -1), F.greatest(F.length(F.element_at(group, -1)) - overlap + 1, F.lit(1)), F.lit(overlap))
-        fresh = F.array(tail, para) if overlap else F.array(para)
-        fresh_size = F.length(tail) + n if overlap else n
+        fresh = F.array(F.element_at(group, -1), para) if whole else F.array(tail, para) if overlap else F.array(para)
+        fresh_size = n * 2 if whole else F.length(tail) + n if overlap else n
         return F.struct(
             F.when(closes, F.concat(chunks, F.array(text))).otherwise(chunks).alias("chunks"),
             F.when(closes, fresh).otherwise(F.concat(group, F.array(para))).alias("group"),

@@ -275,14 +275,6 @@ def reverse_edges(spark, d):
 ORACLE["J25_J27_reverse_edges"] = ORACLE["J25_J27_reverse_edges"].replace("then 0.3 else 1.0 end as factor", "then cast(0.3 as double) else 1.0 end as factor")
 
 
-@query("J32_snippet_location", "with s as (select doc_id, lower(substr(text, 1, 60)) as snippet from documents where doc_id % 50 = 0 and length(text) > 80) select s.doc_id, min(p.doc_id) as found from s join documents p on starts_with(lower(p.text), s.snippet) group by s.doc_id")
-def snippets(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
-    asked_ = docs.where("doc_id % 50 = 0 and length(t) > 80").select("doc_id", F.substring("t", 1, 60).alias("snippet"))
-    # the snippet's own bytes are the key: no text meets more than the snippets it starts with
-    return asked_.join(docs.select(F.col("doc_id").alias("p"), F.substring("t", 1, 60).alias("snippet")), "snippet").groupBy("doc_id").agg(F.min("p").alias("found"))
-
-
 @query("J39_preferred_with_fallback", "select query_id, chunk_id from (select *, max(case when vertical = 'go' and score > 0.98 then 1 else 0 end) over (partition by query_id) as any_go from candidates) where any_go = 0 or (vertical = 'go' and score > 0.98)")
 def preferred(spark, d):
     good = (F.col("vertical") == "go") & (F.col("score") > 0.98)

@@ -223,7 +223,7 @@ def by_entity(spark, d):
 
 
 @query(
-    "M1_M4_chunk_metadata",
+    "M1_chunk_metadata",
     r"select doc_id, nullif(regexp_extract(text, '(?i)G\.O\.Ms\.No\. (\d+)', 1), '') as go_number, nullif(regexp_extract(text, '\b((?:19|20)\d{2})\b', 1), '') as year, nullif(regexp_extract(text, '(?i)Section\s+(\d+)', 1), '') as section, nullif(regexp_extract(text, '(?i)Petition No\. (\d+)', 1), '') as case_number, length(text) as char_count from corpus",
 )
 def metadata(spark, d):

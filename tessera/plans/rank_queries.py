@@ -122,16 +122,6 @@ def paragraphs(spark, d):
     return corpus(spark, d).select("doc_id", chunking.paragraphs(F.col("text")).alias("p")).select("doc_id", F.size("p").alias("n"), F.element_at("p", 1).alias("first"), F.element_at("p", -1).alias("last"))
 
 
-@query("H2_H3_packed_chunks")
-def packed(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return chunking.chunk(docs, 600, 1200, 100)
-
-
-for _id, _vertical in (("H4", "go"), ("H6", "legal"), ("H8", "judicial"), ("H10", "scheme"), ("H12", "data")):
-    QUERIES[f"{_id}_chunks_{_vertical}"] = lambda spark, d, v=_vertical: chunking.chunk(load(spark, d, "documents").select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text")), *chunking.SIZES[v])
-
-
 @query(
     "G9_legal_sections",
     r"select doc_id, regexp_extract(text, '(?im)^(?:Section|Sec\.?)\s+(\d+[A-Z]?)', 1) as section_number, regexp_replace(regexp_extract(text, '(?ims)^(?:Section|Sec\.?)\s+\d.*', 0), '^\s+|\s+$', '', 'g') as content from corpus where regexp_matches(text, '(?im)^(?:Section|Sec\.?)\s+\d')",

@@ -77,13 +77,6 @@ def category_counts(spark, d):
     return asked(spark).select(F.explode(hits).alias("category")).groupBy("category").agg(F.count("*").alias("queries"))
 
 
-@query("M5_M7_chunk_entities", r"select doc_id, case when regexp_matches(text, '(?i)section\s+\d') then 1 else 0 end as sections, cast(len(list_slice(list_distinct(regexp_extract_all(text, '(?i)Table\s+(\d+)', 1)), 1, 5)) as integer) as tables from corpus")
-def chunk_entities(spark, d):
-    found = entities.key_entities(entities.all_entities(F.col("text")), F.col("text"))
-    kept = F.coalesce(F.try_element_at(found, F.lit("sections")), F.array().cast("array<string>"))
-    return corpus(spark, d).select("doc_id", F.when(F.size(kept) > 0, 1).otherwise(0).alias("sections"), F.size(F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?i)Table\s+(\d+)"), F.lit(1))), 1, 5)).alias("tables"))
-
-
 @query("M11_provenance")
 def provenance(spark, d):
     return candidates(spark, d).select("chunk_id", F.to_json(F.struct("doc_id", "vertical", "section_type", "date_issued_ts")).alias("provenance"))

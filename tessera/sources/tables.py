@@ -62,6 +62,23 @@ RESULTS_SQL = """select cast(floor(o_orderkey / 100) as bigint) as query_id, o_o
  from {orders}"""
 
 
+#: Documents of the five verticals, long and short, with the sections, points and tables that their chunkers look for.
+STRUCTURED_SQL = """select o_orderkey as doc_id, case o_orderkey % 5 when 0 then 'go' when 1 then 'legal' when 2 then 'judicial' when 3 then 'data' else 'scheme' end as vertical,
+ case o_orderkey % 5
+ when 0 then concat('Government of the State. Abstract.', chr(10), 'Sub: Schools of district ', cast(o_orderkey as string), chr(10), 'Ref: letters', chr(10), chr(10), repeat(concat('WHEREAS paragraph of preamble for ', cast(o_orderkey as string), ' is placed here at some length.', chr(10), chr(10)), cast(o_orderkey % 31 as int)),
+   case when o_orderkey % 3 = 0 then '' else concat('ORDER:', chr(10)) end, case when o_orderkey % 4 = 1 then '' else 'Government, after careful examination, hereby decide.' end, chr(10),
+   repeat(concat('1. The committee of ', cast(o_orderkey as string), ' shall meet and report to the head of the office.', chr(10), '(a) Minutes are kept.', chr(10)), cast(o_orderkey % 17 as int)), 'ANNEXURE', chr(10), 'List')
+ when 1 then concat('The Public Act.', chr(10), repeat(concat('Section ', cast(o_orderkey % 30 as string), '. Admission', chr(10), repeat(concat('(1) Every child of ward ', cast(o_orderkey as string), ' has a place in a school near by.', chr(10), '(a) No fee is due.', chr(10)), cast(o_orderkey % 23 as int)), 'Sec. 31A Fees', chr(10), 'None.', chr(10)), cast(o_orderkey % 3 as int)),
+   repeat(concat('Closing words of the act for ', cast(o_orderkey as string), chr(10), chr(10)), cast(o_orderkey % 40 as int)))
+ when 2 then concat('High Court. Petition ', cast(o_orderkey as string), '.', chr(10), case when o_orderkey % 4 = 0 then '' else concat('FACTS: the teacher was moved.', chr(10), chr(10), repeat(concat('A fact about case ', cast(o_orderkey as string), ' that the court heard on that day in full.', chr(10), chr(10)), cast(o_orderkey % 29 as int)), 'ARGUMENTS: both sides spoke.', chr(10)) end,
+   repeat(concat('1. The petitioner of ', cast(o_orderkey as string), ' says that the rule was not followed.', chr(10), '(ii) The respondent denies it.', chr(10)), cast(o_orderkey % 21 as int)), 'JUDGMENT: dismissed.', chr(10))
+ when 3 then concat('Annual report of block ', cast(o_orderkey as string), '.', chr(10), 'Section 1: Overview', chr(10), 'Enrollment grew.', chr(10), chr(10), repeat(concat('Prose about schools of block ', cast(o_orderkey as string), ' without columns.', chr(10), chr(10)), cast(o_orderkey % 33 as int)), 'Table ', cast(o_orderkey % 9 + 1 as string), ': Enrollment by year', chr(10),
+   repeat(concat('a', cast(o_orderkey % 7 as string), ' | 10 | 20', chr(10)), cast(o_orderkey % 60 as int)), 'Section 2: Findings', chr(10), 'More text.', chr(10), chr(10), chr(10), 'Figure 2: Growth', chr(10), 'The line climbs.', chr(10), 'Annexure 3: Names', chr(10), 'x', chr(10))
+ else concat('Vidya Scheme of ', cast(o_orderkey as string), ' for children.', chr(10), 'ELIGIBILITY: who may ask', chr(10), repeat(concat('- a child of ward ', cast(o_orderkey as string), ' below the line who goes to school', chr(10)), cast(o_orderkey % 37 as int)), 'BENEFITS: what is given', chr(10), repeat(concat('a sum for family ', cast(o_orderkey as string), ' each month of the year', chr(10), chr(10)), cast(o_orderkey % 41 as int)),
+   case when o_orderkey % 2 = 0 then concat('HOW TO APPLY: at the office.', chr(10)) else '' end) end as text
+ from {orders}"""
+
+
 #: The same documents with what extraction leaves behind: broken words, page marks, artifacts, variant references.
 DIRTY_SQL = """select doc_id, n, concat('  GO MS No ', cast(n as string), ' and G.O.Rt.No.', cast(n % 90 as string), ' see Sec. ', cast(n % 12 as string), ' on ', cast(n % 28 + 1 as string), '/05/2024', chr(10), 'educa-', chr(10), 'tion   [Image: fig ', cast(n as string), '] <b>bold</b> data', chr(10), 'Page ', cast(n % 50 as string), chr(10), cast(n % 9 as string), ' of 40', chr(10), '- 4 -', chr(10), '## head', chr(10), 'Govemment 0rder of Andhra  Pradcsh', chr(10), chr(10), chr(10), chr(10), '|~@ 9 ^^', chr(10), text) as text from {corpus}"""
 
@@ -83,12 +100,16 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CANDIDATES_SQL, orders=load(spark, sf_dir, "orders"))
 
 
+def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(STRUCTURED_SQL, orders=load(spark, sf_dir, "orders"))
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RESULTS_SQL, orders=load(spark, sf_dir, "orders"))
 
 
 def oracle(body: str) -> str:
-    """SQL with the derived tables corpus, candidates and results before a query over them."""
+    """SQL with the derived tables corpus, candidates, structured and results before a query over them."""
     parts = []
     if "corpus" in body or "dirty" in body:
         parts.append(f"corpus as ({CORPUS_SQL.format(orders='orders')})")
@@ -96,6 +117,8 @@ def oracle(body: str) -> str:
         parts.append(f"dirty as ({DIRTY_SQL.format(corpus='corpus')})")
     if "candidates" in body:
         parts.append(f"candidates as ({CANDIDATES_SQL.format(orders='orders')})")
+    if "structured" in body:
+        parts.append(f"structured as ({STRUCTURED_SQL.format(orders='orders')})")
     if "results" in body:
         parts.append(f"results as ({RESULTS_SQL.format(orders='orders')})")
     if not parts:
