@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,8 +21,11 @@ MOST_PARTITIONS = 20_000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The folder named by spark.checkpoint.dir; where none is set, a folder of our own in a local session and one in the warehouse on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        spark.conf.set("spark.checkpoint.dir", root)
     if not root:
         own = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)

@@ -1,7 +1,8 @@
 """Deep-shallow sorting of strings of one width.
 
-Shallow: a multikey sort on characters of eight bytes, down to a set depth. Deep: strings that are
-still equal there are ordered by a blind trie, which looks at the bytes where strings part and
+Shallow: multikey quicksort on characters of eight bytes, down to a set depth: a group is parted by
+one character into what is smaller than, equal to and larger than a pivot, and only the equal part
+goes on to the next character. Deep: strings that are still equal there are ordered by a blind trie, which looks at the bytes where strings part and
 compares each string whole with one leaf only.
 """
 
@@ -11,6 +12,8 @@ import numpy as np
 
 #: Bytes sorted by the multikey step.
 SHALLOW = 16
+#: Groups up to this size aren't parted any further.
+SMALL_GROUP = 48
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -73,6 +76,32 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(words: np.ndarray) -> np.ndarray:
+    """Order of the rows of characters (uint64), equal rows next to each other."""
+    order = np.arange(len(words))
+    stack = [(0, len(words), 0)] if words.shape[1] else []
+    while stack:
+        lo, hi, depth = stack.pop()
+        group = order[lo:hi]
+        if hi - lo <= SMALL_GROUP:  # few strings are put in order at once, from this character on
+            order[lo:hi] = group[np.lexsort(words[group, depth:].T[::-1])]
+            continue
+        keys = words[group, depth]
+        some = np.sort(keys[:: max(1, (hi - lo) // 99)])
+        pivot = some[len(some) // 2]
+        less, same = keys < pivot, keys == pivot
+        a = lo + int(less.sum())
+        b = a + int(same.sum())
+        order[lo:hi] = np.concatenate([group[less], group[same], group[~less & ~same]])
+        if a - lo > 1:
+            stack.append((lo, a, depth))
+        if hi - b > 1:
+            stack.append((b, hi, depth))
+        if b - a > 1 and depth + 1 < words.shape[1]:
+            stack.append((a, b, depth + 1))
+    return order
+
+
 def sort_strings(rows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows (uint8, one string each), and each row's common prefix with the one before it in that order."""
     n, width = rows.shape
@@ -81,7 +110,7 @@ def sort_strings(rows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray,
     depth = min(shallow, width) // 8 * 8
     if depth:
         words = np.ascontiguousarray(rows[:, :depth]).view(">u8").astype(np.uint64)
-        order = np.lexsort(words.T[::-1])
+        order = multikey_quicksort(words)
         tied = (words[order[1:]] == words[order[:-1]]).all(axis=1)
     else:
         order, tied = np.arange(n), np.ones(n - 1, bool)

@@ -38,7 +38,8 @@ _OTHER = re.compile(r"[\W\d_]+")
 def features(text: str | None) -> np.ndarray | None:
     """Square roots of the frequencies of hashed byte 2-, 3- and 4-grams of the text's words, of length 1; None without letters."""
     words = _OTHER.sub(" ", (text or "").lower()).strip()
-    if not words:
+    # what is neither letter nor mark nor decimal digit (fractions, superscripts, Roman numerals) isn't a letter either
+    if not words or not words.isascii() and not any(map(str.isalpha, words)):
         return None
     a = np.frombuffer(f" {words} ".encode(), np.uint8).astype(np.uint32)
     out = np.zeros(DIMS)

@@ -46,7 +46,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     again = materialize(windows(docs, True).join(ids, "id"), "line-windows")
     mine = (F.col("doc_id") == F.col("o_doc")) & (F.col("k") == F.col("o_k"))
     # rows that repeat a doc_id would give the owner's window several times
-    owned = again.where(mine).groupBy("id").agg(F.min("bytes").alias("o_bytes"))
+    # (written down first: a join alone can split a hot window's rows over tasks)
+    owned = materialize(again.where(mine).groupBy("id").agg(F.min("bytes").alias("o_bytes")), "line-owned")
     others = again.where(~mine).join(owned, "id")
     columns = ["doc_id", "k", "solid", "solid_last"]
     gone = others.where(F.col("bytes") == F.col("o_bytes")).select(columns)
@@ -63,7 +64,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     runs = linked.withColumn("_run", F.sum("_new").over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     chunks = runs.groupBy("doc_id", "_run").agg(F.min("k").alias("start"), (F.max("k") + WINDOW - F.min("k")).alias("size"), F.sum(solid).alias("_solid")).where(F.col("_solid") >= MIN_LINES)
     found = materialize(chunks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("_gone")), "line-chunks")
-    release(owners, again)
+    release(owners, again, owned)
     return found
 
 

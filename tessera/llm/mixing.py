@@ -12,12 +12,14 @@ for sooner start over (epoch 1, 2, ...), so no document is left out; the last sl
 Defined results: null sources are one source of their own; repeated rows are documents of their
 own; rows without doc_id are mixed too; an empty table gives no rows; sources that the given
 weights don't name, or give a weight that is not above 0, are an error, since their documents
-would have to go.
+would have to go. Columns of docs that have the names of the added ones are replaced by those.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ PERIOD = 4096
 BLOCK = 16
 #: Without given weights a source's share follows its number of documents to this power.
 TEMPERATURE = 0.9
+# fixed values: how much more of some sources the registered query asks for, by a hash of their names
+TILT = (1.0, 1.5, 2.0)
 
 
 def quotas(weights: dict, period: int = PERIOD) -> tuple[dict, int]:
@@ -64,17 +68,17 @@ def schedule(slots: dict, period: int) -> list[tuple]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD, temperature: float = TEMPERATURE) -> DataFrame:
-    """docs with mix_block, mix_epoch, mix_release, mix_deadline, mix_slot and mix_seat (place in the block). Read in order of slot and seat it is the mix."""
+def mix(docs: DataFrame, weights: dict | Callable[[dict], dict] | None = None, block: int = BLOCK, period: int = PERIOD, temperature: float = TEMPERATURE) -> DataFrame:
+    """docs with mix_block, mix_epoch, mix_release, mix_deadline, mix_slot and mix_seat (place in the block). Read in order of slot and seat it is the mix. weights may be a function of the sources' sizes."""
     spark = docs.sparkSession
     source = F.col("source").cast("string")
     sizes = {r["s"]: r["n"] for r in docs.groupBy(source.alias("s")).agg(F.count("*").alias("n")).collect()}  # a row for each source
-    weights = weights if weights is not None else {s: n**temperature for s, n in sizes.items()}
+    weights = weights(sizes) if callable(weights) else weights if weights is not None else {s: n**temperature for s, n in sizes.items()}
     if bad := [s for s in sizes if not weights.get(s, 0) > 0]:
         raise ValueError(f"no weight above 0 for the sources {bad}")
     added = "mix_block long, mix_epoch long, mix_release long, mix_deadline long, mix_slot long, mix_seat int"
     if not sizes:
-        return docs.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in added.split(", "))])
+        return docs.select(*[f"`{c}`" for c in docs.columns if c not in added.replace(",", "").split()[::2]], *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in added.split(", "))])
     slots, period = quotas({s: weights[s] for s in sizes}, period)
     blocks = {s: -(-n // block) for s, n in sizes.items()}
     plan = schedule(slots, period)
@@ -91,7 +95,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period
 
     # a document's place in its source: by a hash, ranked in salted groups, so that a hot source is many groups
     salts = max(64, sum(sizes.values()) // 20_000)
-    names = docs.columns
+    names = [c for c in docs.columns if c not in added.replace(",", "").split()[::2]]
     row = docs.select(F.struct("*").alias("_row"), source.alias("_source"), F.xxhash64(F.lit(17), "doc_id").alias("_order"))
     row = row.withColumn("_salt", F.floor((F.col("_order") / 2.0**64 + 0.5) * salts).cast("int"))
     groups = docs.select(source.alias("_source"), F.floor((F.xxhash64(F.lit(17), "doc_id") / 2.0**64 + 0.5) * salts).cast("int").alias("_salt"))
@@ -114,6 +118,11 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period
     )
 
 
+def tilted(sizes: dict) -> dict:
+    """Unequal targets: each source's size to the power TEMPERATURE, times one of TILT by its name."""
+    return {s: n**TEMPERATURE * TILT[zlib.crc32(str(s).encode()) % len(TILT)] for s, n in sizes.items()}
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    return mix(docs)
+    return mix(docs, tilted)

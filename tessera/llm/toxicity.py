@@ -6,6 +6,9 @@ trie with the word's Levenshtein automaton (one edit from FUZZY_FROM letters on)
 quotation marks or next to reporting words count as quotation, the others as abuse; a logistic
 model over these sums, fitted on the same bounded sample, gives the score.
 
+Bounds: the sample (SAMPLE_TOXIC, SAMPLE_CLEAN) and the lexicon (LEXICON entries) are bounded; words of
+over 64 letters are matched but not learnt; a quotation that isn't closed within 60 words is none.
+
 Defined results: null and empty texts have no hits and get the score of a text without hits;
 without labels of both kinds the score is 0 for all; repeated rows are scored each; labels of ids
 that occur several times count once (the largest).
@@ -168,7 +171,9 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pdf.assign(least=[min(zlib.crc32(" ".join(w[i : i + 3]).encode()) for i in range(max(1, len(w) - 2))) for w in words])
 
     rows = rows.mapInPandas(least, "doc_id long, text string, toxic int, least long")
-    return materialize(rows.dropDuplicates(["toxic", "least"]).drop("least"), "toxic-sample")
+    # the smallest id of each group, so that every run learns the same
+    first = rows.groupBy("toxic", "least").agg(F.min(F.struct("doc_id", "text")).alias("first"))
+    return materialize(first.select("first.doc_id", "first.text", "toxic"), "toxic-sample")
 
 
 def learn_lexicon(rows: DataFrame) -> tuple[dict[str, tuple[float, bool]], set[str]]:

@@ -25,6 +25,9 @@ from tessera.llm.common import delete, materialize, new_path
 REVISIT_MIN_BYTES = 100
 #: Archives are rotated after so many records, so that a reader holds one small file at a time.
 RECORDS_PER_ARCHIVE = 3000
+#: Captures with payloads above this go to archives of one capture's records, so a file never holds more than
+#: RECORDS_PER_ARCHIVE / 3 payloads of this size, or one larger one.
+LARGE_PAYLOAD = 1 << 18
 
 RECORDS = (
     "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, warc_date string, "
@@ -74,8 +77,13 @@ def write_archives(pages: DataFrame, path: str, warc_date: str = "2024-01-01T00:
         whole(_headers(("WARC-Type", F.when(revisit, "revisit").otherwise("response")), ("WARC-Record-ID", urn("response")), date, ("WARC-Target-URI", uri), ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")), ("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:capture:"), F.col("refers_to").cast("string"), F.lit(":response>")))), ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))), ("Content-Type", F.lit("application/http;msgtype=response")), ("Content-Length", size(block))), block),
         whole(_headers(("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", urn("metadata")), ("WARC-Concurrent-To", urn("request")), date, ("WARC-Target-URI", uri), ("Content-Type", F.lit("application/warc-fields")), ("Content-Length", size(meta))), meta),
     ]
-    out = captures.select(F.explode(F.array(*records)).alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path)
+    large = F.col("payload_bytes") > LARGE_PAYLOAD
+    parts = [("archives", captures, RECORDS_PER_ARCHIVE)]
+    if not pages.where(F.octet_length("html") > LARGE_PAYLOAD).limit(1).isEmpty():
+        parts = [("archives", captures.where(~large), RECORDS_PER_ARCHIVE), ("large", captures.where(large), len(records))]
+    for name, part, most in parts:
+        out = part.select(F.explode(F.array(*records)).alias("value"))
+        out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/{name}")
 
 
 def _inflate(content: bytes) -> bytes:

@@ -33,3 +33,10 @@ def test_held_out_accuracy(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.identify(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in out) >= 0.97 * len(out)
+
+
+def test_texts_without_letters_have_no_features():
+    for t in (None, "", " \n", "12 34", "½ ¼", "² ³", "Ⅷ Ⅳ", "___ --- 5²"):
+        assert langid.features(t) is None
+    for t in ("a", "é ½", "日本", "x²"):
+        assert langid.features(t) is not None

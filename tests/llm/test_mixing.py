@@ -55,3 +55,26 @@ def test_default_weights_empty_repeats_and_missing_weight(spark):
     assert mixing.mix(df.limit(0)).collect() == []
     with pytest.raises(ValueError, match="no weight"):
         mixing.mix(df, {"a": 1.0}).collect()
+
+
+def test_schedule_against_a_plain_search():
+    """Slot by slot, of all blocks that are released and not yet placed the one with the earliest deadline."""
+    for weights in ({"a": 5, "b": 3, "c": 1}, {"a": 100, "b": 1, "c": 33}, {str(i): i + 1 for i in range(9)}):
+        slots, period = mixing.quotas(weights, 64)
+        names = sorted(slots, key=str)
+        left = [(k * period // slots[s], -(-(k + 1) * period // slots[s]), i, k, s) for i, s in enumerate(names) for k in range(slots[s])]
+        plain = []
+        for slot in range(period):
+            best = min((x for x in left if x[0] <= slot), key=lambda x: (x[1], x[2], x[3]))
+            left.remove(best)
+            plain.append((best[4], best[3], best[0], best[1], slot))
+        assert mixing.schedule(slots, period) == plain
+
+
+def test_names_that_clash_and_a_function_of_sizes(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], i, "x") for i in range(40)], "doc_id long, source string, mix_slot int, `_row` string")
+    out = mixing.mix(df, mixing.tilted, block=4, period=8)
+    assert out.columns[:3] == ["doc_id", "source", "_row"] and out.columns.count("mix_slot") == 1
+    assert {r.doc_id for r in out.select("doc_id", "mix_slot").collect()} == set(range(40))
+    assert "mix_slot" in mixing.mix(df.limit(0)).columns and mixing.mix(df.limit(0)).count() == 0
+    assert mixing.tilted({"a": 100, "b": 100}) != {"a": 100**0.9, "b": 100**0.9} or mixing.TILT == (1.0,)

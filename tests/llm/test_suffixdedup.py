@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from tessera.llm import suffixdedup
+from tessera.llm import deepshallow, suffixdedup
 from tessera.llm.deepshallow import sort_strings
 
 
@@ -79,3 +79,14 @@ def test_empty_nulls_and_repeats(spark):
     assert result(spark, [(1, "no repeat " * 3 + "at all in this text, which is long enough")]) == plain([(1, "no repeat " * 3 + "at all in this text, which is long enough")])
     rows = [(1, "q" * 80), (1, "q" * 80), (2, "b" + "q" * 80), (None, "q" * 80)]
     assert [r[:4] for r in result(spark, rows)] == [(1, 80, 0, 0), (2, 81, 80, 1)]
+
+
+def test_multikey_quicksort_against_sorted():
+    rng = np.random.default_rng(5)
+    for n, high in ((0, 3), (1, 3), (40, 3), (3000, 2), (3000, 50), (3000, 2**60)):
+        words = rng.integers(0, high, (n, 3)).astype(np.uint64)
+        order = deepshallow.multikey_quicksort(words)
+        assert sorted(order.tolist()) == list(range(n))
+        assert words[order].tolist() == sorted(words.tolist())
+    same = np.ones((500, 2), np.uint64)
+    assert sorted(deepshallow.multikey_quicksort(same).tolist()) == list(range(500))

@@ -45,3 +45,14 @@ def test_foreign_archives(spark, tmp_path):
     got = {r.capture_id: r for r in warc.assemble(warc.read_records(spark, str(tmp_path), with_payload=True)).collect()}
     assert set(got) == {"<r1>", "<r2>"} and bytes(got["<r1>"].response.payload) == b"body"
     assert got["<r1>"].request.record_id == "<q1>" and got["<r1>"].metadata is None and got["<r2>"].metadata.page_id == 8
+
+
+def test_large_payloads_have_archives_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE_PAYLOAD", 1000)
+    rows = [(i, "u", str(i) * (2000 if i % 3 == 0 else 50), "p") for i in range(1, 13)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
+    warc.write_archives(df, str(tmp_path / "w"))
+    large = [f for f in (tmp_path / "w" / "large").rglob("part-*")]
+    assert len(large) == 4 and all(len(list(warc.parse_archive(f.read_bytes()))) == 3 for f in large)
+    got = run(spark, rows)
+    assert {k: r.response.payload_bytes for k, r in got.items()} == {i: len(h) for i, _, h, _ in rows}
