@@ -78,6 +78,59 @@ def citation(vertical: Column, source: Column, section: Column, go_number: Colum
     return F.concat_ws(", ", F.array_compact(parts.when(vertical == "judicial", F.array(some("", case_number), name, when)).otherwise(F.array(name, when))))
 
 
+# fixed values: buckets of policy reasoning, the vertical and the most results of each; what issues call for
+REASONING = {"constitutional_foundation": ("legal", 3), "statutory_framework": ("legal", 3), "administrative_orders": ("go", 3), "judicial_precedents": ("judicial", 2), "data_evidence": ("data", 2), "implementation_schemes": ("schemes", 2)}
+SUGGESTIONS = [("citation", "Add proper citations to sources"), ("government", "Prioritize government/legal sources"), ("coverage", "Ensure answer addresses all query terms"), ("hallucination", "Verify all factual claims against sources")]
+
+
+def reasoning(df: DataFrame) -> DataFrame:
+    """query_id, bucket, place, chunk_id: the best results of each bucket's vertical."""
+    place = F.row_number().over(Window.partitionBy("query_id", "vertical").orderBy(F.desc("score"), "chunk_id"))
+    buckets = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(v).alias("of"), F.lit(n).alias("most")) for b, (v, n) in REASONING.items()])
+    rows = df.withColumn("place", place).where(F.col("place") <= max(n for _, n in REASONING.values()))
+    mine = F.filter(buckets, lambda b: (b["of"] == F.col("vertical")) & (b["most"] >= F.col("place")))
+    return rows.select("query_id", F.explode(mine).alias("b"), "place", "chunk_id").select("query_id", "b.bucket", "place", "chunk_id")
+
+
+def citation_issues(cited: Column, known: Column) -> Column:
+    """What is wrong with an answer's citations."""
+    foreign = F.filter(cited, lambda c: c.isNotNull() & ~F.array_contains(known, c))
+    named = F.transform(foreign, lambda c: F.concat(F.lit("Citation "), c.cast("string"), F.lit(" not in source results")))
+    return F.when(F.size(cited) == 0, F.array(F.lit("No citations"))).otherwise(named)
+
+
+def suggestions(issues: Column) -> Column:
+    def one(issue: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for word, text in SUGGESTIONS:
+            out = out.when(F.lower(issue).contains(word), text)
+        return out
+
+    return F.array_compact(F.transform(issues, one))
+
+
+def parsed(text: Column) -> Column:
+    """(summary, kind, body) of a model's answer: its direct answer and what follows, else its first paragraph in one line and the other lines."""
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    direct = r"(?is)1\.\s*\*\*Direct Answer:?\*\*\s*(.*?)(?=\n\d+\.|\n\n|\z)"
+    whole = F.regexp_extract(t, direct, 0)
+    rest = F.regexp_replace(F.substring(t, F.regexp_instr(t, F.lit(direct)) + F.length(whole), F.length(t)), r"^\s+|\s+$", "")
+    lines = lambda x: F.filter(F.transform(F.split(x, "\n"), lambda y: F.trim(y)), lambda y: y != "")
+    head = F.split(t, r"\n[ \t]*\n", 2)
+    body = F.array_join(lines(F.coalesce(F.get(head, F.lit(1)), F.lit(""))), "\n")
+    answered = F.struct(F.trim(F.regexp_extract(t, direct, 1)).alias("summary"), F.when(rest != "", "detailed_analysis").alias("kind"), rest.alias("body"))
+    other = F.struct(F.array_join(lines(F.get(head, F.lit(0))), " ").alias("summary"), F.when(body != "", "main_content").alias("kind"), body.alias("body"))
+    return F.when(whole != "", answered).otherwise(other)
+
+
+def fenced_json(text: Column) -> Column:
+    """From the first to the last brace of a fenced block, or of the text; the text itself without braces."""
+    t = F.trim(text)
+    inside = F.when(F.regexp_instr(t, F.lit(r"(?s)```(?:json)?\s*(.*?)\s*```")) > 0, F.trim(F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)\s*```", 1))).otherwise(t)
+    first, last = F.instr(inside, "{"), F.length(inside) - F.instr(F.reverse(inside), "}") + 1
+    return F.when((first > 0) & F.contains(inside, F.lit("}")), F.substring(inside, first, F.greatest(last - first + 1, F.lit(0)))).otherwise(inside)
+
+
 def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 

@@ -65,9 +65,9 @@ def light_rerank(df: DataFrame, overlap: Column, metadata: Column, k: int) -> Da
     return ranked(out, "rerank_score").where(F.col("rank") <= k)
 
 
-def policy_rerank(df: DataFrame, overlap: Column, metadata: Column, k: int, now: int = 2024) -> DataFrame:
+def policy_rerank(df: DataFrame, overlap: Column, metadata: Column, k: int, now: int = 2024, act_name: Column | None = None, court: Column | None = None) -> DataFrame:
     """0.4 similarity, 0.2 authority, 0.15 recency, 0.15 overlap, 0.1 metadata; the best k, with up to three verticals among them."""
-    s = 0.4 * F.col("score") + 0.2 * scoring.authority(F.col("vertical")) + 0.15 * scoring.recency_steps(F.col("year"), now) + 0.15 * overlap + 0.1 * metadata
+    s = 0.4 * F.col("score") + 0.2 * scoring.authority(F.col("vertical"), act_name, court) + 0.15 * scoring.recency_steps(F.col("year"), now) + 0.15 * overlap + 0.1 * metadata
     return vertical_diversity(ranked(df.withColumn("rerank_score", F.round(s, 9)), "rerank_score"), k)
 
 

@@ -114,7 +114,7 @@ def legal_clause(spark, d):
     hit = low.rlike("section|article|rule|clause|act|rte|cce|apsermc") & low.rlike(r"\d")
     for p in _LEGAL:
         hit = hit | low.rlike(p)
-    return asked(spark).select("query_id", hit.alias("legal"))
+    return asked(spark, d).select("query_id", hit.alias("legal"))
 
 
 _WEB = [r"\blatest\b", r"\brecent\b", r"\bcurrent\b", r"\bnew\b", r"\bupdated\b", r"\bthis\s+year\b", r"\btoday\b", r"\bnow\b", r"\bpresent\b", r"\b202[4-9]\b", r"\b203\d\b", r"\bnews\b", r"\bannouncement\b", r"\blaunched?\b", r"\bintroduced\b", r"\bchanges?\b", r"\bversus\b", r"\bvs\.?\b", r"\bcompare.*(?:with|to)\b", r"\bdifference.*between\b"]
@@ -124,7 +124,7 @@ _WEB = [r"\blatest\b", r"\brecent\b", r"\bcurrent\b", r"\bnew\b", r"\bupdated\b"
 def internet_router(spark, d):
     q = F.col("query")
     scope = F.when(F.lower(q).rlike("latest|recent|today|this year"), "recent").when(F.lower(q).rlike("comprehensive|all|complete|overview"), "broad").otherwise("specific")
-    return asked(spark).select("query_id", (interpret.votes(q, _WEB) > 0).alias("internet"), scope.alias("scope"))
+    return asked(spark, d).select("query_id", (interpret.votes(q, _WEB) > 0).alias("internet"), scope.alias("scope"))
 
 
 _TRIGGERS = "recent|latest|current|new|today|yesterday|this week|this month|this year|2024|2025|update|progress|status|now|currently|international|global|worldwide|other states|other countries|comparison|benchmarking|best practices|external|outside andhra pradesh|internet|search|online|web|google|find out|look up|check|verify"
@@ -132,7 +132,7 @@ _TRIGGERS = "recent|latest|current|new|today|yesterday|this week|this month|this
 
 @query("K26_triggers", f"select query_id, query_id % 4 = 0 or query_id % 3 = 0 or regexp_matches(lower(query), '{_TRIGGERS}') as use_internet from ({ASKED_SQL})")
 def triggers(spark, d):
-    return asked(spark).select("query_id", (F.expr("query_id % 4 = 0 or query_id % 3 = 0") | F.lower("query").rlike(_TRIGGERS)).alias("use_internet"))
+    return asked(spark, d).select("query_id", (F.expr("query_id % 4 = 0 or query_id % 3 = 0") | F.lower("query").rlike(_TRIGGERS)).alias("use_internet"))
 
 
 _ABBREVIATIONS = {"rte": "right to education", "fln": "foundational literacy numeracy", "mdm": "mid day meal", "tet": "teacher eligibility test", "go": "government order", "cwsn": "children with special needs"}
@@ -148,7 +148,7 @@ def expanded(spark, d):
         bare = F.regexp_replace(w, "[.,!?;:]+$", "")
         return F.coalesce(F.concat(F.try_element_at(table, bare), F.substring(w, F.length(bare) + 1, F.length(w))), w)
 
-    return asked(spark).select("query_id", F.array_join(F.transform(F.filter(F.split(text, " "), lambda w: w != ""), one), " ").alias("expanded"))
+    return asked(spark, d).select("query_id", F.array_join(F.transform(F.filter(F.split(text, " "), lambda w: w != ""), one), " ").alias("expanded"))
 
 
 @query("C23_academic_years", r"select n, array_to_string(list_transform(regexp_extract_all(text, '\b((?:19|20)\d{2})\b', 1), lambda y: cast(cast(y as integer) - 1 as varchar) || '-' || substr(y, 3, 2)), ' ') as years from corpus")
@@ -167,7 +167,7 @@ _STEMS = {"teacher": ["educator", "faculty"], "school": ["institution"], "scheme
 )
 def synonyms(spark, d):
     table = F.broadcast(spark.createDataFrame([(k, v) for k, vs in _STEMS.items() for v in vs], "word string, synonym string"))  # a dictionary of fixed size
-    q = asked(spark)
+    q = asked(spark, d)
     words = q.select("query_id", F.lower("query").alias("low"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"(\w+)"), F.lit(1)))).alias("word"))
     hits = words.join(table, "word").where(~F.col("low").contains(F.col("synonym")))
     ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.length("synonym")), "synonym"))).where("r <= 3")
@@ -177,7 +177,7 @@ def synonyms(spark, d):
 
 @query("Q1_Q4_rewrites", f"select query_id, p as place, query || ' ' || t as rewrite from ({ASKED_SQL}) cross join (values (0, 'legal provisions'), (1, 'government orders'), (2, 'statistics')) x(p, t) where query <> ''")
 def rewrites(spark, d):
-    return asked(spark).where("query <> ''").select("query_id", F.posexplode(F.array(F.lit("legal provisions"), F.lit("government orders"), F.lit("statistics"))).alias("place", "t"), "query").select("query_id", "place", F.concat("query", F.lit(" "), "t").alias("rewrite"))
+    return asked(spark, d).where("query <> ''").select("query_id", F.posexplode(F.array(F.lit("legal provisions"), F.lit("government orders"), F.lit("statistics"))).alias("place", "t"), "query").select("query_id", "place", F.concat("query", F.lit(" "), "t").alias("rewrite"))
 
 
 # ---- boosts
@@ -336,18 +336,6 @@ def display(spark, d):
     return corpus(spark, d).select("doc_id", F.coalesce(some(r"The ([A-Z][A-Za-z ]+ Act, \d{4})"), F.concat(F.lit("G.O. "), some(r"G\.O\.Ms\.No\. (\d+)")), F.col("doc_id")).alias("name"))
 
 
-@query("W8_W9_parsed_answers", "select n, 'S' || n as summary, case when n % 2 = 0 then 2 else 1 end as sections from corpus")
-def parsed_answers(spark, d):
-    text = F.concat(F.lit("Summary: S"), F.col("n").cast("string"), F.lit("\n## One\nx"), F.when(F.col("n") % 2 == 0, "\n## Two\ny").otherwise(""))
-    return corpus(spark, d).select("n", F.regexp_extract(text, r"Summary: ([^\n]+)", 1).alias("summary"), F.size(F.regexp_extract_all(text, F.lit(r"(?m)^## ([^\n]+)"), F.lit(1))).alias("sections"))
-
-
-@query("W13_unknown_citations", "select chunk_id from candidates where chunk_id % 10 = 0 and chunk_id not in (select chunk_id from candidates where score >= 0.5)")
-def unknown(spark, d):
-    c = candidates(spark, d)
-    return c.where("chunk_id % 10 = 0").select("chunk_id").join(c.where("score >= 0.5").select("chunk_id"), "chunk_id", "left_anti")
-
-
 @query("W18_W20_context_and_bibliography", "select query_id, string_agg('[' || rank || '] ' || vertical || ' ' || chunk_id, chr(10) order by rank) as context from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from candidates) where rank <= 5 group by query_id")
 def context(spark, d):
     top = answers.top(candidates(spark, d), 5).select("query_id", "rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "vertical", F.lit(" "), F.col("chunk_id").cast("string")).alias("line"))
@@ -364,16 +352,6 @@ def points(spark, d):
     return load(spark, d, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("point"), (F.length("text") > 220).alias("cut"))
 
 
-@query("S44_content_fallback", "select page_id, case when length(regexp_replace(html, '<[^>]+>', '', 'g')) > length(url) * 20 then 'content' else 'snippet' end as used from pages")
-def fallback(spark, d):
-    return load(spark, d, "pages").select("page_id", F.when(F.length(F.regexp_replace("html", "<[^>]+>", "")) > F.length("url") * 20, "content").otherwise("snippet").alias("used"))
-
-
-@query("S33_cache_statistics", "select lang, count(*) as entries, sum(length(text)) as size from documents where n_chars >= 500 group by lang")
-def cache_statistics(spark, d):
-    return load(spark, d, "documents").where("n_chars >= 500").groupBy("lang").agg(F.count("*").alias("entries"), F.sum(F.length("text").cast("long")).alias("size"))
-
-
 @query("S37_distinct_before_embedding", "select count(distinct text) as texts from documents")
 def distinct_texts(spark, d):
     return load(spark, d, "documents").select("text").distinct().agg(F.count("*").alias("texts"))
@@ -391,5 +369,3 @@ def session_counts(spark, d):
     from tessera.streaming.ingest import sessions
 
     return sessions(load(spark, d, "events")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
-
-

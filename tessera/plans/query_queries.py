@@ -21,11 +21,14 @@ ASKED = [
     "show me all types of scholarship", "how many teachers", "what works in Finland and Singapore", "",
 ]
 _VALUES = ", ".join(f"({i}, '{q}')" for i, q in enumerate(ASKED, 1))
-ASKED_SQL = f"select * from (values {_VALUES}) v(query_id, query)"
+#: The listed queries, and every user's turn of the conversations.
+ASKED_SQL = f"select cast(query_id as bigint) as query_id, query from (values {_VALUES}) v(query_id, query) union all select 1000 + conv_id * 1000 + turn, text from conversations where role = 'user' and text is not null"
 
 
-def asked(spark):
-    return spark.createDataFrame(list(enumerate(ASKED, 1)), "query_id int, query string")
+def asked(spark, sf_dir):
+    listed = spark.createDataFrame(list(enumerate(ASKED, 1)), "query_id long, query string")
+    turns = load(spark, sf_dir, "conversations").where("role = 'user' and text is not null")
+    return listed.unionByName(turns.select((F.lit(1000) + F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("query_id"), F.col("text").alias("query")))
 
 
 def query(name: str, sql: str | None = None):
@@ -56,23 +59,23 @@ _TYPE = f"""with q as ({ASKED_SQL}), v as (select *, {_V} from q), b as (select
  i as (select query_id, query, query_type, confidence, case when broad > narrow then 'broad' when narrow > broad then 'narrow' else 'medium' end as scope, needs_internet from s)"""
 
 
-def interpreted(spark):
+def interpreted(spark, d):
     q = F.col("query")
-    out = asked(spark).withColumn("t", interpret.query_type(q)).select("query_id", "query", "t.query_type", "t.confidence", interpret.scope(q).alias("scope"), interpret.needs_internet(q).alias("needs_internet"))
+    out = asked(spark, d).withColumn("t", interpret.query_type(q)).select("query_id", "query", "t.query_type", "t.confidence", interpret.scope(q).alias("scope"), interpret.needs_internet(q).alias("needs_internet"))
     return out
 
 
 @query("K12_K16_interpretation", _TYPE + " select query_id, query_type, confidence, scope, needs_internet, query_type in ('framework', 'brainstorm') or scope = 'broad' or (query_type = 'policy' and scope = 'medium') as deep from i")
 def interpretation(spark, d):
-    return interpreted(spark).withColumn("deep", interpret.needs_deep_mode(F.col("query_type"), F.col("scope"))).drop("query")
+    return interpreted(spark, d).withColumn("deep", interpret.needs_deep_mode(F.col("query_type"), F.col("scope"))).drop("query")
 
 
 _STOP = ", ".join(f"'{w}'" for w in interpret.KEYWORD_STOPWORDS)
 
 
-@query("E15_keywords", f"select query_id, array_to_string(list_slice(list_filter(regexp_extract_all(lower(query), '(\\w+)', 1), lambda w: length(w) > 2 and w not in ({_STOP})), 1, 10), ' ') as keywords from ({ASKED_SQL})")
+@query("E15_keywords", f"select query_id, array_to_string(list_slice(list_filter(regexp_extract_all(lower(query), '([\\p{{L}}\\p{{N}}_]+)', 1), lambda w: length(w) > 2 and w not in ({_STOP})), 1, 10), ' ') as keywords from ({ASKED_SQL})")
 def keywords(spark, d):
-    return asked(spark).select("query_id", F.array_join(interpret.keywords(F.col("query")), " ").alias("keywords"))
+    return asked(spark, d).select("query_id", F.array_join(interpret.keywords(F.col("query")), " ").alias("keywords"))
 
 
 _NORM = r"regexp_replace(regexp_replace(trim(regexp_replace(lower(query), '\s+', ' ', 'g')), '\s+([.,!?;:])', '\1', 'g'), '([.,!?;:])\s*$', '')"
@@ -80,10 +83,10 @@ _ALT = "|".join(interpret.FILLERS)
 _FILLER = rf"regexp_replace(regexp_replace(trim(regexp_replace(lower({{}}), '\s+', ' ', 'g')), '^(?:(?:{_ALT})(?: |$))+', ''), '(?:(?:^| )(?:{_ALT}))+$', '')"
 
 
-@query("C20_C22_query_cleaning", rf"select query_id, {_NORM} as normal, {_FILLER.format('query')} as bare, trim(regexp_replace(regexp_replace({_FILLER.format(_NORM)}, '[^\w\s-]', ' ', 'g'), '\s+', ' ', 'g')) as bm25 from ({ASKED_SQL})")
+@query("C20_C22_query_cleaning", rf"select query_id, {_NORM} as normal, {_FILLER.format('query')} as bare, trim(regexp_replace(regexp_replace({_FILLER.format(_NORM)}, '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g'), '\s+', ' ', 'g')) as bm25 from ({ASKED_SQL})")
 def cleaning(spark, d):
     q = F.col("query")
-    return asked(spark).select("query_id", interpret.normalize(q).alias("normal"), interpret.remove_filler(q).alias("bare"), interpret.clean_for_bm25(q).alias("bm25"))
+    return asked(spark, d).select("query_id", interpret.normalize(q).alias("normal"), interpret.remove_filler(q).alias("bare"), interpret.clean_for_bm25(q).alias("bm25"))
 
 
 _ROUTE = " union all ".join(f"select query_id, {i} as place, '{v}' as vertical, round(least({' + '.join(f'case when contains(lower(query), {w!r}) then 0.3 else 0 end' for w in ws)}, 1.0), 6) as confidence from q" for i, (v, ws) in enumerate(interpret.V1_KEYWORDS.items()))
@@ -94,7 +97,7 @@ _ROUTE = " union all ".join(f"select query_id, {i} as place, '{v}' as vertical,
     f"with q as ({ASKED_SQL}), s as (select * from ({_ROUTE}) where confidence > 0), d as (select query_id, unnest([0, 1]) as place, unnest(['legal', 'go']) as vertical, unnest([0.6, 0.4]) as confidence from q where query_id not in (select query_id from s)) select query_id, vertical, cast(confidence as double) as confidence, cast(row_number() over (partition by query_id order by confidence desc, place) - 1 as integer) as place from (select * from s union all select * from d)",
 )
 def route(spark, d):
-    return asked(spark).select("query_id", F.posexplode(interpret.route_v1(F.col("query"))).alias("place", "r")).select("query_id", "r.vertical", "r.confidence", "place")
+    return asked(spark, d).select("query_id", F.posexplode(interpret.route_v1(F.col("query"))).alias("place", "r")).select("query_id", "r.vertical", "r.confidence", "place")
 
 
 _CATS = " union all ".join(f"select query_id, {i} as place, '{c}' as category, {' + '.join(f'case when regexp_matches(query, {chr(39)}(?i)\\b{w}\\b{chr(39)}) then {len(w.split())} else 0 end' for w in ws)} as score from q" for i, (c, ws) in enumerate(interpret.CATEGORY_KEYWORDS.items()))
@@ -102,7 +105,7 @@ _CATS = " union all ".join(f"select query_id, {i} as place, '{c}' as category, {
 
 @query("K21_categories", f"with q as ({ASKED_SQL}), s as (select *, max(score) over (partition by query_id) as best from ({_CATS})) select query_id, category, cast(r as integer) as rank from (select *, row_number() over (partition by query_id order by score desc, place) as r from s where best > 0 and score >= 0.1 * best) where r <= 3")
 def categories(spark, d):
-    return asked(spark).select("query_id", F.posexplode(interpret.categories(F.col("query"))).alias("p", "category")).select("query_id", "category", (F.col("p") + 1).alias("rank"))
+    return asked(spark, d).select("query_id", F.posexplode(interpret.categories(F.col("query"))).alias("p", "category")).select("query_id", "category", (F.col("p") + 1).alias("rank"))
 
 
 def _mode_sql(i: int) -> str:
@@ -119,7 +122,7 @@ _PLAN = f"""{_TYPE}, m as (select *, case {' '.join(f"when query_type = '{k}' th
 
 @query("Q19_Q21_plan", _PLAN)
 def plan(spark, d):
-    return interpreted(spark).select("query_id", interpret.plan(F.col("query_type"), F.col("scope"), F.col("query_id") % 5 + 1).alias("p")).select("query_id", "p.*")
+    return interpreted(spark, d).select("query_id", interpret.plan(F.col("query_type"), F.col("scope"), F.col("query_id") % 5 + 1).alias("p")).select("query_id", "p.*")
 
 
 @query("Q15_Q18_collections", f"select vertical, {'case ' + ' '.join(f'when vertical = {k!r} then {v!r}' for k, v in interpret.COLLECTIONS.items()) + ' end'} as collection, count(*) as n from candidates group by vertical")
@@ -157,7 +160,7 @@ def clause_lookup(spark, d):
 
 @query("J18_fast_path", f"select query_id, len(regexp_extract_all(lower(query), '(?:section|rule|article|clause)\\s+\\d+', 0)) >= 1 as fast from ({ASKED_SQL})")
 def fast_path(spark, d):
-    return asked(spark).select("query_id", (F.size(F.regexp_extract_all(F.lower("query"), F.lit(r"(?:section|rule|article|clause)\s+\d+"), F.lit(0))) >= 1).alias("fast"))
+    return asked(spark, d).select("query_id", (F.size(F.regexp_extract_all(F.lower("query"), F.lit(r"(?:section|rule|article|clause)\s+\d+"), F.lit(0))) >= 1).alias("fast"))
 
 
 # ---- web pages and files
@@ -236,13 +239,6 @@ def document_summary(spark, d):
     return corpus(spark, d).groupBy("true_vertical").agg(F.count("*").alias("documents"), F.countDistinct(F.regexp_extract("text", r"\b((?:19|20)\d{2})\b", 1)).alias("years"))
 
 
-@query("M9_sidecar_join", "select c.query_id, c.chunk_id, coalesce(c.section_type, 's' || c.doc_id % 4) as section_type, s.n as doc_chunks from candidates c left join (select doc_id, count(*) as n from candidates group by doc_id) s using (doc_id)")
-def sidecar(spark, d):
-    c = candidates(spark, d)
-    side = c.groupBy("doc_id").agg(F.count("*").alias("doc_chunks"))
-    return c.join(side, "doc_id", "left").select("query_id", "chunk_id", F.coalesce("section_type", F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string"))).alias("section_type"), "doc_chunks")
-
-
 @query("M12_quality_indicators", "select chunk_id, case when score >= 0.8 then 'high' when score >= 0.6 then 'medium' else 'low' end as confidence, round(score, 3) as score from candidates")
 def indicators(spark, d):
     s = F.col("score")
@@ -293,10 +289,10 @@ def dates(spark, d):
     return corpus(spark, d).select("n", answers.day_month_year(raw).alias("date"))
 
 
-@query("W14_coverage", f"with q as ({ASKED_SQL}), c as (select n, lower(text) as text from corpus), t as (select query_id, list_filter(string_split_regex(lower(query), '\\s+'), lambda w: length(w) > 2 and w not in ('what', 'is', 'are', 'the', 'a', 'an', 'how', 'why', 'when', 'where')) as terms from q) select query_id, n, len(terms) = 0 or cast(len(list_filter(terms, lambda w: contains(c.text, w))) as double) / greatest(len(terms), 1) >= 0.5 as covered from t join c on c.n % 20 = t.query_id % 20")
+@query("W14_coverage", f"with q as ({ASKED_SQL}), c as (select n, lower(text) as text from corpus), t as (select query_id, list_filter(string_split_regex(lower(query), '\\s+'), lambda w: length(w) > 2 and w not in ('what', 'is', 'are', 'the', 'a', 'an', 'how', 'why', 'when', 'where')) as terms from q) select query_id, n, len(terms) = 0 or cast(len(list_filter(terms, lambda w: contains(c.text, w))) as double) / greatest(len(terms), 1) >= 0.5 as covered from t join c on c.n % 20 + 1 = t.query_id")
 def coverage(spark, d):
-    texts = corpus(spark, d).select("n", "text", (F.col("n") % 20).alias("k"))
-    return asked(spark).withColumn("k", F.col("query_id") % 20).join(texts, "k").select("query_id", "n", answers.covered(F.col("query"), F.col("text")).alias("covered"))
+    texts = corpus(spark, d).select("n", "text", (F.col("n") % 20 + 1).alias("k"))
+    return asked(spark, d).withColumn("k", F.col("query_id")).join(texts, "k").select("query_id", "n", answers.covered(F.col("query"), F.col("text")).alias("covered"))
 
 
 @query("W15_W24_claims", r"with c as (select n, text, flatten([regexp_extract_all(text, '\d+%', 0), regexp_extract_all(text, '\d{4}', 0), regexp_extract_all(text, '(?i)Section\s+\d+', 0), regexp_extract_all(text, '(?i)GO\.?\s*\w*\.?\s*No\.?\s*\d+', 0)]) as claims from corpus) select a.n, len(a.claims) as claims, len(a.claims) > 0 and cast(len(list_filter(a.claims, lambda x: not contains(lower(b.text), lower(x)))) as double) / greatest(len(a.claims), 1) > 0.3 as hallucinated from c a join c b on b.n = a.n + 5")

@@ -130,8 +130,6 @@ def legal(spark, d):
     return chunking.legal_sections(corpus(spark, d)).select("doc_id", "section_number", "content")
 
 
-
-
 def _marked_sql(vertical: str, markers: list[str]) -> str:
     at = " union all ".join(f"select doc_id, text, '{m.lower()}' as section_type, strpos(text, chr(10) || '{m}') + 1 as place from corpus where true_vertical = '{vertical}' and contains(text, chr(10) || '{m}')" for m in markers)
     return f"with s as ({at}) select doc_id, section_type, length(trim(substr(text, place, coalesce(lead(place) over (partition by doc_id order by place), length(text) + 1) - place))) as size from s"
@@ -314,11 +312,6 @@ def weighted(spark, d):
     return fusion.weighted(candidates(spark, d), _WEIGHTS, {"score": 0.5, "bm25": 0.3}).select("chunk_id", F.round("weighted_score", 6).alias("weighted_score"), F.round("fused", 6).alias("fused"))
 
 
-@query("F17_light_rerank", "select query_id, chunk_id, cast(rank as integer) as rank, rerank_score from (select *, row_number() over (partition by query_id order by rerank_score desc, chunk_id) as rank from (select query_id, chunk_id, round(0.7 * score + 0.2 * bm25 + 0.1 * (chunk_id % 3) / 2.0, 9) as rerank_score from candidates)) where rank <= 10")
-def light(spark, d):
-    return fusion.light_rerank(candidates(spark, d), F.col("bm25"), (F.col("chunk_id") % 3) / 2.0, 10).select("query_id", "chunk_id", "rank", "rerank_score")
-
-
 _POLICY = f"""with s as (select query_id, chunk_id, vertical, round(0.4 * score + 0.2 * {_case('vertical', scoring.VERTICAL_AUTHORITY, 0.5)} + 0.15 * case when 2024 - year <= 1 then 1.0 when 2024 - year <= 3 then 0.9 when 2024 - year <= 5 then 0.8 when 2024 - year <= 10 then 0.6 else 0.3 end + 0.15 * bm25 + 0.1 * 0.5, 9) as rerank_score from candidates),
  r as (select *, row_number() over (partition by query_id order by rerank_score desc, chunk_id) as r0 from s),
  v as (select *, row_number() over (partition by query_id, vertical order by r0) as v1, count(*) over (partition by query_id, vertical) as n from r),

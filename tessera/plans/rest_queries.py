@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def flags(name: str, patterns: dict[str, str]) -> None:
     """One boolean column for each pattern over the lower-cased queries."""
-    QUERIES[name] = lambda spark, d: asked(spark).select("query_id", *[F.lower("query").rlike(p).alias(c) for c, p in patterns.items()])
+    QUERIES[name] = lambda spark, d: asked(spark, d).select("query_id", *[F.lower("query").rlike(p).alias(c) for c, p in patterns.items()])
     ORACLE[name] = f"select query_id, {', '.join(f'regexp_matches(lower(query), {chr(39)}{p}{chr(39)}) as {c}' for c, p in patterns.items())} from ({ASKED_SQL})"
 
 
@@ -44,17 +44,16 @@ def intent(spark, d):
     s = {k: F.least(0.3 * interpret.votes(F.lower("query"), ps), F.lit(1.0)) for k, ps in INTENTS.items()}
     best = F.greatest(*s.values())
     mode = F.when(best < 0.3, "qa").when(s["comprehensive"] == best, "deep_think").when(s["qa"] == best, "qa").otherwise("brainstorm")
-    return asked(spark).select("query_id", mode.alias("mode"), F.round(F.when(best < 0.3, 0.6).otherwise(best), 6).alias("confidence"))
+    return asked(spark, d).select("query_id", mode.alias("mode"), F.round(F.when(best < 0.3, 0.6).otherwise(best), 6).alias("confidence"))
 
 
-flags("E14_E20_query_entities", {"go_refs": r"go\s*(?:ms\.?|rt\.?)?\s*(?:no\.?)?\s*\d+", "sections": r"section\s+\d+", "acts": r"(rte|right\s+to\s+education|ssa|rmsa|mdm)\s+act", "schemes": r"(nadu-nedu|samagra\s+shiksha|mid\s+day\s+meal|amma\s+vodi)", "hr_terms": "(salary|payscale|recruitment|hiring|contract|private|appointment|vacancy|post)"})
 flags("Q2_rewrite_pattern", {"definition": r"^what\s+(is|are)", "listing": r"\b(list|all|types)\b", "procedure": r"\bhow\s+to\b", "comparison": r"\b(compare|vs|versus)\b"})
 
 
 @query("E16_temporal", rf"select query_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(query, '\b((?:19|20)\d{{2}})\b', 1), regexp_extract_all(lower(query), '\b(last\s+year|this\s+year|next\s+year|recent|current|previous)\b', 1)))), ',') as refs from ({ASKED_SQL})")
 def temporal(spark, d):
     found = F.concat(F.regexp_extract_all("query", F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), F.regexp_extract_all(F.lower("query"), F.lit(r"\b(last\s+year|this\s+year|next\s+year|recent|current|previous)\b"), F.lit(1)))
-    return asked(spark).select("query_id", F.array_join(entities.tidy(found), ",").alias("refs"))
+    return asked(spark, d).select("query_id", F.array_join(entities.tidy(found), ",").alias("refs"))
 
 
 @query("E17_entity_places", "select doc_id, 'section' as kind, strpos(text, regexp_extract(text, '(?i)Section\\s+\\d+', 0)) - 1 as start, regexp_extract(text, '(?i)Section\\s+(\\d+)', 1) as value from corpus where regexp_matches(text, '(?i)Section\\s+\\d+')")
@@ -74,7 +73,7 @@ def cached(spark, d):
 @query("K19_K20_K22_category_counts", f"select c as category, count(*) as queries from (select unnest(list_filter([{', '.join(f'case when regexp_matches(lower(query), {chr(39)}' + '|'.join(ws) + f'{chr(39)}) then {chr(39)}{c}{chr(39)} end' for c, ws in interpret.CATEGORY_KEYWORDS.items())}], lambda x: x is not null)) as c from ({ASKED_SQL})) group by c")
 def category_counts(spark, d):
     hits = F.array_compact(F.array(*[F.when(F.lower("query").rlike("|".join(ws)), c) for c, ws in interpret.CATEGORY_KEYWORDS.items()]))
-    return asked(spark).select(F.explode(hits).alias("category")).groupBy("category").agg(F.count("*").alias("queries"))
+    return asked(spark, d).select(F.explode(hits).alias("category")).groupBy("category").agg(F.count("*").alias("queries"))
 
 
 @query("M11_provenance")
@@ -91,7 +90,7 @@ def global_order(spark, d):
 @query("J10_filters_of_entities", rf"select query_id, array_to_string(regexp_extract_all(lower(query), 'section\s+(\d+)', 1), ',') as section, array_to_string(regexp_extract_all(lower(query), 'go\s+ms\s+no\s+(\d+)', 1), ',') as go_number from ({ASKED_SQL})")
 def entity_filters(spark, d):
     found = lambda p: F.array_join(F.regexp_extract_all(F.lower("query"), F.lit(p), F.lit(1)), ",")
-    return asked(spark).select("query_id", found(r"section\s+(\d+)").alias("section"), found(r"go\s+ms\s+no\s+(\d+)").alias("go_number"))
+    return asked(spark, d).select("query_id", found(r"section\s+(\d+)").alias("section"), found(r"go\s+ms\s+no\s+(\d+)").alias("go_number"))
 
 
 @query("J14_clause_confidence", r"with m as (select doc_id, strpos(lower(text), regexp_extract(lower(text), 'section\s+\d+', 0)) - 1 as place, length(text) as size, contains(lower(text), 'education act') as known, lower(text) as t from corpus where regexp_matches(lower(text), 'section\s+\d+')) select doc_id, round(cast(least(1.0, 0.5 + case when known then 0.3 else 0 end + case when cast(place as double) / size < 0.1 then 0.2 when cast(place as double) / size < 0.3 then 0.1 else 0 end + least(0.2, 0.03 * (" + " + ".join(f"case when contains(t, '{w}') then 1 else 0 end" for w in clauses.LEGAL_TERMS) + "))) as double), 6) as confidence from m")
@@ -131,13 +130,13 @@ def best_copy(spark, d):
 def domains(spark, d):
     low = F.lower("query")
     each = F.array(*[F.struct(F.lit(c).alias("domain"), sum((F.when(low.contains(w), 1).otherwise(0) for w in ws), F.lit(0)).alias("n")) for c, ws in interpret.V1_KEYWORDS.items()])
-    return asked(spark).select("query_id", F.explode(each).alias("e")).select("query_id", "e.domain", "e.n").where("n > 0")
+    return asked(spark, d).select("query_id", F.explode(each).alias("e")).select("query_id", "e.domain", "e.n").where("n > 0")
 
 
 @query("Q6_key_terms", f"select query_id, array_to_string(list_slice(list_filter(regexp_extract_all(lower(query), '(\\w+)', 1), lambda w: length(w) > 3 and w not in ('what', 'with', 'this', 'that', 'from', 'about', 'please', 'tell')), 1, 5), ' ') as terms from ({ASKED_SQL})")
 def key_terms(spark, d):
     t = F.filter(F.regexp_extract_all(F.lower("query"), F.lit(r"(\w+)"), F.lit(1)), lambda w: (F.length(w) > 3) & ~w.isin("what", "with", "this", "that", "from", "about", "please", "tell"))
-    return asked(spark).select("query_id", F.array_join(F.slice(t, 1, 5), " ").alias("terms"))
+    return asked(spark, d).select("query_id", F.array_join(F.slice(t, 1, 5), " ").alias("terms"))
 
 
 _BROAD = "\\b(?:current|latest|all|comprehensive|complete|overall)\\s+(?:education\\s+)?polic|\\beducation\\s+(?:system|framework|structure|overview)\\b"
@@ -148,13 +147,13 @@ def vertical_routing(spark, d):
     low = F.lower("query")
     broad = low.rlike(_BROAD)
     every = F.array(*[F.when(broad | low.rlike(r"\b(?:" + "|".join(interpret.V1_KEYWORDS[v]) + r")\b"), v) for v in interpret.VERTICAL_ORDER])
-    return asked(spark).select("query_id", F.array_join(F.array_compact(every), ",").alias("verticals"))
+    return asked(spark, d).select("query_id", F.array_join(F.array_compact(every), ",").alias("verticals"))
 
 
 @query("C19_variants", f"select query_id, v as variant from (select query_id, unnest(list_distinct([query, lower(query), trim(regexp_replace(lower(query), '[^a-z0-9 ]', '', 'g'))])) as v from ({ASKED_SQL}))")
 def variants(spark, d):
     each = F.array_distinct(F.array("query", F.lower("query"), F.trim(F.regexp_replace(F.lower("query"), "[^a-z0-9 ]", ""))))
-    return asked(spark).select("query_id", F.explode(each).alias("variant"))
+    return asked(spark, d).select("query_id", F.explode(each).alias("variant"))
 
 
 @query("W7_W17_enriched_and_suggested", "select query_id, cast(rank as integer) as rank, vertical || '/' || coalesce(section_type, 'none') as label, case when vertical in ('legal', 'go') then '' else 'Prioritize government/legal sources' end as suggestion from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from candidates) where rank <= 10")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 
 import pandas as pd
@@ -14,6 +18,69 @@ PAYLOAD_CHARS = 8000
 MOST_BYTES = 10 * 1024 * 1024
 
 
+# fixed values: collections whose folders have another name, and what an upload may be
+FOLDERS = {"scheme": "schemes"}
+UPLOADS = ("pdf", "txt", "docx", "doc", "md", "csv")
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; where it is unset, in a folder of this process (local sessions) or the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and re.match(r"local(\[|$)", spark.sparkContext.master):
+        own = tempfile.mkdtemp(prefix="tessera-files-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    return f"{root.rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
+
+
+def accepted(name: Column, size: Column) -> Column:
+    """Uploads of up to MOST_BYTES whose names end with a known extension."""
+    return (size <= MOST_BYTES) & F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin(*UPLOADS)
+
+
+def write_texts(df: DataFrame, path: str, separator: str = "\x1e") -> None:
+    """The column text, one value after another; the separator may not occur in them."""
+    df.select("text").write.option("lineSep", separator).text(path)
+
+
+def read_texts(spark: SparkSession, path: str, separator: str = "\x1e") -> DataFrame:
+    return spark.read.option("lineSep", separator).text(path).withColumnRenamed("value", "text")
+
+
+def folder_of(vertical: Column) -> Column:
+    out = F.when(F.lit(False), vertical)
+    for k, v in FOLDERS.items():
+        out = out.when(vertical == k, v)
+    return out.otherwise(vertical)
+
+
+def chunk_folders(spark: SparkSession, path: str) -> DataFrame:
+    """vertical (as its collection is called) and chunks of each folder vertical=... below path."""
+    return spark.read.option("basePath", path).json(path).groupBy(folder_of(F.col("vertical")).alias("vertical")).agg(F.count("*").alias("chunks"))
+
+
+def cache_put(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """Entries (key, value, stored_at): the newest of each key."""
+    newest = cache.unionByName(new).groupBy("key").agg(F.max(F.struct("stored_at", "value")).alias("e"))
+    return newest.select("key", "e.value", "e.stored_at")
+
+
+def cache_clean(cache: DataFrame, now: Column, most_age: int) -> DataFrame:
+    return cache.where(now - F.col("stored_at") <= most_age)
+
+
+def content_or_snippet(text: Column, snippet: Column, most: int = 3000) -> Column:
+    """The first characters of a page's text if they are longer than its snippet, else the snippet."""
+    cut = F.substring(text, 1, most)
+    return F.when(F.length(cut) > F.length(snippet), cut).otherwise(snippet)
+
+
+def with_sidecar(metadata: Column, sidecar: Column) -> Column:
+    """Maps together; a chunk's own keys win."""
+    return F.when(sidecar.isNull(), metadata).otherwise(F.map_concat(F.map_filter(sidecar, lambda k, _: ~F.map_contains_key(metadata, k)), metadata))
+
+
 def scan(spark: SparkSession, path: str, recursive: bool = True, most_bytes: int | None = None) -> DataFrame:
     """path, name, stem, extension, size_bytes, size_mb, content of the files with a known extension."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
