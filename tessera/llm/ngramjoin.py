@@ -11,7 +11,8 @@ first document of a band leads its own, and the leaders are paired afterwards.
 Tiles. The documents under one shingle (equal groups of them counted once) are dealt into bands of set size; only equal or neighbouring
 bands can hold similar sets. Small tiles give their pairs at once. In larger ones each document is
 first paired with its band's smallest document alone; once those links are known, a later round
-compares, inside the tile, only documents that are not yet connected.
+compares, inside the tile, only documents that are not yet connected: those outside the group's
+largest component, with each other and with it.
 
 Bounds and proof. Each set has a parity bitmap: hashed bits, flipped by every shingle. Two bitmaps
 differ in no more bits than the sets differ in shingles, so counting differing bits bounds the
@@ -412,23 +413,25 @@ def open_tiles(tiles: DataFrame, labels: DataFrame, sigs: DataFrame, best: bool)
     """Pairs of unconnected documents in the large groups that pass the bounds; with best, a document's best one in each other component."""
     rows = tiles.select(F.col("x").alias("key"), F.col("y").alias("doc_id"), "n").distinct()
     rows = rows.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rows = rows.join(several, "key", "left_semi")
+    # no pair inside a group's largest component is open, so its documents meet only the group's other ones
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("m"))
+    several = sizes.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
     w = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9).cast("long")
-    rows = rows.withColumn("band", w)
-    counts = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("parts"))
-    # tile (key, band): its own documents on the left, its own and the next band's on the right
-    own = rows.join(counts, ["key", "band"])
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    right_parts = counts.select("key", (F.col("band") - 1).alias("band"), F.col("parts").alias("next_parts"))
-    own = own.join(right_parts, ["key", "band"], "left").withColumn("part", part).fillna(0, ["next_parts"])
-    # a left document goes to each right part of its tile; a right one to each left part
-    left = own.select("key", "band", "doc_id", "n", "component", F.lit(0).alias("side"), F.col("part").alias("i"), F.explode(F.expr("sequence(0, parts + next_parts - 1)")).alias("j"))
-    right_own = own.select("key", "band", "doc_id", "n", "component", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, parts - 1)")).alias("i"), F.col("part").alias("j"))
-    low = counts.select("key", (F.col("band") + 1).alias("band"), F.col("parts").alias("low_parts"))
-    right_next = own.join(low, ["key", "band"]).select("key", (F.col("band") - 1).alias("band"), "doc_id", "n", "component", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, low_parts - 1)")).alias("i"), (F.col("low_parts") + F.col("part")).alias("j"))
-    dealt = left.unionByName(right_own).unionByName(right_next).join(sigs.select("doc_id", "bits").mapInArrow(_short_bitmaps, "doc_id long, bits binary"), "doc_id")
-    dealt = dealt.withColumn("tile", F.xxhash64("key", "band", "i", "j")).select("tile", "side", "doc_id", "n", "component", "bits")
+    rows = rows.join(several.select("key", "main"), "key").select("key", "doc_id", "n", "component", (F.col("component") != F.col("main")).alias("other"), w.alias("band"))
+    counts = rows.groupBy("key", "band", "other").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("parts"))
+    # tile (key, band): the band's other documents on the left; on the right other documents of this band and the next, and the largest component's of these and the band below
+    lefts = counts.where("other").select("key", "band", F.col("parts").alias("left_parts"))
+    bands = F.when(F.col("other"), F.expr("array(band, band - 1)")).otherwise(F.expr("array(band, band - 1, band + 1)"))
+    meets = counts.select("key", "other", F.col("band").alias("from"), "parts", F.explode(bands).alias("band")).join(lefts, ["key", "band"])
+    own = rows.join(counts, ["key", "band", "other"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    # a left document goes to each right part of its tile, a right one to each left part; two parts of the same documents meet once
+    same = F.col("other") & (F.col("from") == F.col("band"))
+    left = own.where("other").select("key", "band", "doc_id", "n", "component", "part").join(meets, ["key", "band"])
+    left = left.select("key", "band", "other", "from", "doc_id", "n", "component", F.lit(0).alias("side"), F.col("part").alias("i"), F.explode(F.sequence(F.when(same, F.col("part")).otherwise(0), F.col("parts") - 1)).alias("j"))
+    right = own.select("key", F.col("band").alias("from"), "other", "doc_id", "n", "component", "part").join(meets.drop("parts"), ["key", "from", "other"])
+    right = right.select("key", "band", "other", "from", "doc_id", "n", "component", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.when(same, F.col("part")).otherwise(F.col("left_parts") - 1))).alias("i"), F.col("part").alias("j"))
+    dealt = left.unionByName(right).join(sigs.select("doc_id", "bits").mapInArrow(_short_bitmaps, "doc_id long, bits binary"), "doc_id")
+    dealt = dealt.withColumn("tile", F.xxhash64("key", "band", "other", "from", "i", "j")).select("tile", "side", "doc_id", "n", "component", "bits")
 
     def tile_pairs(left, right):
         if not left or not right:
