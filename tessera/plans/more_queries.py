@@ -135,22 +135,6 @@ def triggers(spark, d):
     return asked(spark, d).select("query_id", (F.expr("query_id % 4 = 0 or query_id % 3 = 0") | F.lower("query").rlike(_TRIGGERS)).alias("use_internet"))
 
 
-_ABBREVIATIONS = {"rte": "right to education", "fln": "foundational literacy numeracy", "mdm": "mid day meal", "tet": "teacher eligibility test", "go": "government order", "cwsn": "children with special needs"}
-_ABBR_SQL = "case " + " ".join(f"when rtrim(w, '.,!?;:') = '{k}' then '{v}' || substr(w, length(rtrim(w, '.,!?;:')) + 1)" for k, v in _ABBREVIATIONS.items()) + " else w end"
-
-
-@query("C16_C18_expanded_queries", f"select query_id, array_to_string(list_transform(list_filter(string_split(replace(replace(lower(query), 'goverment', 'government'), 'committe', 'committee'), ' '), lambda w: w <> ''), lambda w: {_ABBR_SQL}), ' ') as expanded from ({ASKED_SQL})")
-def expanded(spark, d):
-    text = F.replace(F.replace(F.lower("query"), F.lit("goverment"), F.lit("government")), F.lit("committe"), F.lit("committee"))
-    table = F.create_map(*[F.lit(x) for kv in _ABBREVIATIONS.items() for x in kv])
-
-    def one(w):
-        bare = F.regexp_replace(w, "[.,!?;:]+$", "")
-        return F.coalesce(F.concat(F.try_element_at(table, bare), F.substring(w, F.length(bare) + 1, F.length(w))), w)
-
-    return asked(spark, d).select("query_id", F.array_join(F.transform(F.filter(F.split(text, " "), lambda w: w != ""), one), " ").alias("expanded"))
-
-
 @query("C23_academic_years", r"select n, array_to_string(list_transform(regexp_extract_all(text, '\b((?:19|20)\d{2})\b', 1), lambda y: cast(cast(y as integer) - 1 as varchar) || '-' || substr(y, 3, 2)), ' ') as years from corpus")
 def academic(spark, d):
     found = F.regexp_extract_all("text", F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
@@ -158,26 +142,6 @@ def academic(spark, d):
 
 
 expression("C24_highlights", lambda spark, d: load(spark, d, "documents"), "doc_id", "case when length(text) > 200 then concat(substring(text, 1, 200), '...') else text end", "case when length(text) > 200 then substr(text, 1, 200) || '...' else text end", "documents")
-_STEMS = {"teacher": ["educator", "faculty"], "school": ["institution"], "scheme": ["program", "initiative"], "scholarship": ["stipend"], "recruitment": ["hiring"]}
-
-
-@query(
-    "Q8_Q12_synonym_expansion",
-    f"with q as ({ASKED_SQL}), s as (select * from (values {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{v}{chr(39)})' for k, vs in _STEMS.items() for v in vs)}) t(word, synonym)) select query_id, trim(query || ' ' || coalesce((select string_agg(synonym, ' ' order by length(synonym) desc, synonym) from (select synonym, row_number() over (order by length(synonym) desc, synonym) as r from s where regexp_matches(lower(q.query), '\\b' || word || '\\b') and not contains(lower(q.query), synonym)) where r <= 3), '')) as expanded from q",
-)
-def synonyms(spark, d):
-    table = F.broadcast(spark.createDataFrame([(k, v) for k, vs in _STEMS.items() for v in vs], "word string, synonym string"))  # a dictionary of fixed size
-    q = asked(spark, d)
-    words = q.select("query_id", F.lower("query").alias("low"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"(\w+)"), F.lit(1)))).alias("word"))
-    hits = words.join(table, "word").where(~F.col("low").contains(F.col("synonym")))
-    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.length("synonym")), "synonym"))).where("r <= 3")
-    more = ranked.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "synonym"))), lambda s: s["synonym"]), " ").alias("more"))
-    return q.join(more, "query_id", "left").select("query_id", F.trim(F.concat_ws(" ", "query", "more")).alias("expanded"))
-
-
-@query("Q1_Q4_rewrites", f"select query_id, p as place, query || ' ' || t as rewrite from ({ASKED_SQL}) cross join (values (0, 'legal provisions'), (1, 'government orders'), (2, 'statistics')) x(p, t) where query <> ''")
-def rewrites(spark, d):
-    return asked(spark, d).where("query <> ''").select("query_id", F.posexplode(F.array(F.lit("legal provisions"), F.lit("government orders"), F.lit("statistics"))).alias("place", "t"), "query").select("query_id", "place", F.concat("query", F.lit(" "), "t").alias("rewrite"))
 
 
 # ---- boosts

@@ -47,9 +47,6 @@ def intent(spark, d):
     return asked(spark, d).select("query_id", mode.alias("mode"), F.round(F.when(best < 0.3, 0.6).otherwise(best), 6).alias("confidence"))
 
 
-flags("Q2_rewrite_pattern", {"definition": r"^what\s+(is|are)", "listing": r"\b(list|all|types)\b", "procedure": r"\bhow\s+to\b", "comparison": r"\b(compare|vs|versus)\b"})
-
-
 @query("E16_temporal", rf"select query_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(query, '\b((?:19|20)\d{{2}})\b', 1), regexp_extract_all(lower(query), '\b(last\s+year|this\s+year|next\s+year|recent|current|previous)\b', 1)))), ',') as refs from ({ASKED_SQL})")
 def temporal(spark, d):
     found = F.concat(F.regexp_extract_all("query", F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), F.regexp_extract_all(F.lower("query"), F.lit(r"\b(last\s+year|this\s+year|next\s+year|recent|current|previous)\b"), F.lit(1)))
@@ -126,19 +123,6 @@ def best_copy(spark, d):
     return u.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("rrf"), F.max("score").alias("best"))
 
 
-@query("Q3_Q5_domains", f"with s as (select query_id, c, cast(len(list_filter(w, lambda x: contains(lower(query), x))) as integer) as n from ({ASKED_SQL}) cross join (values {', '.join('(' + repr(c) + ', [' + ', '.join(repr(w) for w in ws) + '])' for c, ws in interpret.V1_KEYWORDS.items())}) v(c, w)) select query_id, c as domain, n from s where n > 0")
-def domains(spark, d):
-    low = F.lower("query")
-    each = F.array(*[F.struct(F.lit(c).alias("domain"), sum((F.when(low.contains(w), 1).otherwise(0) for w in ws), F.lit(0)).alias("n")) for c, ws in interpret.V1_KEYWORDS.items()])
-    return asked(spark, d).select("query_id", F.explode(each).alias("e")).select("query_id", "e.domain", "e.n").where("n > 0")
-
-
-@query("Q6_key_terms", f"select query_id, array_to_string(list_slice(list_filter(regexp_extract_all(lower(query), '(\\w+)', 1), lambda w: length(w) > 3 and w not in ('what', 'with', 'this', 'that', 'from', 'about', 'please', 'tell')), 1, 5), ' ') as terms from ({ASKED_SQL})")
-def key_terms(spark, d):
-    t = F.filter(F.regexp_extract_all(F.lower("query"), F.lit(r"(\w+)"), F.lit(1)), lambda w: (F.length(w) > 3) & ~w.isin("what", "with", "this", "that", "from", "about", "please", "tell"))
-    return asked(spark, d).select("query_id", F.array_join(F.slice(t, 1, 5), " ").alias("terms"))
-
-
 _BROAD = "\\b(?:current|latest|all|comprehensive|complete|overall)\\s+(?:education\\s+)?polic|\\beducation\\s+(?:system|framework|structure|overview)\\b"
 
 
@@ -150,12 +134,6 @@ def vertical_routing(spark, d):
     return asked(spark, d).select("query_id", F.array_join(F.array_compact(every), ",").alias("verticals"))
 
 
-@query("C19_variants", f"select query_id, v as variant from (select query_id, unnest(list_distinct([query, lower(query), trim(regexp_replace(lower(query), '[^a-z0-9 ]', '', 'g'))])) as v from ({ASKED_SQL}))")
-def variants(spark, d):
-    each = F.array_distinct(F.array("query", F.lower("query"), F.trim(F.regexp_replace(F.lower("query"), "[^a-z0-9 ]", ""))))
-    return asked(spark, d).select("query_id", F.explode(each).alias("variant"))
-
-
 @query("W7_W17_enriched_and_suggested", "select query_id, cast(rank as integer) as rank, vertical || '/' || coalesce(section_type, 'none') as label, case when vertical in ('legal', 'go') then '' else 'Prioritize government/legal sources' end as suggestion from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from candidates) where rank <= 10")
 def enriched(spark, d):
     return answers.top(candidates(spark, d), 10).select("query_id", "rank", F.concat("vertical", F.lit("/"), F.coalesce("section_type", F.lit("none"))).alias("label"), F.when(F.col("vertical").isin("legal", "go"), "").otherwise("Prioritize government/legal sources").alias("suggestion"))
