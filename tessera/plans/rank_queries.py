@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring
-from tessera.operators import chunking, fusion, lexical, relations, vectors
+from tessera.operators import chunking, fusion, lexical, relations, stored_index, vectors
+from tessera.sources import files
 from tessera.sources.tables import candidates, corpus, load, oracle
 
 QUERIES: dict = {}
@@ -149,18 +150,25 @@ QUERIES["G14_scheme_sections"], ORACLE["G14_scheme_sections"] = _marked("scheme"
 # ---- lexical search
 
 _TERMS = "regexp_extract_all(lower({}), '([a-z0-9]+)', 1)"
-_BM25 = f"""with t as (select doc_id, {_TERMS.format('text')} as t from documents), st as (select count(*) as n, avg(len(t)) as avgdl from t),
- q as (select query_id, term, count(*) as qtf from (select query_id, unnest({_TERMS.format('query')}) as term from (select * from (values (1, 'The idiot of thewhore and anedly'), (2, 'le chat queauen de ouaux'), (3, 'inonth ththhand slywh')) v(query_id, query))) group by query_id, term),
+#: Every user's turn asks the documents of {docs}.
+BM25_SQL = f"""with t as (select doc_id, {_TERMS.format('text')} as t from {{docs}}), st as (select count(*) as n, avg(len(t)) as avgdl from t),
+ q as (select query_id, term, count(*) as qtf from (select query_id, unnest({_TERMS.format('query')}) as term from (select conv_id * 1000 + turn as query_id, text as query from conversations where role = 'user')) group by query_id, term),
  h as (select doc_id, term, count(*) as tf, any_value(dl) as dl from (select doc_id, len(t) as dl, unnest(t) as term from t) where term in (select term from q) group by doc_id, term),
  f as (select term, count(*) as df from h group by term),
  s as (select q.query_id, h.doc_id, round(sum(q.qtf * ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from h join f using (term) join q using (term) cross join st group by q.query_id, h.doc_id)
  select query_id, cast(rank as integer) as rank, doc_id, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 10"""
 
 
-@query("J11_bm25_topk", _BM25)
+def user_turns(spark, d):
+    return load(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+
+
+@query("J11_bm25_topk", BM25_SQL.format(docs="documents"))
 def bm25(spark, d):
-    asked = spark.createDataFrame([(1, "The idiot of thewhore and anedly"), (2, "le chat queauen de ouaux"), (3, "inonth ththhand slywh")], "query_id int, query string")
-    return lexical.search(load(spark, d, "documents"), asked)
+    """Every user's turn over all documents, through a stored index."""
+    path = files.work_path(spark, "index")
+    stored_index.add(load(spark, d, "documents"), path)
+    return stored_index.search(spark, path, user_turns(spark, d))
 
 
 @query("A17_B1_term_statistics", f"with t as (select doc_id, unnest(list_distinct({_TERMS.format('text')})) as term from documents) select term, count(*) as df, round(ln(((select count(*) from documents) - count(*) + 0.5) / (count(*) + 0.5) + 1.0), 6) as idf from t group by term")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import boosts, matching, scoring
-from tessera.operators import answers, fusion, lexical, vectors
+from tessera.operators import answers, fusion, vectors
+from tessera.operators import stored_index as index
 from tessera.plans import more_queries
 from tessera.plans.query_queries import _HTML
-from tessera.plans.rank_queries import _BM25, _POLICY, _case
+from tessera.plans.rank_queries import BM25_SQL, _POLICY, _case, user_turns
 from tessera.sources import files, web
 from tessera.sources.tables import load, oracle, results, structured
 
@@ -59,13 +60,20 @@ def chunk_folders(spark, d):
     return files.chunk_folders(spark, path)
 
 
-@query("S30_S31_stored_index", _BM25)
-def stored_index(spark, d):
-    """BM25 from postings that were written by bucket of term: a search reads the buckets of its terms."""
-    path = files.work_path(spark, "index")
-    lexical.write_index(load(spark, d, "documents"), path)
-    asked = spark.createDataFrame([(1, "The idiot of thewhore and anedly"), (2, "le chat queauen de ouaux"), (3, "inonth ththhand slywh")], "query_id int, query string")
-    return lexical.search_index(spark, path, asked)
+_CHANGED = "(select doc_id, case when n_chars % 5 = 0 then text || ' zusatz addendum' else text end as text from documents where n_chars % 5 = 0 or n_chars % 7 <> 0)"
+
+
+@query("S30_S31_stored_index", BM25_SQL.format(docs=_CHANGED))
+def stored_index_after_changes(spark, d):
+    """An index of two segments, deletions, updated documents and merged buckets gives what an index of the final documents gives."""
+    path, docs = files.work_path(spark, "index"), load(spark, d, "documents")
+    index.add(docs.where("lang = 'en'"), path)
+    index.add(docs.where("lang is null or lang <> 'en'"), path)
+    index.delete(docs.where("n_chars % 7 = 0").select(F.col("doc_id").alias("key")), path)
+    index.merge(spark, path, 3)
+    index.update(docs.where("n_chars % 5 = 0").withColumn("text", F.concat("text", F.lit(" zusatz addendum"))), path)
+    index.merge(spark, path, 5)
+    return index.search(spark, path, user_turns(spark, d))
 
 
 @query("S33_cache", "with e as (select doc_id % 7000 as key, lang as value, doc_id as stored_at from documents where doc_id % 3 = 0 union all select doc_id % 7000, lang || '2', doc_id + 100 from documents where doc_id % 2 = 0), n as (select key, max_by(value, stored_at) as value, max(stored_at) as stored_at from e group by key) select value, count(*) as entries, min(stored_at) as oldest from n where 1000 - stored_at <= 960 group by value")

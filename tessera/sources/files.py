@@ -34,6 +34,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new path and read again: its lineage ends there."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def accepted(name: Column, size: Column) -> Column:
     """Uploads of up to MOST_BYTES whose names end with a known extension."""
     return (size <= MOST_BYTES) & F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin(*UPLOADS)
