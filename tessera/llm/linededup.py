@@ -1,85 +1,99 @@
 """Line dedup by content-defined chunks of lines; DataFrame operations only.
 
-Each line has a hash, and a rolling hash runs over the hashes of WINDOW lines. Chunk boundaries are the
-places where the rolling hash is one that the corpus holds only here, or here first: they depend on
-the lines around them and not on their place in a text, so texts that share a passage have the same
-chunk there, however they differ around it. What lies between two boundaries is a chunk of lines
-whose every window occurs elsewhere earlier, in order of (doc_id, place); the bytes of each window are compared with
-those of its first occurrence before the chunk goes. Chunks with fewer than MIN_LINES lines that aren't blank stay.
-
-(Boundaries where the rolling hash is divisible by a constant need two of them inside a passage: of
-passages of three or four lines most were kept.)
-
-Defined results: null texts stay null; rows without doc_id pass unchanged and own no window; rows
-that repeat a doc_id are the same document, so all of them keep its windows; a text whose lines all
-go becomes empty (its row stays); lines are separated by \\n alone.
+Each line has a hash, and a rolling (polynomial) hash runs over the hashes of two lines. Of each two
+neighbouring windows the one with the smaller rolling hash is a boundary: boundaries depend on the lines
+around them and not on their place in a text, and every passage of three lines or more holds one that no
+line outside it decides (windows of two blank lines are never chosen while another one is near). A
+boundary's window leads to its first occurrence, in order of (doc_id, line). From there the chunk grows line
+by line on both sides as long as the bytes are those of the same earlier document at the same distance, so a chunk
+is a run of lines that one earlier place holds as a whole; runs that touch but stem from different documents are judged apart. Chunks with
+MIN_LINES lines or more that aren't blank go.
+
+Two-line passages are found where their one window is a boundary in both texts. A hash only proposes:
+lines are compared as they are.
+
+Defined results: null texts stay null; rows without doc_id pass unchanged and own nothing; rows
+that repeat a doc_id with the same text are one document, so all of them keep what it owns, with another text
+they are documents of their own (order: by a hash of the text); a text whose lines all
+go becomes empty (its row stays); lines are separated by \\n alone. In an own text, a passage's second place goes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import BROADCAST_IDS, materialize, release
 
-#: Lines that the rolling hash covers, and lines with words that a chunk must have to go.
-WINDOW, MIN_LINES = 2, 2
+#: Lines with words that a chunk must have to go.
+MIN_LINES = 2
+#: Rolling hash over two lines: BASE * first + second, modulo PRIME; line hashes are the first HEX digits of their MD5.
+BASE, PRIME, HEX = 31, 2147483647, 7
+_SOLID = "[^ \\t\\r]"
 
 
-def windows(docs: DataFrame, with_bytes: bool) -> DataFrame:
-    """doc_id, k (the window's first line, from 1) and id (its rolling hash) of every window; its bytes and which of its first and last lines have words, if wanted."""
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.split("text", "\n", -1).alias("_lines"))
-    hashed = rows.withColumn("_h", F.transform("_lines", lambda x: F.xxhash64(x))).where(F.size("_lines") >= WINDOW)
-    rolling = "xxhash64(slice(_h, k, {w}))".format(w=WINDOW)
-    more = ", 'bytes', array_join(slice(_lines, k, {w}), '\n'), 'solid', _lines[k - 1] rlike '[^ \\\\t\\\\r]', 'solid_last', _lines[k + {w} - 2] rlike '[^ \\\\t\\\\r]'".format(w=WINDOW) if with_bytes else ""
-    each = hashed.select("doc_id", F.explode(F.expr(f"transform(sequence(1, size(_h) - {WINDOW - 1}), k -> named_struct('k', k, 'id', {rolling}{more}))")).alias("c"))
-    return each.select("doc_id", "c.*")
+def _documents(docs: DataFrame) -> DataFrame:
+    """doc_id, v (hash that tells texts of one doc_id apart) and lines."""
+    rows = docs.where("doc_id is not null and text is not null")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("v"), F.split("text", "\n", -1).alias("lines"))
+
+
+def boundaries(docs: DataFrame) -> DataFrame:
+    """doc_id, v, k (the boundary window's first line, from 1) and id (hash of its lines)."""
+    number = lambda x: F.conv(F.substring(F.md5(x), 1, HEX), 16, 10).cast("long")
+    rows = _documents(docs).where(F.size("lines") >= 2)
+    hashed = rows.select("doc_id", "v", F.transform("lines", lambda x: F.struct(number(x).alias("h"), F.xxhash64(x).alias("x"), x.rlike(_SOLID).alias("s"))).alias("l"))
+    rolling = f"transform(sequence(1, size(l) - 1), k -> if(l[k - 1].s or l[k].s, (l[k - 1].h * {BASE}L + l[k].h) % {PRIME}L, {PRIME}L))"
+    chosen = f"filter(sequence(1, size(r)), k -> r[k - 1] < {PRIME}L and (size(r) = 1 or (k < size(r) and r[k - 1] <= r[k]) or (k > 1 and r[k - 1] < r[k - 2])))"
+    each = hashed.withColumn("r", F.expr(rolling)).select("doc_id", "v", F.explode(F.expr(f"transform({chosen}, k -> named_struct('k', k, 'id', xxhash64(l[k - 1].x, l[k].x)))")).alias("c"))
+    return each.select("doc_id", "v", "c.*")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, _gone: starts and sizes of the chunks to remove (a row for each document that has some)."""
-    place = F.struct("doc_id", "k")
-    owners = windows(docs, False).groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    owners = materialize(owners.select("id", F.col("first.doc_id").alias("o_doc"), F.col("first.k").alias("o_k")), "line-owners")
+    """doc_id, v, _gone: first and last lines of the chunks to remove (a row for each document that has some)."""
+    place = F.struct("doc_id", "v", "k")
+    found = boundaries(docs)
+    owners = found.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    owners = materialize(owners.select("id", "first"), "line-owners")
     ids = F.broadcast(owners) if owners.count() <= BROADCAST_IDS else owners
-    # only windows that occur again are carried with their bytes
-    again = materialize(windows(docs, True).join(ids, "id"), "line-windows")
-    mine = (F.col("doc_id") == F.col("o_doc")) & (F.col("k") == F.col("o_k"))
-    # rows that repeat a doc_id would give the owner's window several times
-    # (written down first: a join alone can split a hot window's rows over tasks)
-    owned = materialize(again.where(mine).groupBy("id").agg(F.min("bytes").alias("o_bytes")), "line-owned")
-    others = again.where(~mine).join(owned, "id")
-    columns = ["doc_id", "k", "solid", "solid_last"]
-    gone = others.where(F.col("bytes") == F.col("o_bytes")).select(columns)
-    # equal hashes of different bytes: these few windows are settled by their bytes
-    odd = others.where(F.col("bytes") != F.col("o_bytes"))
-    odd_first = odd.groupBy("bytes").agg(F.min(place).alias("first"))
-    odd_gone = odd.join(odd_first, "bytes").where(place != F.col("first")).select(columns)
-    gone = gone.unionByName(odd_gone).distinct()
-    # windows that overlap or touch are one chunk
-    by_place = Window.partitionBy("doc_id").orderBy("k")
-    linked = gone.withColumn("_new", F.when(F.col("k") - F.lag("k").over(by_place) <= WINDOW, 0).otherwise(1)).withColumn("_next", F.lead("k").over(by_place))
-    # a line that the next window starts with is counted there
-    solid = F.col("solid").cast("int") + F.when(F.col("_next") == F.col("k") + 1, 0).otherwise(F.col("solid_last").cast("int"))
-    runs = linked.withColumn("_run", F.sum("_new").over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    chunks = runs.groupBy("doc_id", "_run").agg(F.min("k").alias("start"), (F.max("k") + WINDOW - F.min("k")).alias("size"), F.sum(solid).alias("_solid")).where(F.col("_solid") >= MIN_LINES)
-    found = materialize(chunks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("_gone")), "line-chunks")
-    release(owners, again, owned)
-    return found
-
-
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs with the repeated chunks' lines taken out of text, and _removed_lines, _removed_chunks; other columns, whatever their names, stay."""
+    hits = found.join(ids, "id").where(place != F.col("first"))
+    pairs = hits.select("doc_id", "v", F.col("first.doc_id").alias("o_doc"), F.col("first.v").alias("o_v"), (F.col("k") - F.col("first.k")).alias("shift")).distinct()
+    pairs = materialize(pairs, "line-pairs")
+    # texts of the documents in pairs, once for each (doc_id, v)
+    wanted = pairs.select("doc_id", "v").unionByName(pairs.select(F.col("o_doc").alias("doc_id"), F.col("o_v").alias("v"))).distinct()
+    texts = materialize(_documents(docs).join(wanted, ["doc_id", "v"], "left_semi").dropDuplicates(["doc_id", "v"]), "line-texts")
+    sources = materialize(texts.join(pairs.select(F.col("o_doc").alias("doc_id"), F.col("o_v").alias("v")).distinct(), ["doc_id", "v"], "left_semi"), "line-sources")
+    # (a frequent passage's first document is the source of many: written down, a join can split its rows over tasks)
+    both = pairs.join(sources.select(F.col("doc_id").alias("o_doc"), F.col("v").alias("o_v"), F.col("lines").alias("o_lines")), ["o_doc", "o_v"]).join(texts, ["doc_id", "v"])
+    same = "transform(lines, (x, i) -> i >= shift and i - shift < size(o_lines) and x = get(o_lines, i - shift))"
+    runs = both.withColumn("e", F.expr(same)).select(
+        "doc_id", "v", "lines",
+        F.expr("filter(sequence(1, size(e)), k -> e[k - 1] and (k = 1 or not e[k - 2]))").alias("lo"), F.expr("filter(sequence(1, size(e)), k -> e[k - 1] and (k = size(e) or not e[k]))").alias("hi"),
+    )
+    solid = f"size(filter(slice(lines, r.lo, r.hi - r.lo + 1), x -> x rlike '{_SOLID.replace(chr(92), chr(92) * 2)}')) >= {MIN_LINES}"
+    chunks = runs.select("doc_id", "v", F.expr(f"filter(arrays_zip(lo, hi), r -> {solid})").alias("c"))
+    # (a filter before the grouping would be pushed below and compute the arrays anew for each of their elements)
+    gone = chunks.groupBy("doc_id", "v").agg(F.array_distinct(F.flatten(F.collect_list("c"))).alias("_gone")).where("size(_gone) > 0")
+    gone = materialize(gone, "line-chunks")
+    release(owners, pairs, texts, sources)
+    return gone
+
+
+def line_dedup(docs: DataFrame, report: bool = True) -> DataFrame:
+    """docs with the repeated chunks' lines taken out of text; with report also _removed_lines and _removed_chunks (runs of lines that went), which replace columns of these names. Other columns, whatever their names, stay."""
     gone = repeated_chunks(docs.select("doc_id", "text"))
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")  # in a struct, so no name can clash
-    joined = docs.select(row).join(gone, F.col("_row.doc_id").cast("long") == F.col("doc_id"), "left").select("_row", "_gone")
+    joined = docs.select(row).join(gone, (F.col("_row.doc_id").cast("long") == F.col("doc_id")) & (F.xxhash64("_row.text") == F.col("v")), "left").select("_row", "_gone")
     out = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("_row.text", "\n", -1)))
-    drop = "flatten(transform(_gone, c -> sequence(c.start, c.start + c.size - 1)))"
-    out = out.withColumn("_left", F.expr(f"case when _gone is not null then array_except(sequence(1, size(_lines)), {drop}) end"))
+    out = out.withColumn("_drop", F.array_sort(F.array_distinct(F.expr("flatten(transform(_gone, c -> sequence(c.lo, c.hi)))"))))
+    out = out.withColumn("_left", F.expr("case when _gone is not null then array_except(sequence(1, size(_lines)), _drop) end"))
     kept = F.expr("case when _gone is null then _row.text else array_join(transform(_left, i -> _lines[i - 1]), '\n') end")
-    columns = [kept.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names if c not in ("_removed_lines", "_removed_chunks")]
-    return out.select(*columns, F.expr("coalesce(size(_lines) - size(_left), 0)").alias("_removed_lines"), F.expr("coalesce(size(_gone), 0)").alias("_removed_chunks"))
+    columns = [kept.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names if not report or c not in ("_removed_lines", "_removed_chunks")]
+    if not report:
+        return out.select(*columns)
+    runs = F.expr("coalesce(size(filter(transform(_drop, (k, i) -> i = 0 or k - _drop[i - 1] > 1), x -> x)), 0)")
+    return out.select(*columns, F.expr("coalesce(size(_drop), 0)").alias("_removed_lines"), runs.alias("_removed_chunks"))
 
 
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,24 +104,30 @@ def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLE_SQL = r"""
+ORACLE_SQL = rf"""
 with l as (
   select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from documents where text is not null
+), s as (
+  select *, regexp_matches(line, '{_SOLID}') as solid, cast('0x' || substr(md5(line), 1, {HEX}) as bigint) as h from l
 ), w as (
-  select doc_id, k, line || chr(10) || lead(line) over d as bytes, regexp_matches(line, '[^ \t\r]') as solid, regexp_matches(lead(line) over d, '[^ \t\r]') as solid_last
-  from l window d as (partition by doc_id order by k)
-), r as (
-  select *, row_number() over (partition by bytes order by doc_id, k) as nth from w where bytes is not null
-), g as (
-  select *, case when k - lag(k) over d <= 2 then 0 else 1 end as new, lead(k) over d as next from r where nth > 1 window d as (partition by doc_id order by k)
-), n as (
-  select *, sum(new) over (partition by doc_id order by k) as run from g
+  select doc_id, k, line || chr(10) || lead(line) over d as bytes, case when solid or lead(solid) over d then (h * {BASE} + lead(h) over d) % {PRIME} else {PRIME} end as r, lead(k) over d is not null as whole from s window d as (partition by doc_id order by k)
+), b as (
+  select *, lag(r) over d as left_r, lead(r) over d as right_r from w where whole window d as (partition by doc_id order by k)
 ), c as (
-  select doc_id, min(k) as lo, max(k) + 1 as hi, sum(cast(solid as integer) + case when next = k + 1 then 0 else cast(solid_last as integer) end) as solid from n group by doc_id, run
+  select doc_id, k, first_value(doc_id) over p as o_doc, first_value(k) over p as o_k from b
+  where r < {PRIME} and ((left_r is null and right_r is null) or r <= right_r or r < left_r) window p as (partition by bytes order by doc_id, k)
+), p as (
+  select distinct doc_id, o_doc, k - o_k as shift from c where (doc_id, k) <> (o_doc, o_k)
+), e as (
+  select p.*, x.k, x.solid, x.k - row_number() over (partition by p.doc_id, p.o_doc, p.shift order by x.k) as run
+  from p join s x on x.doc_id = p.doc_id join l o on o.doc_id = p.o_doc and o.k = x.k - p.shift where o.line = x.line
+), g as (
+  select doc_id, min(k) as lo, max(k) as hi from e group by doc_id, o_doc, shift, run having sum(cast(solid as integer)) >= {MIN_LINES}
 ), m as (
-  select l.doc_id, l.k, l.line, c.lo from l left join c on c.doc_id = l.doc_id and c.solid >= 2 and l.k between c.lo and c.hi
+  select l.*, exists (select 1 from g where g.doc_id = l.doc_id and l.k between g.lo and g.hi) as gone from l
 ), t as (
-  select doc_id, count(lo) as removed_lines, count(distinct lo) as removed_chunks, coalesce(string_agg(line, chr(10) order by k) filter (where lo is null), '') as kept from m group by doc_id
+  select doc_id, count(*) filter (where gone) as removed_lines, count(*) filter (where gone and not coalesce(before, false)) as removed_chunks, coalesce(string_agg(line, chr(10) order by k) filter (where not gone), '') as kept
+  from (select *, lag(gone) over (partition by doc_id order by k) as before from m) group by doc_id
 )
 select d.doc_id, cast(coalesce(removed_lines, 0) as bigint) as removed_lines, cast(coalesce(removed_chunks, 0) as bigint) as removed_chunks,
        cast(octet_length(encode(coalesce(kept, ''))) as bigint) as kept_bytes, sha256(coalesce(kept, '')) as kept_sha256

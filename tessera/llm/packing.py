@@ -6,6 +6,9 @@ sets of lengths, pruned by the waste that a better solution may have; best-fit d
 the first incumbent. The plan says how often each filling is used; pieces take their places by
 their rank within their length, which is counted over salted groups, so no length is one group.
 
+Best-fit often meets the lower bound and is then proven. Otherwise the search may visit NODES nodes; what it
+has found by then is returned, and the columns sequences, lower_bound and proved say how far it is from the bound.
+
 Defined results: a null text is empty (one piece, the end token alone); repeated rows are packed
 each; an empty table gives no rows; rows without doc_id are packed too.
 """
@@ -27,7 +30,9 @@ MAX_TOKENS, END_ID = 4096, 1
 #: Nodes that the search may visit before it keeps its incumbent.
 NODES = 20_000
 #: Fillings that are looked at around one longest piece.
-FILLINGS = 24
+FILLINGS = 200
+#: Steps of one enumeration of fillings.
+TRIES = 20_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -119,119 +124,135 @@ def _dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return deal(0, list(b))
 
 
-def fillings(counts: dict[int, int], room: int, most: int = FILLINGS, tries: int = 3000) -> list[tuple[int, ...]]:
-    """Undominated sets of pieces for the room beside the longest piece, fullest first."""
+def fillings(counts: dict[int, int], room: int, slack: int, most: int = FILLINGS, tries: int = TRIES) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated sets of pieces for the room beside the longest piece that leave at most `slack` of it empty, fullest first, and whether these are all."""
     if counts.get(room):
-        return [(room,)]  # one piece that fills the room dominates every other filling
+        return [(room,)], True  # one piece that fills the room dominates every other filling
     sizes = [s for s in sorted(counts, reverse=True) if s <= room and counts[s]]
+    if not sizes:
+        return ([()], True) if room <= slack else ([], True)
+    after = [0] * (len(sizes) + 1)  # what the pieces from here on hold in all
+    for i in range(len(sizes) - 1, -1, -1):
+        after[i] = after[i + 1] + sizes[i] * counts[sizes[i]]
     found: list[tuple[int, ...]] = []
-    left = [tries]
+    left = tries
 
     def grow(chosen: tuple[int, ...], at: int, free: int) -> None:
-        if left[0] <= 0:
-            return
-        left[0] -= 1
+        nonlocal left
         fits = False
         for i in range(at, len(sizes)):
             s = sizes[i]
-            if s <= free and chosen.count(s) < counts[s]:
-                fits = True
-                rest = free - s
-                if rest and counts.get(rest, 0) > (chosen + (s,)).count(rest) and rest <= s:
-                    found.append((*chosen, s, rest))
-                    if len(found) >= most:
-                        left[0] = 0
-                        return
-                    continue
-                grow((*chosen, s), i, rest)
-        if not fits and (not sizes or not any(s <= free and chosen.count(s) < counts[s] for s in sizes)):
+            if s > free or chosen.count(s) >= counts[s]:
+                continue
+            fits = True
+            if after[i] < free - slack or left <= 0:
+                return
+            left -= 1
+            rest, more = free - s, (*chosen, s)
+            if rest and rest <= s and counts.get(rest, 0) > more.count(rest):
+                found.append((*more, rest))  # full: it dominates all that starts alike
+            elif not rest:
+                found.append(more)
+            else:
+                grow(more, i, rest)
+        if not fits and free <= slack and not any(s <= free and chosen.count(s) < counts[s] for s in sizes):
             found.append(chosen)
 
     grow((), 0, room)
-    if not found:  # the tries ran out on the way down: the greedy filling
-        chosen, free = [], room
-        for s in sizes:
-            n = min(counts[s], free // s)
-            chosen += [s] * n
-            free -= n * s
-        found = [tuple(chosen)]
+    whole = left > 0
     found = sorted(set(found), key=lambda f: (-sum(f), len(f), f))
     kept: list[tuple[int, ...]] = []
-    for f in found[: 4 * most]:
+    for f in found:
+        if len(kept) >= most:
+            whole = False
+            break
         if not any(_dominated(f, k) for k in kept):
             kept.append(f)
-    return kept[:most]
-
+    return kept, whole
 
-def bin_completion(counts: dict[int, int], cap: int, nodes: int = NODES) -> tuple[list[tuple[tuple[int, ...], int]], int, bool]:
-    """(filling, times) for all pieces, the number of bins, and whether that is proven least.
 
-    Each level takes the longest piece left and tries its undominated fillings; a filling is used as
-    often as the counts allow while many pieces are left, else once. A branch ends when its waste
-    leaves no room for fewer bins than the incumbent's.
-    """
-    counts = {s: n for s, n in counts.items() if n}
-    total, least = sum(s * n for s, n in counts.items()), least_bins(counts, cap)
-    best = best_fit(counts, cap)
-    best_n = sum(t for _, t in best)
-    if best_n <= least:
-        return best, best_n, True
-    small = sum(counts.values()) <= 200
-    budget, whole, many = nodes, True, False
-    now, stack, path, used, waste = dict(counts), [], [], 0, 0
+def _search(counts: dict[int, int], cap: int, best_n: int, least: int, nodes: int, often: bool) -> tuple[list | None, bool, int]:
+    """Depth-first bin completion for fewer than best_n bins: (a plan with fewer or None, whether all was searched, nodes left)."""
+    total = sum(s * n for s, n in counts.items())
+    now, path, stack, whole, best = dict(counts), [], [], True, None
+    used = waste = 0
 
     def options() -> list[tuple[tuple[int, ...], int]]:
+        nonlocal whole
         size = max(now)
         now[size] -= 1
-        found = fillings(now, cap - size)
+        found, every = fillings(now, cap - size, (best_n - 1) * cap - total - waste)
         now[size] += 1
         out = []
         for f in found:
             need = defaultdict(int)
             for s in (size, *f):
                 need[s] += 1
-            out.append(((size, *f), 1 if small else min(now[s] // n for s, n in need.items())))
+            times = min(now[s] // n for s, n in need.items()) if often else 1
+            every = every and times == 1
+            out.append(((size, *f), times))
+        whole = whole and every
         return out
 
-    def take(filling: tuple[int, ...], times: int) -> None:
+    def put(filling: tuple[int, ...], times: int) -> None:
         for s in filling:
             now[s] = now.get(s, 0) - times
             if not now[s]:
                 del now[s]
 
     stack.append(iter(options()))
-    while stack and budget > 0:
+    while stack:
+        if nodes <= 0:
+            return best, False, 0
         step = next(stack[-1], None)
-        if step is None:
-            stack.pop()
-            if path:
-                filling, times = path.pop()
-                used, waste = used - times, waste - times * (cap - sum(filling))
-                for s in filling:
-                    now[s] = now.get(s, 0) + times
-            continue
-        budget -= 1
-        filling, times = step
-        many |= times > 1
-        over = waste + times * (cap - sum(filling))
-        if over > (best_n - 1) * cap - total:  # no better solution has so much waste
-            continue
-        take(filling, times)
-        path.append(step)
-        used, waste = used + times, over
-        if not now:
+        if step is not None:
+            nodes -= 1
+            filling, times = step
+            over = waste + times * (cap - sum(filling))
+            if over > (best_n - 1) * cap - total:  # no better solution has so much waste
+                continue
+            put(filling, times)
+            path.append(step)
+            used, waste = used + times, over
+            if now:
+                stack.append(iter(options()))
+                continue
             if used < best_n:
                 best, best_n = list(path), used
                 if best_n <= least:
-                    return best, best_n, True
+                    return best, True, nodes
+        else:
+            stack.pop()
+        if path:
             filling, times = path.pop()
             used, waste = used - times, waste - times * (cap - sum(filling))
-            for s in filling:
-                now[s] = now.get(s, 0) + times
-            continue
-        stack.append(iter(options()))
-    whole = not stack and small
-    return best, best_n, whole and not many
+            put(filling, -times)
+    return best, whole, nodes
+
+
+def bin_completion(counts: dict[int, int], cap: int, nodes: int = NODES) -> tuple[list[tuple[tuple[int, ...], int]], int, bool]:
+    """(filling, times) for all pieces, the number of bins, and whether that is proven least.
+
+    Each level takes the longest piece left and tries its undominated fillings, fullest first. A branch
+    ends when its waste leaves no room for fewer bins than the incumbent's (best-fit decreasing at first). Two
+    searches share the budget of nodes, at every size alike: one uses a filling as often as the counts
+    allow, then one takes a bin at a time. Only the second, and only if neither its fillings nor its nodes were cut, proves
+    what it didn't improve; meeting the lower bound always does.
+    """
+    counts = {s: n for s, n in counts.items() if n}
+    least = least_bins(counts, cap)
+    best = best_fit(counts, cap)
+    best_n = sum(t for _, t in best)
+    whole = best_n <= least
+    for often, share in ((True, nodes // 4), (False, nodes)):
+        if whole:
+            break
+        better, whole, left = _search(counts, cap, best_n, least, share, often)
+        nodes -= share - left
+        if better:
+            best, best_n = better, sum(t for _, t in better)
+        whole = best_n <= least or whole
+    return best, best_n, whole
 
 
 def _plan_arrays(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -251,10 +272,11 @@ def _plan_arrays(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.
 
 
 def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, nodes: int = NODES) -> DataFrame:
-    """parts (PIECES) with sequence_id and offset. parts is read several times: materialize it first."""
+    """parts (PIECES) with sequence_id and offset, and the number of sequences, its lower bound and whether it is proven least. parts is read several times: materialize it first."""
     spark = parts.sparkSession
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most max_tokens rows
-    plan, _, _ = bin_completion(histogram, max_tokens, nodes)
+    plan, used, proved = bin_completion(histogram, max_tokens, nodes)
+    least = least_bins(histogram, max_tokens)
     arrays = spark.sparkContext.broadcast(_plan_arrays(plan))  # at most one use of a length in each filling: some thousand numbers
     salts = max(64, sum(histogram.values()) // 20_000)
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
@@ -278,7 +300,8 @@ def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, nodes: int = NODES) ->
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(off)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     names = [x.split()[0] for x in PIECES.split(", ")]
-    return ranked.select(*names, F.col("rank").cast("long").alias("rank")).mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    placed = ranked.select(*names, F.col("rank").cast("long").alias("rank")).mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return placed.withColumns({"sequences": F.lit(used).cast("long"), "lower_bound": F.lit(least).cast("long"), "proved": F.lit(proved)})
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, nodes: int = NODES) -> DataFrame:

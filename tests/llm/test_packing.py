@@ -52,6 +52,75 @@ def test_bin_completion_is_least(seed):
     assert n == sum(t for _, t in plan) == brute(sizes, cap)
 
 
+def least_by_search(sizes, cap):
+    """As brute(), stopping at the lower bound."""
+    bound, bins, best = -(-sum(sizes) // cap), [], [len(sizes)]
+
+    def go(i):
+        if best[0] <= bound or len(bins) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] >= sizes[i] and bins[k] not in bins[:k]:
+                bins[k] -= sizes[i]
+                go(i + 1)
+                bins[k] += sizes[i]
+        bins.append(cap - sizes[i])
+        go(i + 1)
+        bins.pop()
+
+    go(0)
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_up_to_25_pieces(seed):
+    rng = random.Random(100 + seed)
+    cap = 60
+    sizes = sorted((rng.randint(6, 40) for _ in range(rng.randint(15, 25))), reverse=True)
+    counts = {s: sizes.count(s) for s in set(sizes)}
+    plan, n, proved = packing.bin_completion(counts, cap)
+    check_plan(plan, counts, cap)
+    want = least_by_search(sizes, cap)
+    assert n == want or not proved and n <= want + 1
+
+
+def triples(k, seed):
+    """Pieces of which three at a time fill a sequence exactly, k times."""
+    rng, counts = random.Random(seed), {}
+    while k:
+        a, b = rng.randint(1050, 2000), rng.randint(1050, 2000)
+        if 1024 < 4096 - a - b < 2048:
+            k -= 1
+            for s in (a, b, 4096 - a - b):
+                counts[s] = counts.get(s, 0) + 1
+    return counts
+
+
+@pytest.mark.parametrize("k", [20, 60])
+def test_triples_that_fill_sequences(k):
+    """Best-fit is far from the optimum here; the search gets there or says that it didn't."""
+    counts = triples(k, 3)
+    assert sum(t for _, t in packing.best_fit(counts, 4096)) > k + 1
+    plan, n, proved = packing.bin_completion(counts, 4096)
+    check_plan(plan, counts, 4096)
+    assert packing.least_bins(counts, 4096) == k and (n == k and proved or n <= k + 2 and not proved)
+    assert k > 20 or n == k
+
+
+def test_cut_searches_prove_nothing():
+    counts = triples(20, 3)
+    for limit in ({"nodes": 5}, {"nodes": 0}):
+        plan, n, proved = packing.bin_completion(counts, 4096, **limit)
+        check_plan(plan, counts, 4096)
+        assert n > 20 and not proved
+    pieces = {30: 1, 20: 1, 17: 2, 15: 2}
+    assert packing.fillings(pieces, 50, 50) == ([(30, 20), (17, 17, 15)], True)
+    assert packing.fillings(pieces, 50, 50, most=1)[1] is False and packing.fillings(pieces, 50, 50, tries=1)[1] is False
+
+
 def test_large_histogram_is_near_the_bound():
     rng = random.Random(1)
     counts = {s: rng.randint(1, 300) for s in range(1, 1500)} | {4096: 50, 3000: 10}
@@ -83,6 +152,7 @@ def test_pack_documents(spark):
             assert offset == at
             at += length
         assert at <= 4096
+    assert {(r.sequences, r.proved) for r in out} == {(len(seqs), True)} and out[0].lower_bound <= len(seqs)
     assert len(out) == 9 + 2 + 1 + 1 + 3 and sorted(r.length for r in out if r.doc_id == 5) == [1, 4096]
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert list(itertools.chain(r.doc_id for r in out if r.length == 1)).count(20) == 1

@@ -61,4 +61,4 @@ def test_each_stage(spark):
 
 def test_run_is_the_stages_in_a_row(spark):
     out = corpus_pipeline.run(spark, SF)
-    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "sequences", "lower_bound", "proved"] and out.count() > 0
