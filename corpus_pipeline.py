@@ -2,7 +2,10 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame.
 run() writes each stage's result to the shared folder and reads it back as the next one's docs.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents; a docs table may have more columns, whatever
+their names, which stay. Null texts count as empty (toxicity, n-gram join, packing) or stay null (line dedup,
+mixing); rows without doc_id pass the first two stages, and an empty table gives an empty result everywhere. Rows that
+repeat a doc_id are judged alike.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the multi-line chunks that an earlier document holds; n_chars follows the text."""
-    out = linededup.line_dedup(docs).drop("_removed_lines", "_removed_chunks")
+    """Documents without the multi-line chunks that an earlier document holds; n_chars follows the text (a text that is left empty keeps its row)."""
+    out = linededup.line_dedup(docs, report=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
@@ -33,8 +36,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, those of sources that the target weights ask for again in further epochs, in the order of the schedule."""
-    return mixing.mix(docs).orderBy("mix_slot", "mix_seat").select(docs.columns)
+    """Every document, those of sources that the target weights ask for again in further epochs. The rows aren't put in the schedule's order, since packing deals them anew by length."""
+    return mixing.mix(docs).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
