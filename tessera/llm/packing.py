@@ -6,7 +6,7 @@ sets of lengths, pruned by the waste that a better solution may have; best-fit d
 the first incumbent. The plan says how often each filling is used; pieces take their places by
 their rank within their length, which is counted over salted groups, so no length is one group.
 
-Best-fit often meets the lower bound and is then proven. Otherwise the search may visit NODES nodes; what it
+Best-fit often meets the lower bound and is then proven. Otherwise the search may take STEPS steps; what it
 has found by then is returned, and the columns sequences, lower_bound and proved say how far it is from the bound.
 
 Defined results: a null text is empty (one piece, the end token alone); repeated rows are packed
@@ -27,12 +27,10 @@ from tessera.llm.common import materialize
 from tessera.llm.tokens import run_ids
 
 MAX_TOKENS, END_ID = 4096, 1
-#: Nodes that the search may visit before it keeps its incumbent.
-NODES = 20_000
-#: Fillings that are looked at around one longest piece.
-FILLINGS = 200
-#: Steps of one enumeration of fillings.
-TRIES = 20_000
+#: Steps of the search (pieces tried, fillings compared, nodes visited) before it keeps its incumbent: some seconds.
+STEPS = 4_000_000
+#: Fillings that are looked at around one longest piece, and steps of their enumeration.
+FILLINGS, TRIES = 100, 20_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -124,13 +122,13 @@ def _dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return deal(0, list(b))
 
 
-def fillings(counts: dict[int, int], room: int, slack: int, most: int = FILLINGS, tries: int = TRIES) -> tuple[list[tuple[int, ...]], bool]:
-    """Undominated sets of pieces for the room beside the longest piece that leave at most `slack` of it empty, fullest first, and whether these are all."""
+def fillings(counts: dict[int, int], room: int, slack: int, most: int = FILLINGS, tries: int = TRIES) -> tuple[list[tuple[int, ...]], bool, int]:
+    """Undominated sets of pieces for the room beside the longest piece that leave at most `slack` of it empty, fullest first; whether these are all; steps taken."""
     if counts.get(room):
-        return [(room,)], True  # one piece that fills the room dominates every other filling
+        return [(room,)], True, 1  # one piece that fills the room dominates every other filling
     sizes = [s for s in sorted(counts, reverse=True) if s <= room and counts[s]]
     if not sizes:
-        return ([()], True) if room <= slack else ([], True)
+        return ([()] if room <= slack else []), True, 1
     after = [0] * (len(sizes) + 1)  # what the pieces from here on hold in all
     for i in range(len(sizes) - 1, -1, -1):
         after[i] = after[i + 1] + sizes[i] * counts[sizes[i]]
@@ -159,30 +157,33 @@ def fillings(counts: dict[int, int], room: int, slack: int, most: int = FILLINGS
             found.append(chosen)
 
     grow((), 0, room)
-    whole = left > 0
+    whole, steps = left > 0, tries - left
     found = sorted(set(found), key=lambda f: (-sum(f), len(f), f))
     kept: list[tuple[int, ...]] = []
     for f in found:
         if len(kept) >= most:
             whole = False
             break
+        steps += len(kept)
         if not any(_dominated(f, k) for k in kept):
             kept.append(f)
-    return kept, whole
+    return kept, whole, steps
 
 
-def _search(counts: dict[int, int], cap: int, best_n: int, least: int, nodes: int, often: bool) -> tuple[list | None, bool, int]:
-    """Depth-first bin completion for fewer than best_n bins: (a plan with fewer or None, whether all was searched, nodes left)."""
+def _search(counts: dict[int, int], cap: int, best_n: int, least: int, steps: int, often: bool) -> tuple[list | None, bool, int]:
+    """Depth-first bin completion for fewer than best_n bins: (a plan with fewer or None, whether all was searched, steps left)."""
     total = sum(s * n for s, n in counts.items())
     now, path, stack, whole, best = dict(counts), [], [], True, None
     used = waste = 0
+    tries = max(500, min(TRIES, steps // best_n))  # so that the first way down ends within the budget
 
     def options() -> list[tuple[tuple[int, ...], int]]:
-        nonlocal whole
+        nonlocal whole, steps
         size = max(now)
         now[size] -= 1
-        found, every = fillings(now, cap - size, (best_n - 1) * cap - total - waste)
+        found, every, taken = fillings(now, cap - size, (best_n - 1) * cap - total - waste, tries=tries)
         now[size] += 1
+        steps -= taken
         out = []
         for f in found:
             need = defaultdict(int)
@@ -202,11 +203,11 @@ def _search(counts: dict[int, int], cap: int, best_n: int, least: int, nodes: in
 
     stack.append(iter(options()))
     while stack:
-        if nodes <= 0:
+        if steps <= 0:
             return best, False, 0
         step = next(stack[-1], None)
         if step is not None:
-            nodes -= 1
+            steps -= 1
             filling, times = step
             over = waste + times * (cap - sum(filling))
             if over > (best_n - 1) * cap - total:  # no better solution has so much waste
@@ -220,23 +221,23 @@ def _search(counts: dict[int, int], cap: int, best_n: int, least: int, nodes: in
             if used < best_n:
                 best, best_n = list(path), used
                 if best_n <= least:
-                    return best, True, nodes
+                    return best, True, steps
         else:
             stack.pop()
         if path:
             filling, times = path.pop()
             used, waste = used - times, waste - times * (cap - sum(filling))
             put(filling, -times)
-    return best, whole, nodes
+    return best, whole, steps
 
 
-def bin_completion(counts: dict[int, int], cap: int, nodes: int = NODES) -> tuple[list[tuple[tuple[int, ...], int]], int, bool]:
+def bin_completion(counts: dict[int, int], cap: int, steps: int = STEPS) -> tuple[list[tuple[tuple[int, ...], int]], int, bool]:
     """(filling, times) for all pieces, the number of bins, and whether that is proven least.
 
     Each level takes the longest piece left and tries its undominated fillings, fullest first. A branch
     ends when its waste leaves no room for fewer bins than the incumbent's (best-fit decreasing at first). Two
-    searches share the budget of nodes, at every size alike: one uses a filling as often as the counts
-    allow, then one takes a bin at a time. Only the second, and only if neither its fillings nor its nodes were cut, proves
+    searches share the budget of steps, at every size alike: one uses a filling as often as the counts
+    allow, then one takes a bin at a time. Only the second, and only if neither its fillings nor its steps were cut, proves
     what it didn't improve; meeting the lower bound always does.
     """
     counts = {s: n for s, n in counts.items() if n}
@@ -244,11 +245,11 @@ def bin_completion(counts: dict[int, int], cap: int, nodes: int = NODES) -> tupl
     best = best_fit(counts, cap)
     best_n = sum(t for _, t in best)
     whole = best_n <= least
-    for often, share in ((True, nodes // 4), (False, nodes)):
+    for often, share in ((True, steps // 4), (False, steps)):
         if whole:
             break
         better, whole, left = _search(counts, cap, best_n, least, share, often)
-        nodes -= share - left
+        steps -= share - left
         if better:
             best, best_n = better, sum(t for _, t in better)
         whole = best_n <= least or whole
@@ -271,11 +272,11 @@ def _plan_arrays(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.
     return {s: tuple(np.array(c, np.int64) for c in zip(*u, strict=True)) for s, u in uses.items()}
 
 
-def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, nodes: int = NODES) -> DataFrame:
+def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, steps: int = STEPS) -> DataFrame:
     """parts (PIECES) with sequence_id and offset, and the number of sequences, its lower bound and whether it is proven least. parts is read several times: materialize it first."""
     spark = parts.sparkSession
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most max_tokens rows
-    plan, used, proved = bin_completion(histogram, max_tokens, nodes)
+    plan, used, proved = bin_completion(histogram, max_tokens, steps)
     least = least_bins(histogram, max_tokens)
     arrays = spark.sparkContext.broadcast(_plan_arrays(plan))  # at most one use of a length in each filling: some thousand numbers
     salts = max(64, sum(histogram.values()) // 20_000)
@@ -304,8 +305,8 @@ def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, nodes: int = NODES) ->
     return placed.withColumns({"sequences": F.lit(used).cast("long"), "lower_bound": F.lit(least).cast("long"), "proved": F.lit(proved)})
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, nodes: int = NODES) -> DataFrame:
-    return pack(materialize(pieces(docs, path or tokenizer_path(), max_tokens), "pieces"), max_tokens, nodes)
+def pack_documents(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, steps: int = STEPS) -> DataFrame:
+    return pack(materialize(pieces(docs, path or tokenizer_path(), max_tokens), "pieces"), max_tokens, steps)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,12 +112,12 @@ def test_triples_that_fill_sequences(k):
 
 def test_cut_searches_prove_nothing():
     counts = triples(20, 3)
-    for limit in ({"nodes": 5}, {"nodes": 0}):
+    for limit in ({"steps": 50}, {"steps": 0}):
         plan, n, proved = packing.bin_completion(counts, 4096, **limit)
         check_plan(plan, counts, 4096)
         assert n > 20 and not proved
     pieces = {30: 1, 20: 1, 17: 2, 15: 2}
-    assert packing.fillings(pieces, 50, 50) == ([(30, 20), (17, 17, 15)], True)
+    assert packing.fillings(pieces, 50, 50)[:2] == ([(30, 20), (17, 17, 15)], True)
     assert packing.fillings(pieces, 50, 50, most=1)[1] is False and packing.fillings(pieces, 50, 50, tries=1)[1] is False
 
 
