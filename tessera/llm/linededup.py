@@ -29,6 +29,9 @@ from tessera.llm.common import BROADCAST_IDS, materialize, release
 MIN_LINES = 2
 #: Rolling hash over two lines: BASE * first + second, modulo PRIME; line hashes are the first HEX digits of their MD5.
 BASE, PRIME, HEX = 31, 2147483647, 7
+#: Lines on each side of a boundary's window that travel with it; most chunks end among them, longer ones are followed through both documents.
+NEAR = 4
+PAIR = ["doc_id", "v", "o_doc", "o_v", "shift"]
 _SOLID = "[^ \\t\\r]"
 
 
@@ -38,44 +41,70 @@ def _documents(docs: DataFrame) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("v"), F.split("text", "\n", -1).alias("lines"))
 
 
+def _coded(line):
+    """Hash of a line whose last bit says whether it has words."""
+    return F.xxhash64(line).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.when(line.rlike(_SOLID), 1).otherwise(0).cast("long"))
+
+
 def boundaries(docs: DataFrame) -> DataFrame:
-    """doc_id, v, k (the boundary window's first line, from 1) and id (hash of its lines)."""
+    """doc_id, v, k (the boundary window's first line, from 1), id (hash of its lines), its lines' hashes, and those of NEAR lines before (nearest first) and after."""
     number = lambda x: F.conv(F.substring(F.md5(x), 1, HEX), 16, 10).cast("long")
     rows = _documents(docs).where(F.size("lines") >= 2)
-    hashed = rows.select("doc_id", "v", F.transform("lines", lambda x: F.struct(number(x).alias("h"), F.xxhash64(x).alias("x"), x.rlike(_SOLID).alias("s"))).alias("l"))
-    rolling = f"transform(sequence(1, size(l) - 1), k -> if(l[k - 1].s or l[k].s, (l[k - 1].h * {BASE}L + l[k].h) % {PRIME}L, {PRIME}L))"
+    hashed = rows.select("doc_id", "v", F.transform("lines", number).alias("h"), F.transform("lines", _coded).alias("x"))
+    rolling = f"transform(sequence(1, size(h) - 1), k -> if((x[k - 1] | x[k]) & 1 = 1, (h[k - 1] * {BASE}L + h[k]) % {PRIME}L, {PRIME}L))"
     chosen = f"filter(sequence(1, size(r)), k -> r[k - 1] < {PRIME}L and (size(r) = 1 or (k < size(r) and r[k - 1] <= r[k]) or (k > 1 and r[k - 1] < r[k - 2])))"
-    each = hashed.withColumn("r", F.expr(rolling)).select("doc_id", "v", F.explode(F.expr(f"transform({chosen}, k -> named_struct('k', k, 'id', xxhash64(l[k - 1].x, l[k].x)))")).alias("c"))
+    around = f"'before', reverse(slice(x, greatest(1, k - {NEAR}), least(k - 1, {NEAR}))), 'after', slice(x, k + 2, {NEAR})"
+    window = f"named_struct('k', k, 'id', xxhash64(x[k - 1], x[k]), 'own', array(x[k - 1], x[k]), {around})"
+    each = hashed.withColumn("r", F.expr(rolling)).select("doc_id", "v", F.explode(F.expr(f"transform({chosen}, k -> {window})")).alias("c"))
     return each.select("doc_id", "v", "c.*")
 
 
+def _agreeing(a: str, b: str):
+    """How many leading values of two arrays agree, NEAR at most."""
+    return F.expr(f"coalesce(array_min(filter(sequence(0, {NEAR - 1}), i -> not coalesce(i < size({a}) and i < size({b}) and {a}[i] = {b}[i], false))), {NEAR})")
+
+
+def _grown(pairs: DataFrame, docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Runs (doc_id, v, o_doc, o_v, shift, lo, hi) of lines whose hashes agree along a pair's shift, around one of its boundaries (ks), with MIN_LINES lines that have words."""
+    mine = _documents(docs).join(pairs.select("doc_id", "v").distinct(), ["doc_id", "v"], "left_semi").select("doc_id", "v", F.transform("lines", _coded).alias("x")).dropDuplicates(["doc_id", "v"])
+    theirs = sources.select(F.col("doc_id").alias("o_doc"), F.col("v").alias("o_v"), F.transform("lines", _coded).alias("o_x"))
+    both = pairs.join(theirs, ["o_doc", "o_v"]).join(mine, ["doc_id", "v"])
+    same = "transform(x, (h, i) -> i >= shift and i - shift < size(o_x) and h = get(o_x, i - shift))"
+    runs = both.withColumn("e", F.expr(same)).select(
+        *PAIR, "x", "ks",
+        F.expr("filter(sequence(1, size(e)), k -> e[k - 1] and (k = 1 or not e[k - 2]))").alias("lo"), F.expr("filter(sequence(1, size(e)), k -> e[k - 1] and (k = size(e) or not e[k]))").alias("hi"),
+    )
+    solid = f"filter(arrays_zip(lo, hi), r -> exists(ks, k -> k >= r.lo and k < r.hi) and size(filter(slice(x, r.lo, r.hi - r.lo + 1), h -> h & 1 = 1)) >= {MIN_LINES})"
+    return runs.select(*PAIR, F.explode_outer(F.expr(solid)).alias("c")).select(*PAIR, "c.lo", "c.hi")
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, v, _gone: first and last lines of the chunks to remove (a row for each document that has some)."""
+    """doc_id, v, _gone: first and last lines of the chunks that may go and what the earlier place holds there (a row for each document that has some)."""
     place = F.struct("doc_id", "v", "k")
     found = boundaries(docs)
     owners = found.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     owners = materialize(owners.select("id", "first"), "line-owners")
     ids = F.broadcast(owners) if owners.count() <= BROADCAST_IDS else owners
-    hits = found.join(ids, "id").where(place != F.col("first"))
-    pairs = hits.select("doc_id", "v", F.col("first.doc_id").alias("o_doc"), F.col("first.v").alias("o_v"), (F.col("k") - F.col("first.k")).alias("shift")).distinct()
-    pairs = materialize(pairs, "line-pairs")
-    # texts of the documents in pairs, once for each (doc_id, v)
-    wanted = pairs.select("doc_id", "v").unionByName(pairs.select(F.col("o_doc").alias("doc_id"), F.col("o_v").alias("v"))).distinct()
-    texts = materialize(_documents(docs).join(wanted, ["doc_id", "v"], "left_semi").dropDuplicates(["doc_id", "v"]), "line-texts")
-    sources = materialize(texts.join(pairs.select(F.col("o_doc").alias("doc_id"), F.col("o_v").alias("v")).distinct(), ["doc_id", "v"], "left_semi"), "line-sources")
-    # (a frequent passage's first document is the source of many: written down, a join can split its rows over tasks)
-    both = pairs.join(sources.select(F.col("doc_id").alias("o_doc"), F.col("v").alias("o_v"), F.col("lines").alias("o_lines")), ["o_doc", "o_v"]).join(texts, ["doc_id", "v"])
-    same = "transform(lines, (x, i) -> i >= shift and i - shift < size(o_lines) and x = get(o_lines, i - shift))"
-    runs = both.withColumn("e", F.expr(same)).select(
-        "doc_id", "v", "lines",
-        F.expr("filter(sequence(1, size(e)), k -> e[k - 1] and (k = 1 or not e[k - 2]))").alias("lo"), F.expr("filter(sequence(1, size(e)), k -> e[k - 1] and (k = size(e) or not e[k]))").alias("hi"),
+    hits = materialize(found.join(ids, "id"), "line-windows")
+    # (written down first: a join alone can split a frequent window's rows over tasks)
+    owned = materialize(hits.where(place == F.col("first")).groupBy("id").agg(F.first("before").alias("o_before"), F.first("after").alias("o_after")), "line-owned")
+    others = hits.where(place != F.col("first")).join(owned, "id").select(
+        "doc_id", "v", F.col("first.doc_id").alias("o_doc"), F.col("first.v").alias("o_v"), (F.col("k") - F.col("first.k")).alias("shift"), "k", "own", "before", "after",
+        _agreeing("before", "o_before").alias("left"), _agreeing("after", "o_after").alias("right"),
     )
-    solid = f"size(filter(slice(lines, r.lo, r.hi - r.lo + 1), x -> x rlike '{_SOLID.replace(chr(92), chr(92) * 2)}')) >= {MIN_LINES}"
-    chunks = runs.select("doc_id", "v", F.expr(f"filter(arrays_zip(lo, hi), r -> {solid})").alias("c"))
-    # (a filter before the grouping would be pushed below and compute the arrays anew for each of their elements)
-    gone = chunks.groupBy("doc_id", "v").agg(F.array_distinct(F.flatten(F.collect_list("c"))).alias("_gone")).where("size(_gone) > 0")
-    gone = materialize(gone, "line-chunks")
-    release(owners, pairs, texts, sources)
+    others = materialize(others, "line-hits")
+    open_ = (F.col("left") == NEAR) | (F.col("right") == NEAR)
+    words = F.expr(f"size(filter(concat(own, slice(before, 1, left), slice(after, 1, right)), h -> h & 1 = 1)) >= {MIN_LINES}")
+    near = others.where(~open_).where(words).select(*PAIR, (F.col("k") - F.col("left")).alias("lo"), (F.col("k") + 1 + F.col("right")).alias("hi")).distinct()
+    # chunks that reach beyond the lines nearby grow over the whole of both documents
+    pairs = materialize(others.where(open_).groupBy(*PAIR).agg(F.collect_set("k").alias("ks")), "line-pairs")
+    far_ids = pairs.select("o_doc", "o_v").unionByName(near.select("o_doc", "o_v")).distinct().select(F.col("o_doc").alias("doc_id"), F.col("o_v").alias("v"))
+    sources = materialize(_documents(docs).join(far_ids, ["doc_id", "v"], "left_semi").dropDuplicates(["doc_id", "v"]), "line-sources")
+    runs = materialize(near.unionByName(_grown(pairs, docs, sources)).where("lo is not null"), "line-runs")
+    theirs = sources.select(F.col("doc_id").alias("o_doc"), F.col("v").alias("o_v"), F.col("lines").alias("o_lines"))
+    held = runs.join(theirs, ["o_doc", "o_v"]).select("doc_id", "v", F.struct("lo", "hi", F.expr("array_join(slice(o_lines, lo - shift, hi - lo + 1), '\n')").alias("bytes")).alias("c"))
+    gone = materialize(held.groupBy("doc_id", "v").agg(F.collect_list("c").alias("_gone")), "line-chunks")
+    release(owners, hits, owned, others, pairs, sources, runs)
     return gone
 
 
@@ -86,7 +115,8 @@ def line_dedup(docs: DataFrame, report: bool = True) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")  # in a struct, so no name can clash
     joined = docs.select(row).join(gone, (F.col("_row.doc_id").cast("long") == F.col("doc_id")) & (F.xxhash64("_row.text") == F.col("v")), "left").select("_row", "_gone")
     out = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("_row.text", "\n", -1)))
-    out = out.withColumn("_drop", F.array_sort(F.array_distinct(F.expr("flatten(transform(_gone, c -> sequence(c.lo, c.hi)))"))))
+    same = "filter(_gone, c -> array_join(slice(_lines, c.lo, c.hi - c.lo + 1), '\n') = c.bytes)"  # hashes proposed, bytes decide
+    out = out.withColumn("_drop", F.array_sort(F.array_distinct(F.expr(f"flatten(transform({same}, c -> sequence(c.lo, c.hi)))"))))
     out = out.withColumn("_left", F.expr("case when _gone is not null then array_except(sequence(1, size(_lines)), _drop) end"))
     kept = F.expr("case when _gone is null then _row.text else array_join(transform(_left, i -> _lines[i - 1]), '\n') end")
     columns = [kept.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names if not report or c not in ("_removed_lines", "_removed_chunks")]
@@ -122,9 +152,11 @@ with l as (
   select p.*, x.k, x.solid, x.k - row_number() over (partition by p.doc_id, p.o_doc, p.shift order by x.k) as run
   from p join s x on x.doc_id = p.doc_id join l o on o.doc_id = p.o_doc and o.k = x.k - p.shift where o.line = x.line
 ), g as (
-  select doc_id, min(k) as lo, max(k) as hi from e group by doc_id, o_doc, shift, run having sum(cast(solid as integer)) >= {MIN_LINES}
+  select doc_id, o_doc, shift, min(k) as lo, max(k) as hi from e group by doc_id, o_doc, shift, run having sum(cast(solid as integer)) >= {MIN_LINES}
+), i as (
+  select distinct g.doc_id, lo, hi from g join c on c.doc_id = g.doc_id and c.o_doc = g.o_doc and c.k - c.o_k = g.shift and c.k >= g.lo and c.k < g.hi
 ), m as (
-  select l.*, exists (select 1 from g where g.doc_id = l.doc_id and l.k between g.lo and g.hi) as gone from l
+  select l.*, exists (select 1 from i where i.doc_id = l.doc_id and l.k between i.lo and i.hi) as gone from l
 ), t as (
   select doc_id, count(*) filter (where gone) as removed_lines, count(*) filter (where gone and not coalesce(before, false)) as removed_chunks, coalesce(string_agg(line, chr(10) order by k) filter (where not gone), '') as kept
   from (select *, lag(gone) over (partition by doc_id order by k) as before from m) group by doc_id

@@ -37,7 +37,7 @@ def plain(rows):
             shift, other = i - j, texts[o]
             agree = [k for k in range(len(lines)) if 0 <= k - shift < len(other) and lines[k] == other[k - shift]]
             for run in runs_of(agree):
-                if sum(bool(lines[k].strip(" \t\r")) for k in run) >= linededup.MIN_LINES:
+                if i in run and i + 1 in run and sum(bool(lines[k].strip(" \t\r")) for k in run) >= linededup.MIN_LINES:
                     drop |= set(run)
         out.append((d, "\n".join(x for i, x in enumerate(lines) if i not in drop)))
     return out
