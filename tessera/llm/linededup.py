@@ -41,6 +41,13 @@ def _documents(docs: DataFrame) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("v"), F.split("text", "\n", -1).alias("lines"))
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose (doc_id, v) is in ids, once each; ids are counted first and broadcast only up to BROADCAST_IDS rows."""
+    ids = ids.distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return rows.join(ids, ["doc_id", "v"], "left_semi").dropDuplicates(["doc_id", "v"])
+
+
 def _coded(line):
     """Hash of a line whose last bit says whether it has words."""
     return F.xxhash64(line).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.when(line.rlike(_SOLID), 1).otherwise(0).cast("long"))
@@ -66,7 +73,7 @@ def _agreeing(a: str, b: str):
 
 def _grown(pairs: DataFrame, docs: DataFrame, sources: DataFrame) -> DataFrame:
     """Runs (doc_id, v, o_doc, o_v, shift, lo, hi) of lines whose hashes agree along a pair's shift, around one of its boundaries (ks), with MIN_LINES lines that have words."""
-    mine = _documents(docs).join(pairs.select("doc_id", "v").distinct(), ["doc_id", "v"], "left_semi").select("doc_id", "v", F.transform("lines", _coded).alias("x")).dropDuplicates(["doc_id", "v"])
+    mine = _only(_documents(docs).select("doc_id", "v", F.transform("lines", _coded).alias("x")), pairs.select("doc_id", "v"))
     theirs = sources.select(F.col("doc_id").alias("o_doc"), F.col("v").alias("o_v"), F.transform("lines", _coded).alias("o_x"))
     both = pairs.join(theirs, ["o_doc", "o_v"]).join(mine, ["doc_id", "v"])
     same = "transform(x, (h, i) -> i >= shift and i - shift < size(o_x) and h = get(o_x, i - shift))"
@@ -98,8 +105,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     near = others.where(~open_).where(words).select(*PAIR, (F.col("k") - F.col("left")).alias("lo"), (F.col("k") + 1 + F.col("right")).alias("hi")).distinct()
     # chunks that reach beyond the lines nearby grow over the whole of both documents
     pairs = materialize(others.where(open_).groupBy(*PAIR).agg(F.collect_set("k").alias("ks")), "line-pairs")
-    far_ids = pairs.select("o_doc", "o_v").unionByName(near.select("o_doc", "o_v")).distinct().select(F.col("o_doc").alias("doc_id"), F.col("o_v").alias("v"))
-    sources = materialize(_documents(docs).join(far_ids, ["doc_id", "v"], "left_semi").dropDuplicates(["doc_id", "v"]), "line-sources")
+    first_ids = pairs.select("o_doc", "o_v").unionByName(near.select("o_doc", "o_v")).select(F.col("o_doc").alias("doc_id"), F.col("o_v").alias("v"))
+    sources = materialize(_only(_documents(docs), first_ids), "line-sources")
     runs = materialize(near.unionByName(_grown(pairs, docs, sources)).where("lo is not null"), "line-runs")
     theirs = sources.select(F.col("doc_id").alias("o_doc"), F.col("v").alias("o_v"), F.col("lines").alias("o_lines"))
     held = runs.join(theirs, ["o_doc", "o_v"]).select("doc_id", "v", F.struct("lo", "hi", F.expr("array_join(slice(o_lines, lo - shift, hi - lo + 1), '\n')").alias("bytes")).alias("c"))
