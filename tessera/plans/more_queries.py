@@ -10,11 +10,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions import headers, interpret, scoring
-from tessera.operators import answers, fusion
+from tessera.functions import boosts, headers, interpret, scoring
+from tessera.operators import answers, fusion, selection
 from tessera.plans.query_queries import ASKED_SQL, asked
 from tessera.plans.rank_queries import _all_relations, _relations
-from tessera.sources.tables import candidates, corpus, dirty, load, oracle
+from tessera.sources import files
+from tessera.sources.tables import candidates, corpus, dirty, load, oracle, results
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -176,22 +177,23 @@ def pair_scorer(spark, d):
     return s.orderBy(F.desc("score"), "doc_id").limit(25)
 
 
-@query("F24_F27_category_penalty")
-def category_penalty(spark, d):
-    cut = fusion.ranked(candidates(spark, d), "score").where("rank <= 60")
+@query("F24_category_coverage")
+def category_coverage(spark, d):
+    """The categories that K21 predicts for the query; a result has those whose keywords it holds, the first one if none."""
+    r = results(spark, d)
+    predicted = files.written(r.select("query").distinct().withColumn("predicted", interpret.categories(F.col("query"))), "predicted")
+    r = r.join(predicted, "query")
+    holds = lambda ws: F.col("content").rlike(r"(?i)\b(?:" + "|".join(ws) + r")\b")
+    every = F.array_compact(F.array(*[F.when(holds(ws), c) for c, ws in interpret.CATEGORY_KEYWORDS.items()]))
+    own = F.filter("predicted", lambda c: F.array_contains(every, c))
+    r = r.withColumn("assigned", F.when(F.size(own) > 0, own).otherwise(F.slice("predicted", 1, 1)))
+    # (written down: the rules read these columns often)
+    return selection.cover_categories(files.written(r.select("query_id", "chunk_id", "score", "vertical", "predicted", "assigned"), "assigned"))
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "chunk_id"], ascending=[False, True])
-        seen: dict = {}
-        left, out = list(pdf.itertuples()), []
-        while left and len(out) < 10:
-            best = max(range(len(left)), key=lambda i: (round(0.6 * left[i].score - 0.4 * min(1.0, seen.get(left[i].vertical, 0) / 3), 9), -i))
-            row = left.pop(best)
-            seen[row.vertical] = seen.get(row.vertical, 0) + 1
-            out.append((row.query_id, len(out) + 1, row.chunk_id))
-        return pd.DataFrame(out, columns=["query_id", "pick", "chunk_id"])
 
-    return cut.groupBy("query_id").applyInPandas(pick, "query_id long, pick int, chunk_id long")
+@query("F24_F27_category_penalty")
+def category_penalty(spark, d):
+    return selection.penalise_categories(candidates(spark, d))
 
 
 @query("F25_F26_coverage", "select query_id, vertical, count(*) as n, round(cast(count(*) as double) / sum(count(*)) over (partition by query_id), 6) as share from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from candidates) where r <= 20 group by query_id, vertical")
@@ -239,11 +241,16 @@ def reverse_edges(spark, d):
 ORACLE["J25_J27_reverse_edges"] = ORACLE["J25_J27_reverse_edges"].replace("then 0.3 else 1.0 end as factor", "then cast(0.3 as double) else 1.0 end as factor")
 
 
-@query("J39_preferred_with_fallback", "select query_id, chunk_id from (select *, max(case when vertical = 'go' and score > 0.98 then 1 else 0 end) over (partition by query_id) as any_go from candidates) where any_go = 0 or (vertical = 'go' and score > 0.98)")
+# fixed values: addresses that are preferred
+_PREFERRED = ["ap.gov.in", "gov.in", ".nic.in", ".in"]
+_ADDRESS = "lower(coalesce(nullif(url, ''), nullif(source, ''), ''))"
+_WORLD = " or ".join(f"contains(lower(query), '{w}')" for w in boosts.INTERNATIONAL_QUERY)
+
+
+@query("J39_preferred_with_fallback", f"select query_id, chunk_id from (select *, max(cast(good as integer)) over (partition by query_id) as any_good from (select query_id, chunk_id, query, {' or '.join(f'contains({_ADDRESS}, {chr(39)}{x}{chr(39)})' for x in _PREFERRED)} as good from results)) where ({_WORLD}) or any_good = 0 or good")
 def preferred(spark, d):
-    good = (F.col("vertical") == "go") & (F.col("score") > 0.98)
-    c = candidates(spark, d).withColumn("any_go", F.max(good.cast("int")).over(Window.partitionBy("query_id")))
-    return c.where((F.col("any_go") == 0) | good).select("query_id", "chunk_id")
+    world = boosts.holds(F.lower("query"), boosts.INTERNATIONAL_QUERY)
+    return selection.prefer_domains(results(spark, d), _PREFERRED, world).select("query_id", "chunk_id")
 
 
 # ---- embeddings without a model

@@ -289,10 +289,11 @@ def dates(spark, d):
     return corpus(spark, d).select("n", answers.day_month_year(raw).alias("date"))
 
 
-@query("W14_coverage", f"with q as ({ASKED_SQL}), c as (select n, lower(text) as text from corpus), t as (select query_id, list_filter(string_split_regex(lower(query), '\\s+'), lambda w: length(w) > 2 and w not in ('what', 'is', 'are', 'the', 'a', 'an', 'how', 'why', 'when', 'where')) as terms from q) select query_id, n, len(terms) = 0 or cast(len(list_filter(terms, lambda w: contains(c.text, w))) as double) / greatest(len(terms), 1) >= 0.5 as covered from t join c on c.n % 20 + 1 = t.query_id")
+@query("W14_coverage", f"with q as ({ASKED_SQL}), c as (select n, lower(text) as text from corpus), t as (select query_id, list_filter(string_split_regex(lower(query), '\\s+'), lambda w: length(w) > 2 and w not in ('what', 'is', 'are', 'the', 'a', 'an', 'how', 'why', 'when', 'where')) as terms from q) select query_id, n, len(terms) = 0 or cast(len(list_filter(terms, lambda w: contains(c.text, w))) as double) / greatest(len(terms), 1) >= 0.5 as covered from t join c on c.n = t.query_id % 1500")
 def coverage(spark, d):
-    texts = corpus(spark, d).select("n", "text", (F.col("n") % 20 + 1).alias("k"))
-    return asked(spark, d).withColumn("k", F.col("query_id")).join(texts, "k").select("query_id", "n", answers.covered(F.col("query"), F.col("text")).alias("covered"))
+    """Every query with the answer text of one document."""
+    texts = corpus(spark, d).select("n", "text")
+    return asked(spark, d).withColumn("n", F.col("query_id") % 1500).join(texts, "n").select("query_id", "n", answers.covered(F.col("query"), F.col("text")).alias("covered"))
 
 
 @query("W15_W24_claims", r"with c as (select n, text, flatten([regexp_extract_all(text, '\d+%', 0), regexp_extract_all(text, '\d{4}', 0), regexp_extract_all(text, '(?i)Section\s+\d+', 0), regexp_extract_all(text, '(?i)GO\.?\s*\w*\.?\s*No\.?\s*\d+', 0)]) as claims from corpus) select a.n, len(a.claims) as claims, len(a.claims) > 0 and cast(len(list_filter(a.claims, lambda x: not contains(lower(b.text), lower(x)))) as double) / greatest(len(a.claims), 1) > 0.3 as hallucinated from c a join c b on b.n = a.n + 5")
