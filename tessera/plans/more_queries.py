@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import boosts, headers, interpret, scoring
-from tessera.operators import answers, fusion, selection
+from tessera.operators import answers, selection
 from tessera.plans.query_queries import ASKED_SQL, asked
 from tessera.plans.rank_queries import _all_relations, _relations
 from tessera.sources import files
