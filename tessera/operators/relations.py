@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources import files
+
 # fixed values: an order's number with or without its prefix, and the patterns, confidences and priorities of relation types
 _GO = r"(?:G\.?O\.?(?:MS|RT)?\.?\s*No\.?\s*)?"
 PATTERNS = {
@@ -82,3 +84,72 @@ def supersession_map(docs: DataFrame, relations: DataFrame) -> DataFrame:
     named = docs.select("doc_id", "go_number").groupBy("go_number").agg(F.max("doc_id").alias("doc_id"))
     joined = claims.join(named, "go_number").where("doc_id <> superseded_by")
     return joined.groupBy("doc_id").agg(F.max("superseded_by").alias("superseded_by"))
+
+
+def nested(relations: DataFrame) -> DataFrame:
+    """doc_id, relations (array of type and target), as documents carry them."""
+    return relations.groupBy("source_id").agg(F.sort_array(F.collect_set(F.struct(F.col("relation_type").alias("type"), "target"))).alias("relations")).withColumnRenamed("source_id", "doc_id")
+
+
+def has_relation(relations: Column, kind: str, target: Column) -> Column:
+    """Whether one and the same element has this type and this target."""
+    return F.exists(relations, lambda r: (r["type"] == kind) & (r["target"] == target))
+
+
+def inverted(docs: DataFrame) -> DataFrame:
+    """type, target, doc_id of (doc_id, relations): a row for each distinct element, so that has_relation becomes an equi-join."""
+    return docs.select("doc_id", F.explode(F.array_distinct("relations")).alias("r")).select("r.type", "r.target", "doc_id").distinct()
+
+
+def sources_of(wanted: DataFrame, edges: DataFrame, kind: str, most: int = 5) -> DataFrame:
+    """target, doc_id: the first documents with a relation of this type to each target of wanted."""
+    kept = edges.where(F.col("type") == kind).join(wanted.select("target").distinct(), "target", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("doc_id"))
+    return kept.withColumn("_r", rank).where(F.col("_r") <= most).select("target", "doc_id")
+
+
+# fixed values: factors for a superseded result, and for documents that supersede or amend one
+SUPERSEDED, SUPERSEDING, AMENDING, CHECKED = 0.3, 1.5, 1.2, 10
+
+
+def with_reverse_edges(results: DataFrame, edges: DataFrame) -> DataFrame:
+    """query_id, doc_id, score, via, of: results (query_id, rank, doc_id, target, score) and the documents that supersede or amend their first ten.
+
+    target is the name by which relations call a result. A superseded result loses most of its score.
+    """
+    top = results.where(F.col("rank") <= CHECKED)
+    found = {kind: files.written(sources_of(top, edges, kind), kind) for kind in ("supersedes", "amends")}
+    old = found["supersedes"].select("target").distinct().withColumn("_old", F.lit(True))
+    marked = results.join(old, "target", "left").withColumn("_old", F.coalesce("_old", F.lit(False)) & (F.col("rank") <= CHECKED))
+    out = marked.select("query_id", "doc_id", F.when(F.col("_old"), F.col("score") * SUPERSEDED).otherwise(F.col("score")).alias("score"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("of"))
+    for kind, factor in (("supersedes", SUPERSEDING), ("amends", AMENDING)):
+        named = found[kind].withColumnRenamed("doc_id", "_new")
+        out = out.unionByName(top.join(named, "target").select("query_id", F.col("_new").alias("doc_id"), F.lit(factor).alias("score"), F.lit(kind).alias("via"), F.col("doc_id").alias("of")))
+    return out
+
+
+def current_versions(pointers: DataFrame) -> DataFrame:
+    """doc_id, current, steps, looped for (doc_id, superseded_by): the end of each document's chain and how far it is.
+
+    Pointer jumping: each round doubles the steps that a pointer spans, so a chain of n documents takes
+    about log2(n) rounds, each written to the shared folder. The distances along a chain have no gaps, so once no
+    document finishes in a round, those left lead into a loop: looped, without current and steps. Of several
+    pointers of a document the largest counts; rows with a null id are left out.
+    """
+    first = pointers.where("doc_id is not null and superseded_by is not null").groupBy("doc_id").agg(F.max("superseded_by").alias("to")).withColumn("steps", F.lit(1).cast("long"))
+    open_ = files.written(first, "pointers")
+    done = files.written(open_.join(open_.select(F.col("doc_id").alias("to")), "to", "left_anti").select("doc_id", "to", "steps"), "chain-ends")
+    finished = done
+    left = files.written(open_.join(done, "doc_id", "left_anti"), "pointers")
+    while not left.isEmpty():
+        # a pointer to a finished document ends where that one ends; others jump on
+        ends = finished.select(F.col("doc_id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"), F.lit(True).alias("_end"))
+        jumps = left.select(F.col("doc_id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"), F.lit(False).alias("_end"))
+        moved = files.written(left.join(ends.unionByName(jumps), "to").select("doc_id", F.col("_to").alias("to"), (F.col("steps") + F.col("_steps")).alias("steps"), "_end"), "pointers")
+        new = moved.where("_end").drop("_end")
+        if new.isEmpty():
+            break
+        finished = finished.unionByName(new)
+        left = moved.where("not _end").drop("_end")
+    ended = finished.select("doc_id", F.col("to").alias("current"), "steps", F.lit(False).alias("looped"))
+    return ended.unionByName(left.select("doc_id", F.lit(None).cast(ended.schema["current"].dataType).alias("current"), F.lit(None).cast("long").alias("steps"), F.lit(True).alias("looped")))

@@ -148,21 +148,6 @@ def clause_index(spark, d):
     return clauses.mentions(corpus(spark, d)).groupBy("clause").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("documents"))
 
 
-@query(
-    "J16_clause_lookup",
-    f"""with x as (select clause, min(doc_id) as doc_id from ({_CLAUSES}) group by clause), q as (select query_id, lower(query) as query from (select * from (values (1, 'what does section 12 say'), (2, 'chapter and rule 3'), (3, 'Section 3 of the act'), (4, 'nothing')) v(query_id, query)))
-    select query_id, clause, doc_id from (select q.query_id, x.clause, x.doc_id, row_number() over (partition by query_id order by length(clause) desc, clause) as r from q join x on contains(q.query, x.clause)) where r <= 5""",
-)
-def clause_lookup(spark, d):
-    q = spark.createDataFrame([(1, "what does section 12 say"), (2, "chapter and rule 3"), (3, "Section 3 of the act"), (4, "nothing")], "query_id int, query string")
-    return clauses.lookup(q, clauses.mentions(corpus(spark, d)).groupBy("clause").agg(F.min("doc_id").alias("doc_id")))
-
-
-@query("J18_fast_path", f"select query_id, len(regexp_extract_all(lower(query), '(?:section|rule|article|clause)\\s+\\d+', 0)) >= 1 as fast from ({ASKED_SQL})")
-def fast_path(spark, d):
-    return asked(spark, d).select("query_id", (F.size(F.regexp_extract_all(F.lower("query"), F.lit(r"(?:section|rule|article|clause)\s+\d+"), F.lit(0))) >= 1).alias("fast"))
-
-
 # ---- web pages and files
 
 _HTML = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', '', 'g')"

@@ -93,28 +93,6 @@ def neighbours(spark, d):
     return edges.join(docs, "n").select("source_id", "neighbour", "relation_type", F.round((F.col("n") % 1000).cast("double") / 1000 * 0.85, 6).alias("score"))
 
 
-@query(
-    "J30_second_hop_queries",
-    f"with e as (select source_id, target from ({_all_relations}) where relation_type in ('supersedes', 'amends', 'cites')) select source_id, target from (select *, row_number() over (partition by source_id order by target) as r from (select distinct source_id, target from e)) where r <= 3",
-)
-def second_hop(spark, d):
-    targets = _relations(spark, d).where("relation_type in ('supersedes', 'amends', 'cites')").select("source_id", "target").distinct()
-    return targets.withColumn("r", F.row_number().over(Window.partitionBy("source_id").orderBy("target"))).where("r <= 3").drop("r")
-
-
-@query(
-    "J31_two_hops",
-    f"""with e as (select c.doc_id as src, t.doc_id as dst from ({_all_relations}) r join corpus c on c.doc_id = r.source_id join corpus t on t.n = cast(regexp_extract(r.target, '(\\d+)', 1) as bigint) where relation_type in ('amends', 'supersedes') and starts_with(target, 'G.O.'))
-    select start, doc_id, min(hop) as hop from (select src as start, dst as doc_id, 1 as hop from e union all select a.src, b.dst, 2 from e a join e b on a.dst = b.src) group by start, doc_id""",
-)
-def two_hops(spark, d):
-    edges = _relations(spark, d).where("relation_type in ('amends', 'supersedes') and target like 'G.O.%'").select(F.col("source_id").alias("src"), F.regexp_extract("target", r"(\d+)", 1).cast("long").alias("n"))
-    edges = edges.join(corpus(spark, d).select("n", F.col("doc_id").alias("dst")), "n").select("src", "dst")
-    first = edges.select(F.col("src").alias("start"), F.col("dst").alias("doc_id"), F.lit(1).alias("hop"))
-    second = first.join(edges, first["doc_id"] == edges["src"]).select("start", F.col("dst").alias("doc_id"), F.lit(2).alias("hop"))
-    return first.unionByName(second).groupBy("start", "doc_id").agg(F.min("hop").alias("hop"))
-
-
 # ---- chunks
 
 
