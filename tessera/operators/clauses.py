@@ -55,19 +55,20 @@ def index(docs: DataFrame) -> DataFrame:
     """
     low = F.lower("text")
 
-    def mentioned(kind: str, number: str) -> DataFrame:
+    def mentioned(kind: str, number: str) -> Column:
         plain = rf"\b{kind}\s+{number}"
         # the text before a mention is looked up backwards: all of it near the start, else AROUND characters
         around = rf"(?s)\b{kind}(?<=(^.{{0,{AROUND - 1}}}|.{{{AROUND}}}){kind})\s+{number}(?=(.{{0,{AROUND}}}))"
-        part = lambda g: F.regexp_extract_all(low, F.lit(around), F.lit(g))
-        gaps = F.transform(F.split(low, plain), F.length)
-        named = docs.select("doc_id", F.length("text").alias("size"), act_of(low).alias("act"), F.arrays_zip(part(0).alias("whole"), part(1).alias("before"), part(2).alias("number"), part(3).alias("after"), gaps.alias("gap")).alias("m"))
-        rows = named.where(F.size("m") > 1).select("doc_id", "size", "act", F.posexplode("m").alias("i", "m"))
-        return rows.select("doc_id", "size", "act", "i", "m.*", F.concat(F.lit(f"{kind} "), F.col("m.number")).alias("clause"), F.lit(kind).alias("kind"))
-
-    found = None
-    for kind, number in KEYED.items():
-        found = mentioned(kind, number) if found is None else found.unionByName(mentioned(kind, number))
+        part = lambda g: F.regexp_extract_all("low", F.lit(around), F.lit(g))
+        zipped = F.arrays_zip(part(0).alias("whole"), part(1).alias("before"), part(2).alias("number"), part(3).alias("after"), F.transform(F.split("low", plain), F.length).alias("gap"))
+        rows = F.transform(zipped, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), m["whole"].alias("whole"), m["before"].alias("before"), m["number"].alias("number"), m["after"].alias("after"), m["gap"].alias("gap")))
+        # most texts name few kinds: the patterns are for those that hold the word
+        return F.when(F.contains("low", F.lit(kind)), rows)
+
+    kinds = F.array(*[mentioned(k, n) for k, n in KEYED.items()])
+    texts = docs.select("doc_id", F.length("text").alias("size"), low.alias("low"), act_of(low).alias("act"))
+    rows = texts.select("doc_id", "size", "act", F.explode(kinds).alias("m")).where(F.size("m") > 1)
+    found = rows.select("doc_id", "size", "act", F.inline("m")).withColumn("clause", F.concat_ws(" ", "kind", "number"))
     so_far = Window.partitionBy("doc_id", "kind").orderBy("i")
     start = F.sum(F.col("gap") + F.coalesce(F.length("whole"), F.lit(0))).over(so_far) - F.length("whole")
     placed = found.withColumn("start", start).where("whole is not null")
