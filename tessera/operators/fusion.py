@@ -81,11 +81,21 @@ def vertical_diversity(df: DataFrame, k: int) -> DataFrame:
     return out.where(F.col("rank") <= k).drop("_top", "_all", "_v")
 
 
-def greedy(df: DataFrame, k: int, relevance: float, most: int, kind: str) -> DataFrame:
-    """Sequential picks within each query over its best `most` candidates: kind mmr (cosine of embedding) or words (Jaccard of word sets in words)."""
+def brainstorm_rerank(df: DataFrame, k: int = 15, now: int = 2024) -> DataFrame:
+    """query_id, pick, chunk_id: 0.3 score, 0.25 innovation, 0.2 recency (a null year counts as 2000), then picks by 0.75 of that and 0.25 of how little their words overlap with those before.
+
+    df (query_id, chunk_id, text, score, year) holds what a search returned, so a query's rows are as many as that search's k.
+    """
+    text = F.coalesce("text", F.lit(""))
+    base = 0.3 * F.col("score") + 0.25 * scoring.innovation(text) + 0.2 * scoring.recency_steps(F.coalesce("year", F.lit(2000)), now)
+    return greedy(df.select("query_id", "chunk_id", base.alias("score"), scoring.word_set(text).alias("words")), k, 0.75, None, "words")
+
+
+def greedy(df: DataFrame, k: int, relevance: float, most: int | None, kind: str) -> DataFrame:
+    """Sequential picks within each query over its best `most` candidates (all without it): kind mmr (cosine of embedding) or words (Jaccard of word sets in words)."""
     import numpy as np
 
-    cut = ranked(df, "score").where(F.col("rank") <= most)
+    cut = ranked(df, "score").where(F.col("rank") <= most) if most else df
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "chunk_id"], ascending=[False, True]).reset_index(drop=True)

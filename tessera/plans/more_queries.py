@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions import boosts, headers, interpret, scoring
 from tessera.operators import answers, selection
@@ -253,29 +248,6 @@ def preferred(spark, d):
     return selection.prefer_domains(results(spark, d), _PREFERRED, world).select("query_id", "chunk_id")
 
 
-# ---- embeddings without a model
-
-
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def lite_embedding(texts: pd.Series) -> pd.Series:
-    """A unit vector seeded by the text's SHA-256: equal texts, equal vectors."""
-
-    def one(t):
-        if t is None or not t.strip():
-            return None
-        v = np.random.RandomState(int.from_bytes(hashlib.sha256(t.encode()).digest()[:4], "big")).standard_normal(64)
-        return (v / np.linalg.norm(v)).astype(np.float32).tolist()
-
-    return texts.map(one)
-
-
-@query("V1_V6_lite_embeddings")
-def lite(spark, d):
-    e = F.col("e")
-    distinct = load(spark, d, "documents").select("text").distinct().withColumn("e", lite_embedding("text"))
-    return distinct.select(F.sha2("text", 256).alias("key"), F.size(e).alias("dims"), F.round(F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 4).alias("norm"))
-
-
 # ---- aggregation and answers
 
 

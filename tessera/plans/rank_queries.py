@@ -316,12 +316,6 @@ def mmr(spark, d):
     return fusion.greedy(v, 8, 0.7, 60, "mmr")
 
 
-@query("F20_brainstorm_diversity")
-def brainstorm(spark, d):
-    c = candidates(spark, d).withColumn("words", F.split("relation_list", ","))
-    return fusion.greedy(c, 8, 0.75, 60, "words")
-
-
 @query("F30_F31_source_order", "with p as (select query_id, chunk_id, score, 'local' as source, 1.0 as priority, row_number() over (partition by query_id order by score desc, chunk_id) as number from candidates where chunk_id % 3 = 0 union all select query_id, chunk_id, score, 'internet', 0.3, 100 + row_number() over (partition by query_id order by score desc, chunk_id) from candidates where chunk_id % 3 = 1) select query_id, chunk_id, source, cast(number as integer) as number, cast(row_number() over (partition by query_id order by priority desc, number) as integer) as rank from p")
 def sources(spark, d):
     c = candidates(spark, d)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import boosts, matching, scoring
-from tessera.operators import answers, fusion, vectors
+from tessera.operators import answers, fusion, models, vectors
 from tessera.operators import stored_index as index
-from tessera.plans import more_queries
 from tessera.plans.query_queries import _HTML
 from tessera.plans.rank_queries import BM25_SQL, _POLICY, _case, user_turns
 from tessera.sources import files, web
@@ -112,7 +111,7 @@ def sidecars(spark, d):
 def embedded(spark, d):
     """Chunks with text, cut to 20000 characters, whose vectors are finite and of a sound length."""
     docs = load(spark, d, "documents").where(F.col("text").rlike(r"\S"))
-    e = docs.select("doc_id", more_queries.lite_embedding(F.substring("text", 1, 20000)).alias("e"))
+    e = docs.select("doc_id", models.embed(F.col("text"), [models.WordHashing("words", 64)], 64)["value"].alias("e"))
     return e.where(vectors.good_quality(F.col("e"))).select("doc_id", F.lit(True).alias("embedded"), F.size("e").alias("dims"))
 
 
