@@ -92,6 +92,24 @@ def reasoning(df: DataFrame) -> DataFrame:
     return rows.select("query_id", F.explode(mine).alias("b"), "place", "chunk_id").select("query_id", "b.bucket", "place", "chunk_id")
 
 
+# fixed values: length of a bullet's text, first line of the answer, and its confidence
+BULLET, NO_MODEL, NO_MODEL_CONFIDENCE = 220, "Model access failed; providing a direct summary from retrieved documents:", 0.2
+
+
+def bullets(df: DataFrame, k: int) -> DataFrame:
+    """query_id, answer, confidence: without a model, one numbered line for each of the best k results (query_id, chunk_id, doc_id, title, text, score).
+
+    A result is named by its title, else its doc_id, else its number; empty ones count as missing, a null text as empty.
+    """
+    text = F.replace(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n\f")), F.lit("\n"), F.lit(" "))
+    shown = F.when(F.length(text) > BULLET, F.concat(F.rtrim(F.left(text, F.lit(BULLET))), F.lit("..."))).otherwise(text)
+    number = F.col("rank").cast("string")
+    name = F.coalesce(F.nullif("title", F.lit("")), F.nullif(F.col("doc_id").cast("string"), F.lit("")), F.concat(F.lit("Document "), number))
+    line = F.concat(F.lit("- ["), number, F.lit("] "), name, F.lit(": "), shown)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"])
+    return top(df, k).groupBy("query_id").agg(F.concat_ws("\n", F.lit(NO_MODEL), lines).alias("answer"), F.lit(NO_MODEL_CONFIDENCE).alias("confidence"))
+
+
 def citation_issues(cited: Column, known: Column) -> Column:
     """What is wrong with an answer's citations."""
     foreign = F.filter(cited, lambda c: c.isNotNull() & ~F.array_contains(known, c))

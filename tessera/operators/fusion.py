@@ -126,6 +126,35 @@ def by_priority(sources: list[tuple[str, float, DataFrame]]) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("priority"), "number")))
 
 
+# fixed values: weights of stored and of web results, addresses of the government and what they count
+LOCAL_WEIGHT, WEB_WEIGHT, GOVERNMENT_HOSTS, GOVERNMENT_FACTOR = 0.7, 0.3, ["gov.in", "nic.in"], 1.5
+
+
+def merge_web(local: DataFrame, web: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, origin, item, score: the best k of stored results (query_id, item, score) and web results (query_id, item, rank, source) together.
+
+    A stored result counts LOCAL_WEIGHT of its score, a web result WEB_WEIGHT / rank, more from the government.
+    Null scores count 0, null ranks 1; of equal scores stored results come first, then smaller items.
+    """
+    source = F.coalesce("source", F.lit(""))
+    ours = F.when(F.exists(F.array(*map(F.lit, GOVERNMENT_HOSTS)), lambda h: source.contains(h)), GOVERNMENT_FACTOR).otherwise(1.0)
+    stored = local.select("query_id", F.lit("local").alias("origin"), F.lit(0).alias("side"), "item", (F.coalesce("score", F.lit(0.0)) * LOCAL_WEIGHT).alias("score"))
+    found = web.select("query_id", F.lit("web").alias("origin"), F.lit(1).alias("side"), "item", (1.0 / F.coalesce("rank", F.lit(1)) * ours * WEB_WEIGHT).alias("score"))
+    both = stored.unionByName(found).withColumn("score", F.round("score", 9))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "side", "item"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "origin", "item", "score")
+
+
+def reorder_by_ids(df: DataFrame, orders: DataFrame) -> DataFrame:
+    """df (query_id, chunk_id, score) with place: results that a query's ids (query_id, ids array) name come first, in that order, then the others by score.
+
+    An id named twice counts where it stands first, ids of no result are passed over, and a query without ids keeps its order.
+    """
+    named = orders.select("query_id", F.posexplode("ids").alias("_at", "chunk_id")).groupBy("query_id", "chunk_id").agg(F.min("_at").alias("_at"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("_at").asc_nulls_last(), F.desc("score"), "chunk_id"))
+    return df.join(named, ["query_id", "chunk_id"], "left").withColumn("place", place).drop("_at")
+
+
 def interleave(a: DataFrame, b: DataFrame, n: int, m: int) -> DataFrame:
     """n of a, m of b, and so on, by rank."""
     left = a.select("query_id", "chunk_id", F.lit(0).alias("side"), F.floor((F.col("rank") - 1) / n).alias("turn"), "rank")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import scoring
+from tessera.functions import rewriting, scoring
 from tessera.operators import vectors
 
 log = logging.getLogger(__name__)
@@ -258,3 +258,28 @@ def generated(prompt: Column, chain: list[Generator], otherwise: Column) -> Colu
     calls = [(m.name, m.generate, lambda s: bool(s.strip())) for m in chain]
     made = _asked(calls, "string")(prompt)
     return F.when(made["backend"].isNotNull(), made).otherwise(F.struct(otherwise.alias("value"), F.lit("rules").alias("backend")))
+
+
+# fixed values: the marks of a rewrite in a generated text
+_DOMAIN, _REWRITE = "DOMAIN:", "REWRITE:"
+
+
+def parsed_rewrites(text: Column) -> Column:
+    """array<struct(domain, text)> of the blocks, parted by blank lines, that hold a DOMAIN and a REWRITE line; of repeated lines in a block the last counts."""
+
+    def last(block: Column, mark: str) -> Column:
+        lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: x.startswith(mark))
+        return F.trim(F.substring(F.try_element_at(lines, F.lit(-1)), len(mark) + 1, 1 << 30))
+
+    blocks = F.split(F.trim(text), r"\n\s*\n")
+    both = F.transform(blocks, lambda b: F.struct(F.lower(last(b, _DOMAIN)).alias("domain"), last(b, _REWRITE).alias("text")))
+    return F.filter(both, lambda r: F.coalesce((r["domain"] != "") & (r["text"] != ""), F.lit(False)))
+
+
+def generated_rewrites(queries: DataFrame, chain: list[Generator], prompt: Column, most: int = 3) -> DataFrame:
+    """queries (query_id, query) with rewrites and backend: at most `most` rewrites parsed from the first generated text, by rules where no text holds one."""
+    made = queries.withColumn("_text", generated(prompt, chain, F.lit("")))
+    parsed = made.withColumn("_rewrites", F.slice(F.coalesce(parsed_rewrites(F.col("_text.value")), F.array()), 1, most))
+    some = F.size("_rewrites") > 0
+    out = parsed.withColumn("rewrites", F.when(some, F.col("_rewrites")).otherwise(rewriting.rewrites(F.col("query"), most)))
+    return out.withColumn("backend", F.when(some, F.col("_text.backend")).otherwise("rules")).drop("_text", "_rewrites")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring
-from tessera.operators import fusion, hierarchy, models, vectors
+from tessera.operators import answers, fusion, hierarchy, models, vectors
 from tessera.plans import rest_queries
 from tessera.plans.query_queries import ASKED_SQL, asked
 from tessera.sources.tables import load, oracle, results
@@ -123,6 +123,47 @@ def brainstorm(spark, d):
     return fusion.brainstorm_rerank(_texts(spark, d), 15)
 
 
+_HOST = "regexp_extract(url, '^https?://([^/]+)', 1)"
+
+
+@query(
+    "F32_web_by_host",
+    f"""with w as (select query_id, chunk_id, {_HOST} as source, row_number() over (partition by query_id order by score desc, chunk_id) as rank from results where url is not null),
+ m as (select query_id, 'local' as origin, chunk_id as item, round(score * 0.7, 9) as score from results where url is null
+ union all select query_id, 'web', chunk_id, round(cast(1.0 as double) / rank * case when contains(source, 'gov.in') or contains(source, 'nic.in') then 1.5 else 1.0 end * 0.3, 9) from w)
+ select query_id, cast(rank as integer) as rank, origin, item, score from (select *, row_number() over (partition by query_id order by score desc, origin, item) as rank from m) where rank <= 15""",
+)
+def web_by_host(spark, d):
+    """Results with an address are what the web found, by their scores."""
+    r = results(spark, d)
+    found = fusion.ranked(r.where("url is not null"), "score").select("query_id", F.col("chunk_id").alias("item"), "rank", F.expr(_HOST).alias("source"))
+    return fusion.merge_web(r.where("url is null").select("query_id", F.col("chunk_id").alias("item"), "score"), found, 15)
+
+
+@query(
+    "F22_F23_reordered_by_ids",
+    f"""with s as (select query_id, chunk_id, score, {_WORDS('query')} as a, {_WORDS('content')} as b from results),
+ o as (select query_id, chunk_id, score, round(cast(len(list_intersect(a, b)) as double) / len(list_distinct(list_concat(a, b))), 9) as near from s),
+ n as (select *, row_number() over (partition by query_id order by near desc, chunk_id) as spot from o)
+ select query_id, chunk_id, cast(row_number() over (partition by query_id order by case when spot <= 10 then spot else 11 end, score desc, chunk_id) as integer) as place from n""",
+)
+def reordered_by_ids(spark, d):
+    """The ten ids that overlap most with the query, then the rest by score."""
+    r = results(spark, d)
+    near = r.select("query_id", "chunk_id", F.round(scoring.term_overlap(F.col("query"), F.col("content")), 9).alias("near"))
+    ids = fusion.ranked(near, "near").where("rank <= 10").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda s: s["chunk_id"]).alias("ids"))
+    return fusion.reorder_by_ids(r.select("query_id", "chunk_id", "score"), ids).select("query_id", "chunk_id", "place")
+
+
+@query(
+    "W22_bullets",
+    rf"""with r as (select query_id, title, chunk_id, replace(trim(coalesce(content, ''), concat(' ', chr(9), chr(10), chr(13))), chr(10), ' ') as text, row_number() over (partition by query_id order by score desc, chunk_id) as n from results)
+ select query_id, '{answers.NO_MODEL}' || chr(10) || string_agg('- [' || n || '] ' || coalesce(nullif(title, ''), cast(chunk_id as varchar)) || ': ' || case when length(text) > {answers.BULLET} then rtrim(left(text, {answers.BULLET})) || '...' else text end, chr(10) order by n) as answer, cast({answers.NO_MODEL_CONFIDENCE} as double) as confidence from r where n <= 5 group by query_id""",
+)
+def bullets(spark, d):
+    return answers.bullets(_texts(spark, d).withColumn("doc_id", F.col("chunk_id")), 5)
+
+
 # ---- policy levels
 
 _LEGAL = " or ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in hierarchy.CONSTITUTION)

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring
-from tessera.operators import fusion, hierarchy, models
+from tessera.operators import answers, fusion, hierarchy, models
 
 
 def chain_parts():
@@ -247,3 +247,36 @@ def test_policy_levels_equal_plain_ones(spark):
         want = plain_levels([dict(zip(fields, r, strict=True)) for r in rows if r[0] == q])
         assert {r.level: (r.present, r.total, r["items"], r["more"], r.grade) for r in got if r.query_id == q} == want
     assert hierarchy.summary(df.limit(0)).isEmpty()
+
+
+def test_generated_rewrites_are_parsed_or_made_by_rules(spark):
+    class Writer:
+        name = "writer"
+
+        def generate(self, prompts):
+            if any("broken" in p for p in prompts):
+                raise TypeError("no text")
+            return ["no blocks" if "plain" in p else f"\n\nDOMAIN: Teacher Policy\nREWRITE: first {p}\nREWRITE: {p} rules\nREASON: x\n \nDOMAIN: FLN\nREASON: none\n\nREWRITE: alone\n\n  DOMAIN:Academic \n REWRITE: books DOMAIN: of\n\n" for p in prompts]
+
+    queries = spark.createDataFrame([(1, "transfers"), (2, "plain"), (3, "broken"), (4, None)], "query_id long, query string")
+    got = {r.query_id: r for r in models.generated_rewrites(queries, [Writer()], F.concat(F.lit("ask "), "query")).collect()}
+    assert [(x.domain, x.text) for x in got[1].rewrites] == [("teacher policy", "ask transfers rules"), ("academic", "books DOMAIN: of")] and got[1].backend == "writer"
+    from tessera.functions import rewriting
+
+    rules = {r.query_id: r.x for r in queries.select("query_id", rewriting.rewrites(F.col("query"), 3).alias("x")).collect()}
+    assert all(got[i].rewrites == rules[i] and got[i].backend == "rules" for i in (2, 3, 4))
+    assert len(models.generated_rewrites(queries.limit(1), [Writer()], F.col("query"), 1).first().rewrites) == 1
+
+
+def test_merged_web_results_reordered_ids_and_bullets(spark):
+    local = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.3), (1, 12, None), (2, 20, 0.5)], "query_id long, item long, score double")
+    web = spark.createDataFrame([(1, 50, 1, "x.gov.in"), (1, 51, 1, "y.org"), (1, 52, 2, None), (1, 53, 3, "a.nic.in"), (3, 54, None, "z")], "query_id long, item long, rank int, source string")
+    rows = sorted((r.query_id, r["rank"], r["item"], round(r.score, 6)) for r in fusion.merge_web(local, web, 5).collect())
+    assert rows == [(1, 1, 10, 0.63), (1, 2, 50, 0.45), (1, 3, 51, 0.3), (1, 4, 11, 0.21), (1, 5, 52, 0.15), (2, 1, 20, 0.35), (3, 1, 54, 0.3)]
+    df = spark.createDataFrame([(1, i, s) for i, s in enumerate([0.1, 0.5, 0.5, 0.9])] + [(2, 7, 0.2), (2, 8, 0.4)], "query_id long, chunk_id long, score double")
+    orders = spark.createDataFrame([(1, [2, 99, 0, 2]), (3, [1])], "query_id long, ids array<long>")
+    got = fusion.reorder_by_ids(df, orders).collect()
+    assert {q: [r.chunk_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.place)] for q in (1, 2)} == {1: [2, 0, 3, 1], 2: [8, 7]}
+    docs = [(1, 1, "d", "T", " a\nb ", 0.9), (1, 2, "d2", "", "x" * 219 + " yz", 0.8), (1, 3, None, None, None, 0.7), (1, 4, "d4", "cut", "", 0.1)]
+    out = answers.bullets(spark.createDataFrame(docs, "query_id long, chunk_id long, doc_id string, title string, text string, score double"), 3).first()
+    assert out.answer == "\n".join([answers.NO_MODEL, "- [1] T: a b", "- [2] d2: " + "x" * 219 + "...", "- [3] Document 3: "]) and out.confidence == 0.2
