@@ -109,7 +109,13 @@ def _asked(calls: list, schema: str):
             values, names = answers(calls, [None if t is None or t != t else t for t in texts], down)
             yield pd.DataFrame({"value": pd.Series(values, dtype=object), "backend": pd.Series(names, dtype=object)})
 
-    return F.pandas_udf(run, f"value {schema}, backend string")
+    # called nondeterministic, so that no plan asks the models twice for one row (once in a filter, once in a projection)
+    return F.pandas_udf(run, f"value {schema}, backend string").asNondeterministic()
+
+
+def _or(made: Column, spare: Column) -> Column:
+    """The answer if a model gave one, else spare; the answer is named once, in an array of one."""
+    return F.get(F.transform(F.array(made), lambda m: F.when(m["backend"].isNotNull(), m).otherwise(spare)), F.lit(0))
 
 
 # ---- embedding
@@ -147,8 +153,7 @@ def embed(text: Column, chain: list[Embedder], dims: int) -> Column:
     if not chain:
         return spare
     calls = [(m.name, lambda texts, m=m: [_floats(v) for v in m.embed(texts)], lambda v: good_vector(v, dims)) for m in chain]
-    made = _asked(calls, "array<double>")(some)
-    return F.when(made["backend"].isNotNull(), made).otherwise(spare)
+    return _or(_asked(calls, "array<double>")(some), spare)
 
 
 def _floats(v):
@@ -256,8 +261,7 @@ def web_results(queries: DataFrame, chain: list[WebSource], n: int = 10, offline
 def generated(prompt: Column, chain: list[Generator], otherwise: Column) -> Column:
     """struct(value, backend): the first text that is not blank, or `otherwise` with the name rules. Null prompts are not asked."""
     calls = [(m.name, m.generate, lambda s: bool(s.strip())) for m in chain]
-    made = _asked(calls, "string")(prompt)
-    return F.when(made["backend"].isNotNull(), made).otherwise(F.struct(otherwise.alias("value"), F.lit("rules").alias("backend")))
+    return _or(_asked(calls, "string")(prompt), F.struct(otherwise.alias("value"), F.lit("rules").alias("backend")))
 
 
 # fixed values: the marks of a rewrite in a generated text
