@@ -175,7 +175,10 @@ def safe(spark, d):
     return load(spark, d, "pages").select("page_id", web.safe(F.col("url")).alias("safe"))
 
 
-@query("S24_stable_ids")
+_NAMED = "sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(doc_id || '|' || doc_id || '_chunk_0'))"
+
+
+@query("S24_stable_ids", f"select doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as point_id from (select doc_id, {_NAMED} as h from corpus)")
 def stable_ids(spark, d):
     return corpus(spark, d).select("doc_id", files.stable_id(F.col("doc_id"), F.concat(F.col("doc_id"), F.lit("_chunk_0"))).alias("point_id"))
 

@@ -11,7 +11,6 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 EXTENSIONS = ("pdf", "txt", "docx")
 PAYLOAD_CHARS = 8000
@@ -140,13 +139,20 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False, by: list[str] |
     (w.partitionBy(*by) if by else w).json(path)
 
 
-@F.pandas_udf(T.StringType())
-def _uuid5(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_DNS, x)))
+#: the namespace of names in UUIDs of version 5
+_DNS = "6ba7b8109dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column) -> Column:
+    """The UUID of version 5 that a name has in the DNS namespace: SHA-1 with the version and the variant set; null for null."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(_DNS)), F.encode(name, "UTF-8")))
+    part = lambda at, n: F.substring(digest, at, n)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
 
 
 def stable_id(doc_id: Column, chunk_id: Column) -> Column:
-    return _uuid5(F.concat_ws("|", doc_id, chunk_id))
+    return uuid5(F.concat_ws("|", doc_id, chunk_id))
 
 
 def payload_text(text: Column) -> Column:

@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring
 from tessera.operators import answers, fusion, hierarchy, models
+from tessera.sources import files
 
 
 def chain_parts():
@@ -280,3 +282,9 @@ def test_merged_web_results_reordered_ids_and_bullets(spark):
     docs = [(1, 1, "d", "T", " a\nb ", 0.9), (1, 2, "d2", "", "x" * 219 + " yz", 0.8), (1, 3, None, None, None, 0.7), (1, 4, "d4", "cut", "", 0.1)]
     out = answers.bullets(spark.createDataFrame(docs, "query_id long, chunk_id long, doc_id string, title string, text string, score double"), 3).first()
     assert out.answer == "\n".join([answers.NO_MODEL, "- [1] T: a b", "- [2] d2: " + "x" * 219 + "...", "- [3] Document 3: "]) and out.confidence == 0.2
+
+
+def test_stable_ids_are_uuids_of_version_5(spark):
+    names = ["a|b", "", "ünï|😀", "long" * 50000, None] + [f"{i}|{i * 7}" for i in range(200)]
+    got = {r.i: r.u for r in spark.createDataFrame(list(enumerate(names)), "i int, name string").select("i", files.uuid5(F.col("name")).alias("u")).collect()}
+    assert got == {i: None if n is None else str(uuid.uuid5(uuid.NAMESPACE_DNS, n)) for i, n in enumerate(names)}
