@@ -73,7 +73,7 @@ def category_counts(spark, d):
     return asked(spark, d).select(F.explode(hits).alias("category")).groupBy("category").agg(F.count("*").alias("queries"))
 
 
-@query("M11_provenance")
+@query("M11_provenance", """select chunk_id, '{' || concat_ws(',', '"doc_id":' || doc_id, '"vertical":"' || vertical || '"', '"section_type":"' || section_type || '"', '"date_issued_ts":' || date_issued_ts) || '}' as provenance from candidates""")
 def provenance(spark, d):
     return candidates(spark, d).select("chunk_id", F.to_json(F.struct("doc_id", "vertical", "section_type", "date_issued_ts")).alias("provenance"))
 
