@@ -41,20 +41,28 @@ BROAD = [
 CLAUSE = rf"{_EDGE}(?:section|clause|article|rule){SPACE}+([0-9]+(?:\([0-9]+\))?(?:\([a-z]\))?)"
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _any(text: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns])
 
 
 def pattern(query: Column) -> Column:
-    low = F.lower(query)
-    out = F.when(_any(low, LEGAL), "legal_clause")
-    for name, p in PATTERNS.items():
-        out = out.when(low.rlike(p), name)
-    return out.otherwise("general")
+
+    def of(low: Column) -> Column:
+        out = F.when(_any(low, LEGAL), "legal_clause")
+        for name, p in PATTERNS.items():
+            out = out.when(low.rlike(p), name)
+        return out.otherwise("general")
+
+    return bound(F.lower(query), of)
 
 
 def is_broad(query: Column) -> Column:
-    return _any(F.lower(query), BROAD)
+    return bound(F.lower(query), lambda low: _any(low, BROAD))
 
 
 def key_terms(query: Column, most: int = 5) -> Column:
@@ -65,20 +73,25 @@ def key_terms(query: Column, most: int = 5) -> Column:
 
 def target_domains(query: Column) -> Column:
     """Domains by the words of their terms in the query, most first (earlier domain on ties); a fixed list where there are none."""
-    low = F.lower(query)
-    entries = []
-    for place, (name, terms) in enumerate(DOMAINS.items()):
-        score = sum((F.when(low.contains(t.lower()), len(t.split())).otherwise(0) for t in terms), F.lit(0))
-        entries.append(F.struct((-score).alias("order"), F.lit(place).alias("place"), F.lit(name).alias("domain")))
-    found = F.filter(F.array_sort(F.array(*entries)), lambda e: e["order"] < 0)
-    return F.when(F.size(found) > 0, F.transform(found, lambda e: e["domain"])).otherwise(F.array(*map(F.lit, DEFAULT_DOMAINS)))
+
+    def scored(low: Column) -> Column:
+        entries = []
+        for place, (name, terms) in enumerate(DOMAINS.items()):
+            score = sum((F.when(low.contains(t.lower()), len(t.split())).otherwise(0) for t in terms), F.lit(0))
+            entries.append(F.struct((-score).alias("order"), F.lit(place).alias("place"), F.lit(name).alias("domain")))
+        return F.filter(F.array(*entries), lambda e: e["order"] < 0)
+
+    names = lambda found: F.when(F.size(found) > 0, F.transform(F.array_sort(found), lambda e: e["domain"])).otherwise(F.array(*map(F.lit, DEFAULT_DOMAINS)))
+    return bound(bound(F.lower(query), scored), names)
 
 
 def legal_clause(query: Column) -> Column:
     """The clause that is asked for, in the words of its act or rules."""
-    low = F.lower(query)
-    number = F.regexp_extract(low, CLAUSE, 1)
-    number = F.when(number == "", "12").otherwise(number)
+    number = lambda low: F.coalesce(F.nullif(F.regexp_extract(low, CLAUSE, 1), F.lit("")), F.when(low.isNotNull(), "12"))
+    return bound(F.lower(query), lambda low: bound(number(low), lambda n: _clause_text(low, n)))
+
+
+def _clause_text(low: Column, number: Column) -> Column:
     rte = low.contains("rte") | low.contains("right to education")
     words = F.lit("")
     for section, more in SECTION_WORDS.items():
@@ -110,24 +123,25 @@ def _turned(q: Column, domain: Column) -> Column:
 
 def rewrites(query: Column, most: int = 3, domains: Column | None = None) -> Column:
     """array<struct(domain, text)>: for broad questions one rewrite for each domain, else for each target domain; one over all domains if there is room. A null query is an empty one."""
-    query = F.coalesce(query, F.lit(""))
-    kind = pattern(query)
-    chosen = F.when(is_broad(query), F.array(*map(F.lit, DOMAINS))).otherwise(target_domains(query) if domains is None else domains)
-    known = F.struct(
-        query.alias("query"), kind.alias("kind"), F.array_join(key_terms(query), " ").alias("terms"), legal_clause(query).alias("clause"), F.slice(chosen, 1, most).alias("domains"),
-    )
+
+    def known(query):
+        chosen = F.when(is_broad(query), F.array(*map(F.lit, DOMAINS))).otherwise(target_domains(query) if domains is None else domains)
+        clause = lambda kind: F.when(kind == "legal_clause", legal_clause(query))
+        return bound(pattern(query), lambda kind: F.struct(
+            query.alias("query"), kind.alias("kind"), F.array_join(key_terms(query), " ").alias("terms"), clause(kind).alias("clause"), F.slice(chosen, 1, most).alias("domains"),
+        ))
 
     def all_of(q):
         each = F.transform(q["domains"], lambda d: _turned(q, d))
         whole = F.struct(F.lit("comprehensive").alias("domain"), F.concat(q["terms"], F.lit(" comprehensive " + " ".join(CROSS_DOMAIN))).alias("text"))
         return F.slice(F.concat(each, F.array(whole)), 1, most)
 
-    # (in an array of one, so that what the rewrites share is computed once)
-    return F.get(F.transform(F.array(known), all_of), F.lit(0))
+    return bound(bound(F.coalesce(query, F.lit("")), known), all_of)
 
 
 def rewritten(queries: DataFrame, text: str = "query", most: int = 3) -> DataFrame:
     """queries joined laterally with their rewrites: place (from 0), domain and rewrite; one query in, at most `most` rows out, in order."""
     made = queries.withColumn("_rewrites", rewrites(F.col(text), most))
-    each = made.lateralJoin(queries.sparkSession.tvf.posexplode(F.col("_rewrites").outer()).toDF("place", "_one"))
+    # (no list is empty; without _outer Spark would add a filter that computes every list twice more)
+    each = made.lateralJoin(queries.sparkSession.tvf.posexplode_outer(F.col("_rewrites").outer()).toDF("place", "_one"))
     return each.select(*queries.columns, "place", F.col("_one.domain").alias("domain"), F.col("_one.text").alias("rewrite"))

@@ -27,7 +27,8 @@ def pack(parts: Column, least: int, most: int, overlap: int, keep_tail: bool = F
         n = F.length(para)
         text = F.array_join(group, joint)
         closes = (size + n > most) & (F.size(group) > 0) & (F.length(text) >= least)
-        tail = F.substring(F.element_at(group, -1), F.greatest(F.length(F.element_at(group, -1)) - overlap + 1, F.lit(1)), F.lit(overlap))
+        last = F.element_at(group, -1)
+        tail = F.substring(last, F.greatest(F.length(last) - overlap + 1, F.lit(1)), F.lit(overlap))
         fresh = F.array(F.element_at(group, -1), para) if whole else F.array(tail, para) if overlap else F.array(para)
         fresh_size = n * 2 if whole else F.length(tail) + n if overlap else n
         return F.struct(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.rewriting import bound
 from tessera.operators.chunking import SIZES, pack, paragraphs
 
 # fixed values: markers of sections, points and tables
@@ -65,23 +66,27 @@ def go_sections(text: Column) -> Column:
 def marked(text: Column, markers: dict[str, str], first: str) -> Column:
     """From the first marker of each kind to the next kind's; `first` before them all; content without markers."""
     at = lambda p: F.regexp_instr(text, F.lit(f"(?im){p}"))
-    found = F.array_sort(F.filter(F.array(*[F.struct(at(p).alias("at"), F.lit(k).alias("kind")) for k, p in markers.items()]), lambda s: s["at"] > 0))
-    head = F.array(section(F.lit(first), trimmed(F.substring(text, F.lit(1), found[0]["at"] - 1))))
-    body = F.transform(found, lambda s, i: section(s["kind"], trimmed(F.substring(text, s["at"], F.coalesce(F.get(found, i + 1)["at"], F.length(text) + 1) - s["at"]))))
-    return F.when(F.size(found) == 0, F.array(section(F.lit("content"), text))).otherwise(F.filter(F.concat(head, body), lambda s: s["content"] != ""))
+    places = F.array_sort(F.filter(F.array(*[F.struct(at(p).alias("at"), F.lit(k).alias("kind")) for k, p in markers.items()]), lambda s: s["at"] > 0))
+
+    def cut(found: Column) -> Column:
+        head = F.array(section(F.lit(first), trimmed(F.substring(text, F.lit(1), found[0]["at"] - 1))))
+        body = F.transform(found, lambda s, i: section(s["kind"], trimmed(F.substring(text, s["at"], F.coalesce(F.get(found, i + 1)["at"], F.length(text) + 1) - s["at"]))))
+        return F.when(F.size(found) == 0, F.array(section(F.lit("content"), text))).otherwise(F.filter(F.concat(head, body), lambda s: s["content"] != ""))
+
+    return bound(places, cut)
 
 
 def legal_sections(text: Column) -> Column:
     """One section for each Section heading up to the next; what stands before the first is left out; content without headings."""
     parts = F.filter(pieces(text, SECTION, "im"), lambda p: starts(p, SECTION, "i"))
-    made = F.transform(parts, lambda p: section(F.regexp_extract(p, r"(?i)\A\S+[ \t]+(\d+[A-Z]?)", 1), trimmed(p)))
-    return F.when(F.size(parts) == 0, F.array(section(F.lit("content"), text))).otherwise(made)
+    made = lambda ps: F.transform(ps, lambda p: section(F.regexp_extract(p, r"(?i)\A\S+[ \t]+(\d+[A-Z]?)", 1), trimmed(p)))
+    return bound(parts, lambda ps: F.when(F.size(ps) == 0, F.array(section(F.lit("content"), text))).otherwise(made(ps)))
 
 
 def points(text: Column, pattern: str) -> Column:
     """What starts at each point; null without points."""
     found = F.filter(pieces(text, pattern), lambda p: starts(p, pattern))
-    return F.when(F.size(found) > 0, F.filter(F.transform(found, trimmed), lambda p: p != ""))
+    return bound(found, lambda ps: F.when(F.size(ps) > 0, F.filter(F.transform(ps, trimmed), lambda p: p != "")))
 
 
 def packed(content: Column, vertical: str, pattern: str | None, joint: str = "\n\n") -> Column:
@@ -133,7 +138,7 @@ def chunk_rows(docs: DataFrame, found: Column) -> DataFrame:
 def table_line(line: Column) -> Column:
     """Columns by blanks, pipes or tabs, numbered rows with numbers, many digits, or three numbers."""
     digits = F.length(line) - F.length(F.regexp_replace(line, r"\d", ""))
-    found = (digits > 5) & (digits / F.greatest(F.length(line), F.lit(1)) > 0.1) | (F.size(F.regexp_extract_all(line, F.lit(f"({NUMBER})"), F.lit(1))) >= 3)
+    found = bound(digits, lambda n: (n > 5) & (n / F.greatest(F.length(line), F.lit(1)) > 0.1)) | (F.size(F.regexp_extract_all(line, F.lit(f"({NUMBER})"), F.lit(1))) >= 3)
     for p in TABLE_LINES:
         found = found | line.rlike(p)
     return (F.trim(line) != "") & found
@@ -142,7 +147,7 @@ def table_line(line: Column) -> Column:
 def cells(line: Column) -> Column:
     """Cells between pipes, else tabs, else two blanks or more; null for fewer than two."""
     by = lambda p: F.filter(F.transform(F.split(F.trim(line), p), lambda c: F.trim(c)), lambda c: c != "")
-    tries = [F.when(F.size(by(p)) >= 2, by(p)) for p in (r"\|", r"\t", r"\s{2,}")]
+    tries = [bound(by(p), lambda cs: F.when(F.size(cs) >= 2, cs)) for p in (r"\|", r"\t", r"\s{2,}")]
     return F.coalesce(*tries)
 
 
@@ -156,13 +161,19 @@ def table_pieces(text: Column) -> Column:
 
     def one(p: Column) -> Column:
         size = F.length(F.regexp_extract(p, r"\A[^\n]*", 0))
-        lines = F.split(F.substring(p, size + 1, F.lit(BLOCK)), "\n", -1)
-        first = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(table_line(x), i)), lambda i: i.isNotNull()))
-        breaks = F.transform(lines, lambda x, i: F.when((i > first) & ~table_line(x) & (x.rlike(f"(?i){CHART}") | x.rlike(ANALYSIS) | (i - first > BLOCK_LINES)), i))
+        return bound(size, lambda size: bound(F.split(F.substring(p, size + 1, F.lit(BLOCK)), "\n", -1), lambda lines: bound(F.transform(lines, table_line), lambda flags: block(p, size, lines, flags))))
+
+    def block(p: Column, size: Column, lines: Column, flags: Column) -> Column:
+        first = F.nullif(F.array_position(flags, True), F.lit(0).cast("long")) - 1
+        return bound(first.cast("int"), lambda first: bound(cut_at(p, size, lines, flags, first), lambda cut: table(p, lines, first, cut)))
+
+    def cut_at(p: Column, size: Column, lines: Column, flags: Column, first: Column) -> Column:
+        breaks = F.transform(lines, lambda x, i: F.when((i > first) & ~F.get(flags, i) & (x.rlike(f"(?i){CHART}") | x.rlike(ANALYSIS) | (i - first > BLOCK_LINES)), i))
         end = F.coalesce(F.array_min(F.filter(breaks, lambda i: i.isNotNull())), F.size(lines))
-        cut = F.when(first.isNull(), F.least(size + 1000, F.length(p))).otherwise(size + F.length(F.array_join(F.slice(lines, F.lit(1), end), "\n")))
-        rows = F.filter(lines, table_line)
-        head = F.when(F.size(rows) > 0, cells(F.get(rows, F.lit(0))))
+        return F.when(first.isNull(), F.least(size + 1000, F.length(p))).otherwise(size + F.length(F.array_join(F.slice(lines, F.lit(1), end), "\n")))
+
+    def table(p: Column, lines: Column, first: Column, cut: Column) -> Column:
+        head = F.when(first.isNotNull(), cells(F.get(lines, first)))
         return F.struct(F.lit(True).alias("is_table"), F.substring(p, F.lit(1), cut).alias("content"), F.substring(p, cut + 1, F.length(p)).alias("rest"), head.alias("columns"))
 
     def other(p: Column) -> Column:
@@ -171,27 +182,32 @@ def table_pieces(text: Column) -> Column:
     return F.transform(pieces(text, CAPTION, "i"), lambda p: F.when(starts(p, CAPTION, "i"), one(p)).otherwise(other(p)))
 
 
+def _rest(found: Column) -> Column:
+    return trimmed(F.regexp_replace(F.array_join(F.transform(found, lambda t: t["rest"]), "\n\n"), r"\n{3,}", "\n\n"))
+
+
 def without_tables(text: Column) -> Column:
     """The text without its tables' blocks, blank lines in their place."""
-    rests = F.transform(table_pieces(text), lambda t: t["rest"])
-    return trimmed(F.regexp_replace(F.array_join(rests, "\n\n"), r"\n{3,}", "\n\n"))
+    return _rest(table_pieces(text))
 
 
 def data_chunks(text: Column) -> Column:
     """One chunk for each table of 20 characters or more, then the packed rest if it has over 100."""
-    tables = F.transform(F.filter(table_pieces(text), lambda t: t["is_table"] & (F.length(trimmed(t["content"])) >= 20)), lambda t: section(F.lit("table"), t["content"]))
-    rest = without_tables(text)
-    more = F.when(F.length(rest) > 100, F.transform(pack(paragraphs(rest), *SIZES["data"]), lambda c: section(F.lit("text"), c)))
-    return F.concat(tables, F.coalesce(more, F.array().cast("array<struct<section_type:string,content:string>>")))
+    none = F.array().cast("array<struct<section_type:string,content:string>>")
+    kept = lambda t: t["is_table"] & (F.length(trimmed(t["content"])) >= 20)
+    tables = lambda found: F.transform(F.filter(found, kept), lambda t: section(F.lit("table"), t["content"]))
+    more = lambda rest: F.when(F.length(rest) > 100, F.transform(pack(paragraphs(rest), *SIZES["data"]), lambda c: section(F.lit("text"), c)))
+    return bound(table_pieces(text), lambda found: F.concat(tables(found), F.coalesce(bound(_rest(found), more), none)))
 
 
 def marked_table_chunks(text: Column) -> Column:
     """Tables, charts and figures by their markers alone: each from its marker to an empty pair of lines or the next marker, what lies between packed."""
 
     def one(p: Column) -> Column:
-        is_table = starts(p, TABLE_MARKER, "i")
         gap = F.locate("\n\n\n", p)
-        end = F.when(~is_table, F.lit(0)).when(gap > 0, gap - 1).otherwise(F.length(p))
+        return bound(starts(p, TABLE_MARKER, "i"), lambda is_table: bound(F.when(~is_table, F.lit(0)).when(gap > 0, gap - 1).otherwise(F.length(p)), lambda end: cut(p, is_table, end)))
+
+    def cut(p: Column, is_table: Column, end: Column) -> Column:
         body = F.transform(pack(paragraphs(F.substring(p, end + 1, F.length(p))), *SIZES["data"]), lambda c: section(F.lit("text"), c))
         return F.when(is_table, F.concat(F.array(section(F.lit("table"), trimmed(F.substring(p, F.lit(1), end)))), body)).otherwise(body)
 
@@ -206,11 +222,10 @@ def charts(text: Column) -> Column:
         return F.struct(F.regexp_extract(p, f"(?i){CHART}", 1).alias("number"), F.trim(F.regexp_extract(p, f"(?i){CHART}", 2)).alias("title"), p.alias("content"), last.alias("last"))
 
     either = f"(?:{CAPTION})|(?:{CHART})"
-    parts = pieces(text, either, "i")
-    size = F.size(parts)
-    made = F.transform(parts, lambda p, i: F.struct(one(p).alias("c"), (i == size - 1).alias("is_last"), starts(p, CHART, "i").alias("is_chart")))
+    made = lambda parts: F.transform(parts, lambda p, i: F.when(starts(p, CHART, "i"), F.struct(one(p).alias("c"), (i == F.size(parts) - 1).alias("is_last"))))
     cut = lambda m: trimmed(F.when(m["is_last"], F.substring(m["c"]["content"], F.lit(1), m["c"]["last"])).otherwise(m["c"]["content"]))
-    return F.transform(F.filter(made, lambda m: m["is_chart"]), lambda m: F.struct(m["c"]["number"].alias("number"), m["c"]["title"].alias("title"), cut(m).alias("content")))
+    found = F.filter(bound(pieces(text, either, "i"), made), lambda m: m.isNotNull())
+    return F.transform(found, lambda m: F.struct(m["c"]["number"].alias("number"), m["c"]["title"].alias("title"), cut(m).alias("content")))
 
 
 def analysis_sections(text: Column) -> Column:
