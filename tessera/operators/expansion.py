@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.rewriting import bound
 from tessera.functions.vocabulary import AI_SIGNS, AI_TERMS, CATEGORY_TERMS, CURRICULUM_SIGNS, PHRASES, V1_AI, V1_AI_TERMS, V1_CURRICULUM, V1_MODE_WORDS, V1_RULES, V1_SYNONYMS
 
 #: Letters of keys and expansions in one automaton (about 50 bytes each in memory).
@@ -145,30 +146,28 @@ def expand_with_categories(queries: DataFrame, dictionary: DataFrame, categories
 
 def v1_keywords(query: Column, most: int = 8) -> Column:
     """Keywords of the rules whose triggers stand in the query, in the rules' order, `most` at most."""
-    low = F.lower(query)
     none = F.array().cast("array<string>")
-    parts = [F.when(_one_of(low, triggers), F.array(*map(F.lit, words[:most]))).otherwise(none) for triggers, words in V1_RULES]
-    special = F.when(_one_of(low, V1_AI) & _one_of(low, V1_CURRICULUM), F.array(*map(F.lit, V1_AI_TERMS))).otherwise(none)
-    return F.slice(F.array_distinct(F.concat(*parts, special)), 1, most)
+
+    def found(low: Column) -> Column:
+        parts = [F.when(_one_of(low, triggers), F.array(*map(F.lit, words[:most]))).otherwise(none) for triggers, words in V1_RULES]
+        special = F.when(_one_of(low, V1_AI) & _one_of(low, V1_CURRICULUM), F.array(*map(F.lit, V1_AI_TERMS))).otherwise(none)
+        return F.slice(F.array_distinct(F.concat(*parts, special)), 1, most)
+
+    return bound(F.lower(query), found)
 
 
 def v1_confidence(query: Column) -> Column:
-    low = F.lower(query)
-    rules = sum((_one_of(low, t).cast("int") for t, _ in V1_RULES), (_one_of(low, V1_AI) & _one_of(low, V1_CURRICULUM)).cast("int"))
-    return F.least(F.lit(1.0), F.round(rules * 0.4, 6))
+    rules = lambda low: sum((_one_of(low, t).cast("int") for t, _ in V1_RULES), (_one_of(low, V1_AI) & _one_of(low, V1_CURRICULUM)).cast("int"))
+    return F.least(F.lit(1.0), F.round(bound(F.lower(query), rules) * 0.4, 6))
 
 
 def v1_synonyms(query: Column, most: int = 3) -> Column:
-    low = F.lower(query)
-    hits = F.array_compact(F.array(*[F.when(low.contains(t.lower()), s[0]) for t, s in V1_SYNONYMS.items()]))
-    return appended(query, F.slice(hits, 1, most))
+    hits = lambda low: F.array_compact(F.array(*[F.when(low.contains(t.lower()), s[0]) for t, s in V1_SYNONYMS.items()]))
+    return bound(query, lambda q: bound(F.slice(bound(F.lower(q), hits), 1, most), lambda found: appended(q, found)))
 
 
 def enhance(query: Column, entity_text: Column, mode: Column) -> Column:
     """The first version's whole widening: rules, three synonyms, the entities' text, the words of the mode."""
-    query = F.coalesce(query, F.lit(""))
-    out = v1_synonyms(appended(query, v1_keywords(query)))
-    out = F.when(F.coalesce(entity_text, F.lit("")) != "", F.concat(out, F.lit(" "), entity_text)).otherwise(out)
-    for name, words in V1_MODE_WORDS.items():
-        out = F.when(mode == name, F.concat(out, F.lit(" " + words))).otherwise(out)
-    return F.trim(out)
+    wide = bound(F.coalesce(query, F.lit("")), lambda q: v1_synonyms(bound(v1_keywords(q), lambda found: appended(q, found))))
+    more = F.when(F.coalesce(entity_text, F.lit("")) != "", F.concat(F.lit(" "), entity_text)).otherwise("")
+    return F.trim(F.concat(wide, more, *[F.when(mode == name, " " + words).otherwise("") for name, words in V1_MODE_WORDS.items()]))

@@ -23,7 +23,9 @@ QUESTIONS_SQL = f"select query_id, query from ({ASKED_SQL}) union all select que
 
 
 def questions(spark, d):
-    return asked(spark, d).unionByName(spark.sql(POLICY_SQL, customer=load(spark, d, "customer")).select(F.col("query_id").cast("long").alias("query_id"), "query"))
+    every = asked(spark, d).unionByName(spark.sql(POLICY_SQL, customer=load(spark, d, "customer")).select(F.col("query_id").cast("long").alias("query_id"), "query"))
+    # (the files are small, what is computed of each question is not: dealt to all cores, three tasks each)
+    return every.repartition(3 * spark.sparkContext.defaultParallelism, "query_id")
 
 
 def query(name: str, sql: str):
