@@ -9,8 +9,8 @@ by line on both sides as long as the bytes are those of the same earlier documen
 is a run of lines that one earlier place holds as a whole; runs that touch but stem from different documents are judged apart. Chunks with
 MIN_LINES lines or more that aren't blank go.
 
-Two-line passages are found where their one window is a boundary in both texts. A hash only proposes:
-lines are compared as they are.
+Two-line passages are found where their one window is a boundary in both texts; op6_linededup takes every window with words as
+a boundary, so it finds them all. A hash only proposes: lines are compared as they are.
 
 Defined results: null texts stay null; rows without doc_id pass unchanged and own nothing; rows
 that repeat a doc_id with the same text are one document, so all of them keep what it owns, with another text
@@ -53,13 +53,15 @@ def _coded(line):
     return F.xxhash64(line).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.when(line.rlike(_SOLID), 1).otherwise(0).cast("long"))
 
 
-def boundaries(docs: DataFrame) -> DataFrame:
-    """doc_id, v, k (the boundary window's first line, from 1), id (hash of its lines), its lines' hashes, and those of NEAR lines before (nearest first) and after."""
+def boundaries(docs: DataFrame, every: bool = False) -> DataFrame:
+    """doc_id, v, k (the boundary window's first line, from 1), id (hash of its lines), its lines' hashes, and those of NEAR lines before (nearest first) and after; with every, each window that has words is a boundary."""
     number = lambda x: F.conv(F.substring(F.md5(x), 1, HEX), 16, 10).cast("long")
     rows = _documents(docs).where(F.size("lines") >= 2)
     hashed = rows.select("doc_id", "v", F.transform("lines", number).alias("h"), F.transform("lines", _coded).alias("x"))
     rolling = f"transform(sequence(1, size(h) - 1), k -> if((x[k - 1] | x[k]) & 1 = 1, (h[k - 1] * {BASE}L + h[k]) % {PRIME}L, {PRIME}L))"
     chosen = f"filter(sequence(1, size(r)), k -> r[k - 1] < {PRIME}L and (size(r) = 1 or (k < size(r) and r[k - 1] <= r[k]) or (k > 1 and r[k - 1] < r[k - 2])))"
+    if every:
+        chosen = f"filter(sequence(1, size(r)), k -> r[k - 1] < {PRIME}L)"
     around = f"'before', reverse(slice(x, greatest(1, k - {NEAR}), least(k - 1, {NEAR}))), 'after', slice(x, k + 2, {NEAR})"
     window = f"named_struct('k', k, 'id', xxhash64(x[k - 1], x[k]), 'own', array(x[k - 1], x[k]), {around})"
     each = hashed.withColumn("r", F.expr(rolling)).select("doc_id", "v", F.explode(F.expr(f"transform({chosen}, k -> {window})")).alias("c"))
@@ -85,10 +87,10 @@ def _grown(pairs: DataFrame, docs: DataFrame, sources: DataFrame) -> DataFrame:
     return runs.select(*PAIR, F.explode_outer(F.expr(solid)).alias("c")).select(*PAIR, "c.lo", "c.hi")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def repeated_chunks(docs: DataFrame, every: bool = False) -> DataFrame:
     """doc_id, v, _gone: first and last lines of the chunks that may go and what the earlier place holds there (a row for each document that has some)."""
     place = F.struct("doc_id", "v", "k")
-    found = boundaries(docs)
+    found = boundaries(docs, every)
     owners = found.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     owners = materialize(owners.select("id", "first"), "line-owners")
     ids = F.broadcast(owners) if owners.count() <= BROADCAST_IDS else owners
@@ -115,9 +117,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return gone
 
 
-def line_dedup(docs: DataFrame, report: bool = True) -> DataFrame:
-    """docs with the repeated chunks' lines taken out of text; with report also _removed_lines and _removed_chunks (runs of lines that went), which replace columns of these names. Other columns, whatever their names, stay."""
-    gone = repeated_chunks(docs.select("doc_id", "text"))
+def line_dedup(docs: DataFrame, report: bool = True, every: bool = False) -> DataFrame:
+    """docs with the repeated chunks' lines taken out of text; with report also _removed_lines and _removed_chunks (runs of lines that went), which replace columns of these names. Other columns, whatever their names, stay. With every, all windows are looked up, so no two-line passage is missed."""
+    gone = repeated_chunks(docs.select("doc_id", "text"), every)
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")  # in a struct, so no name can clash
     joined = docs.select(row).join(gone, (F.col("_row.doc_id").cast("long") == F.col("doc_id")) & (F.xxhash64("_row.text") == F.col("v")), "left").select("_row", "_gone")
@@ -135,7 +137,7 @@ def line_dedup(docs: DataFrame, report: bool = True) -> DataFrame:
 
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return line_dedup(docs).select(
+    return line_dedup(docs, every=True).select(
         "doc_id", F.col("_removed_lines").cast("long").alias("removed_lines"), F.col("_removed_chunks").cast("long").alias("removed_chunks"),
         F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long").alias("kept_bytes"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"),
     )
@@ -145,14 +147,12 @@ ORACLE_SQL = rf"""
 with l as (
   select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from documents where text is not null
 ), s as (
-  select *, regexp_matches(line, '{_SOLID}') as solid, cast('0x' || substr(md5(line), 1, {HEX}) as bigint) as h from l
+  select *, regexp_matches(line, '{_SOLID}') as solid from l
 ), w as (
-  select doc_id, k, line || chr(10) || lead(line) over d as bytes, case when solid or lead(solid) over d then (h * {BASE} + lead(h) over d) % {PRIME} else {PRIME} end as r, lead(k) over d is not null as whole from s window d as (partition by doc_id order by k)
-), b as (
-  select *, lag(r) over d as left_r, lead(r) over d as right_r from w where whole window d as (partition by doc_id order by k)
+  select doc_id, k, line || chr(10) || lead(line) over d as bytes, solid or lead(solid) over d as worded from s window d as (partition by doc_id order by k)
 ), c as (
-  select doc_id, k, first_value(doc_id) over p as o_doc, first_value(k) over p as o_k from b
-  where r < {PRIME} and ((left_r is null and right_r is null) or r <= right_r or r < left_r) window p as (partition by bytes order by doc_id, k)
+  select doc_id, k, first_value(doc_id) over p as o_doc, first_value(k) over p as o_k from w
+  where bytes is not null and worded window p as (partition by bytes order by doc_id, k)
 ), p as (
   select distinct doc_id, o_doc, k - o_k as shift from c where (doc_id, k) <> (o_doc, o_k)
 ), e as (
