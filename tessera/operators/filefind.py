@@ -28,11 +28,12 @@ def find(searches: DataFrame, paths: DataFrame) -> DataFrame:
     """
     names = files.written(searches.select("name").where("name is not null").distinct().withColumn("low", F.lower("name")), "names")
     stored = files.written(paths.select("path").distinct().withColumn("low", F.lower("path")), "paths")
-    ends = lambda asked: substrings.matches(stored, asked, "path", "low").join(stored, "path").where(F.endswith("low", "needle"))
+    # (written files look small beside what they hold: the joins sort rather than broadcast)
+    ends = lambda asked: substrings.matches(stored, asked, "path", "low").where(F.endswith(F.lower("path"), "needle"))
     exact = ends(names.select(F.col("low").alias("needle"))).groupBy("needle").agg(F.min("path").alias("path"))
-    exact = files.written(names.join(exact, F.col("low") == F.col("needle")).select("name", "path", F.lit(True).alias("exact")), "exact-names")
+    exact = files.written(names.join(exact.hint("merge"), F.col("low") == F.col("needle")).select("name", "path", F.lit(True).alias("exact")), "exact-names")
 
-    rest = files.written(names.join(exact, "name", "left_anti"), "other-names")
+    rest = files.written(names.join(exact.hint("merge"), "name", "left_anti"), "other-names")
     documents = stored.where(F.endswith("low", F.lit(".pdf")))
     forms = [
         (F.regexp_extract("low", r"(?s)^\d+_(.*)$", 1), None),
@@ -44,6 +45,6 @@ def find(searches: DataFrame, paths: DataFrame) -> DataFrame:
         asked = rest.select("name", needle.alias("needle"))
         hits = ends(asked) if texts is None else substrings.matches(texts, asked, "path", "low")
         shortest = hits.groupBy("needle").agg(F.min(F.struct(F.length("path").alias("size"), "path")).alias("e"))
-        one = asked.join(shortest, "needle").select("name", "e")
+        one = asked.join(shortest.hint("merge"), "needle").select("name", "e")
         best = one if best is None else best.unionByName(one)
     return exact.unionByName(best.groupBy("name").agg(F.min("e").alias("e")).select("name", F.col("e.path").alias("path"), F.lit(False).alias("exact")))

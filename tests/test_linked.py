@@ -25,6 +25,28 @@ def test_substrings_equal_brute_force(spark, monkeypatch):
     assert substrings.matches(t, n.limit(0), "id").isEmpty() and substrings.matches(t.limit(0), n, "id").isEmpty()
 
 
+def test_needles_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
+    """Written files are much smaller than what they hold, so that Spark's own choice took needles without number to the driver."""
+    monkeypatch.setattr(substrings, "BROADCAST_NEEDLES", 0)
+    texts = spark.createDataFrame([(i, f"orders/{i * 37}_SE_MS{i}_E.PDF".lower()) for i in range(300)], "id long, text string")
+    needles = spark.createDataFrame([(f"ms{i}_e.pdf",) for i in range(0, 600, 7)] + [("ms",), ("5_se_ms",)], "needle string")
+    found = substrings.matches(texts, needles, "id")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
+    want = {(i, x) for i, s in ((r.id, r.text) for r in texts.collect()) for (x,) in needles.collect() if x in s}
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_candidates_of_numbered_needles_grow_no_faster_than_texts(spark):
+    """Names that differ in a number alone share every trigram with a tenth of the texts or more."""
+    texts = spark.createDataFrame([(i, f"misc files/se_ms{i}_e.pdf") for i in range(20_000)], "key long, text string")
+    wanted = texts.where("key % 10 = 0").select(F.concat(F.lit("se_ms"), F.col("key"), F.lit("_e.pdf")).alias("needle"))
+    counts = spark.sparkContext.broadcast(substrings._counted(texts, [8]))
+    anchors = substrings._anchored(wanted, [8], counts)
+    words = spark.sparkContext.broadcast(substrings._looked_for(anchors))
+    pairs = substrings._candidates(texts, [8], words).join(anchors, "gram")
+    assert wanted.count() <= pairs.count() < 5 * texts.count()
+
+
 def plain_index(docs):
     out = {}
     for doc_id, text in docs:
