@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources import files
+
 DAY = 86_400_000_000  # microseconds
 LEAST_LEVEL = 20  # intervals below 2^20 microseconds share a level
+FEW = 64  # a key with so many intervals at most is joined whole
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, values: list[str], width: int = DAY) -> DataFrame:
@@ -38,9 +41,22 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, va
 def during(points: DataFrame, intervals: DataFrame, by: str, at: str, start: str, end: str) -> DataFrame:
     """Columns of points and of intervals (which don't share names but by) where the keys are equal and start <= at < end; a null end is open.
 
-    An interval's level is the power of two that it fits in, so it touches two bins of that size at most,
-    and a point looks into one bin of each level that occurs (45 at most). Nothing is enumerated by days; ends are compared exactly.
+    Points of a key with FEW intervals at most meet all of them. Beyond, an interval's level is the power of two that it fits in,
+    so it touches two bins of that size at most, and a point looks into one bin of each level that occurs (45 at most). Nothing
+    is enumerated by days; ends are compared exactly.
     """
+    hit = (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
+    whole = files.written(intervals.where(F.col(by).isNotNull()), "intervals")
+    crowded = files.written(whole.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select(by), "crowded-keys")
+    # (written files look small beside what they hold: the joins sort rather than broadcast)
+    direct = points.where(F.col(at).isNotNull()).join(whole.join(crowded.hint("merge"), by, "left_anti").hint("merge"), by).where(hit)
+    if crowded.isEmpty():
+        return direct
+    return direct.unionByName(_binned(points.join(crowded.hint("merge"), by, "left_semi"), whole.join(crowded.hint("merge"), by, "left_semi"), by, at, start, end))
+
+
+def _binned(points: DataFrame, intervals: DataFrame, by: str, at: str, start: str, end: str) -> DataFrame:
+    """during for keys with many intervals, by level and bin."""
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     most = 62
     length = micros(end) - micros(start)
