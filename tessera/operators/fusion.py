@@ -102,16 +102,28 @@ def greedy(df: DataFrame, k: int, relevance: float, most: int | None, kind: str)
         if kind == "mmr":
             x = np.array(pdf["embedding"].tolist(), float)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            near = x @ x.T
+            every = x @ x.T
+            near = lambda i: every[:, i]
         else:
-            sets = [set(w) for w in pdf["words"]]
-            near = np.array([[len(a & b) / max(1, len(a | b)) for b in sets] for a in sets])
-        score, left, chosen = pdf["score"].to_numpy(), list(range(len(pdf))), []
-        while left and len(chosen) < k:
-            close = near[np.ix_(left, chosen)].max(axis=1) if chosen else np.zeros(len(left))
-            value = relevance * score[left] - (1 - relevance) * close
-            best = int(np.argmax(np.round(value, 9)))
-            chosen.append(left.pop(best))
+            ids: dict = {}
+            sets = [np.unique(np.array([ids.setdefault(w, len(ids)) for w in words], np.int64)) for words in pdf["words"]]
+            x = np.zeros((len(sets), len(ids)))
+            for row, own in zip(x, sets, strict=True):
+                row[own] = 1
+            size = x.sum(axis=1)
+
+            def near(i):
+                both = x @ x[i]
+                return both / np.maximum(1, size + size[i] - both)
+
+        # only rows next to what is chosen are compared, once for each pick
+        score, free, close, chosen = pdf["score"].to_numpy(), np.arange(len(pdf)), None, []
+        while len(free) and len(chosen) < k:
+            value = relevance * score[free] - (1 - relevance) * (np.zeros(len(free)) if close is None else close[free])
+            best = int(free[np.argmax(np.round(value, 9))])
+            chosen.append(best)
+            free = free[free != best]
+            close = near(best) if close is None else np.maximum(close, near(best))
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[chosen].to_numpy(), "pick": np.arange(1, len(chosen) + 1), "chunk_id": pdf["chunk_id"].iloc[chosen].to_numpy()})
 
     return cut.groupBy("query_id").applyInPandas(pick, "query_id long, pick int, chunk_id long")
