@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 EXTENSIONS = ("pdf", "txt", "docx")
 PAYLOAD_CHARS = 8000
 MOST_BYTES = 10 * 1024 * 1024
+LINES = 100_000
 
 
 # fixed values: collections whose folders have another name, and what an upload may be
@@ -135,7 +136,8 @@ def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False, by: list[str] | None = None) -> None:
-    w = df.write.mode("append" if append else "overwrite")
+    """Compressed JSON lines; one such file is one task's to read, so files hold LINES lines at most."""
+    w = df.write.mode("append" if append else "overwrite").option("compression", "gzip").option("maxRecordsPerFile", LINES)
     (w.partitionBy(*by) if by else w).json(path)
 
 

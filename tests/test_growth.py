@@ -48,3 +48,14 @@ def test_brainstorm_compares_with_what_is_chosen_only(spark):
             chosen.append(best)
         want += [(q, r[1]) for r in chosen]
     assert got == want
+
+
+def test_json_lines_are_compressed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "LINES", 20)
+    df = spark.range(90).select("id", F.lit("é\n" * 1000).alias("text")).coalesce(1)
+    files.write_jsonl(df, str(tmp_path / "x"))
+    parts = list((tmp_path / "x").glob("part-*"))
+    assert len(parts) == 5 and all(p.name.endswith(".json.gz") for p in parts)
+    assert sum(p.stat().st_size for p in parts) < 90 * 100
+    back = spark.read.schema("id long, text string").json(str(tmp_path / "x"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
