@@ -41,18 +41,32 @@ def _target(kind: str, whole: str, group: str) -> str:
     return group.strip()
 
 
-def extract(docs: DataFrame) -> DataFrame:
-    """SCHEMA rows for (doc_id, text): matches need places in the text, so this is one Arrow pass over documents."""
-    compiled = {k: [re.compile(p, re.IGNORECASE) for p in ps] for k, ps in PATTERNS.items()}
+#: Letters that every match of a pattern holds in lower case, in the order of PATTERNS: a text without them needs no search.
+NEEDED = {
+    "supersedes": ["supersede", "in supersession of", "hereby"],
+    "amends": ["amend", "amendment", "amended"],
+    "cites": ["section|rule", "provides|states|mandates", "in terms of", "vide"],
+    "implements": ["implement", "in implementation of", "gives effect to"],
+    "governed_by": ["governed by", "under", "as per"],
+}
+
+
+def extract(docs: DataFrame, kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
+    """SCHEMA rows of these kinds for (doc_id, text): matches need places in the text, so this is one Arrow pass over documents."""
+    compiled = {k: [(re.compile(p, re.IGNORECASE), need.split("|")) for p, need in zip(PATTERNS[k], NEEDED[k], strict=True)] for k in PATTERNS if k in kinds}
 
     def find(batches):
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                place = 0
+                place, text = 0, text or ""
+                # (beyond ASCII a pattern without case also takes letters that lower() leaves as they are)
+                low = text.lower() if text.isascii() else None
                 for kind, patterns in compiled.items():
-                    for p in patterns:
-                        for m in p.finditer(text or ""):
+                    for p, need in patterns:
+                        if low is not None and not any(n in low for n in need):
+                            continue
+                        for m in p.finditer(text):
                             context = text[max(0, m.start() - CONTEXT) : m.end() + CONTEXT].strip()
                             rows.append((doc_id, kind, _target(kind, m.group(0), m.group(1)), CONFIDENCE[kind], context, place))
                             place += 1

@@ -31,8 +31,8 @@ _EXTRA = "concat(text, case when n % 4 = 0 then ' It is governed by the Public E
 _STD = rf"(select doc_id, n, true_vertical, regexp_replace({_EXTRA}, '(?i)(G\.?O\.?)\s*(MS|RT)\.\s*No\.?\s*', '\1\2No. ', 'g') as text from corpus)"
 
 
-def _relations(spark, d):
-    return relations.extract(corpus(spark, d).select("doc_id", relations.standard_go(F.expr(_EXTRA)).alias("text")))
+def _relations(spark, d, kinds=tuple(relations.PATTERNS)):
+    return relations.extract(corpus(spark, d).select("doc_id", relations.standard_go(F.expr(_EXTRA)).alias("text")), kinds)
 
 
 def _relation_sql(kind: str) -> str:
@@ -49,7 +49,7 @@ def _relation_sql(kind: str) -> str:
 
 
 for _i, _kind in enumerate(relations.PATTERNS, 1):
-    QUERIES[f"R{_i}_{_kind}"] = lambda spark, d, kind=_kind: _relations(spark, d).where(F.col("relation_type") == kind).select("source_id", "target", "confidence")
+    QUERIES[f"R{_i}_{_kind}"] = lambda spark, d, kind=_kind: _relations(spark, d, (kind,)).select("source_id", "target", "confidence")
     ORACLE[f"R{_i}_{_kind}"] = oracle(_relation_sql(_kind))
 _all_relations = " union all ".join(f"select source_id, '{k}' as relation_type, target, confidence from ({_relation_sql(k)})" for k in relations.PATTERNS)
 _priority_sql = "case " + " ".join(f"when relation_type = '{k}' then {v}" for k, v in relations.PRIORITY.items()) + " else 0 end"
@@ -67,7 +67,7 @@ def worth(spark, d):
 
 def _superseded(spark, d):
     docs = corpus(spark, d).select("doc_id", F.col("n").cast("string").alias("go_number"))
-    return relations.supersession_map(docs, _relations(spark, d))
+    return relations.supersession_map(docs, _relations(spark, d, ("supersedes",)))
 
 
 _SUPERSESSION = f"select c.doc_id, max(r.source_id) as superseded_by from ({_relation_sql('supersedes')}) r join corpus c on c.n = cast(regexp_extract(r.target, '(\\d+)', 1) as bigint) where c.doc_id <> r.source_id group by c.doc_id"

@@ -59,3 +59,14 @@ def test_json_lines_are_compressed(spark, tmp_path, monkeypatch):
     assert sum(p.stat().st_size for p in parts) < 90 * 100
     back = spark.read.schema("id long, text string").json(str(tmp_path / "x"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_relations_of_some_kinds_and_without_needless_searches(spark, monkeypatch):
+    texts = ["It AMENDS G.O.Ms No. 5 and Rule 7 are hereby amended", "ſuperſedes GO No 9. vide 12", "in supersession of 4; in terms of Section 3; Rule 2 mandates", "governed by the Service Conduct Rule; under the Public Education Act", "gives effect to Section 8, implementing the Fee Policy", "", None, "In partial amendment of 66. As per Rule 5"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    every = sorted(map(tuple, relations.extract(docs).drop("place").collect()))
+    assert {r[1] for r in every} == set(relations.PATTERNS)
+    for kind in relations.PATTERNS:
+        assert sorted(map(tuple, relations.extract(docs, (kind,)).drop("place").collect())) == [r for r in every if r[1] == kind]
+    monkeypatch.setattr(relations, "NEEDED", {k: [""] * len(ps) for k, ps in relations.PATTERNS.items()})
+    assert sorted(map(tuple, relations.extract(docs).drop("place").collect())) == every
