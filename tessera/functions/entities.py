@@ -81,10 +81,12 @@ def acts(text: Column) -> Column:
     return F.slice(tidy(F.filter(_stripped(every(text, ACT)), good)), 1, 10)
 
 
-def all_entities(text: Column) -> Column:
-    """map of entity type to values, types without values left out."""
-    kinds = {"go_numbers": go_numbers, "sections": sections, "rules": rules, "dates": dates, "departments": departments, "schemes": schemes, "years": years, "acts": acts}
-    whole = F.create_map(*[x for k, f in kinds.items() for x in (F.lit(k), f(text))])
+KINDS = {"go_numbers": go_numbers, "sections": sections, "rules": rules, "dates": dates, "departments": departments, "schemes": schemes, "years": years, "acts": acts}
+
+
+def all_entities(text: Column, kinds: tuple[str, ...] = tuple(KINDS)) -> Column:
+    """map of entity type to values, of these types, those without values left out."""
+    whole = F.create_map(*[x for k in kinds for x in (F.lit(k), KINDS[k](text))])
     return F.map_filter(whole, lambda k, v: F.size(v) > 0)
 
 

@@ -163,7 +163,7 @@ entity("E8_acts", entities.acts, "list_slice(" + _sorted_sql(f"list_filter({_str
     select kind, count(*) as n, count(distinct value) as different from e group by kind""",
 )
 def entity_counts(spark, d):
-    rows = corpus(spark, d).select(F.explode(entities.all_entities(F.col("text"))).alias("kind", "values")).where("kind in ('go_numbers', 'dates', 'years')")
+    rows = corpus(spark, d).select(F.explode(entities.all_entities(F.col("text"), ("go_numbers", "dates", "years"))).alias("kind", "values"))
     return rows.select("kind", F.explode("values").alias("value")).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("value").alias("different"))
 
 

@@ -70,3 +70,8 @@ def test_relations_of_some_kinds_and_without_needless_searches(spark, monkeypatc
         assert sorted(map(tuple, relations.extract(docs, (kind,)).drop("place").collect())) == [r for r in every if r[1] == kind]
     monkeypatch.setattr(relations, "NEEDED", {k: [""] * len(ps) for k, ps in relations.PATTERNS.items()})
     assert sorted(map(tuple, relations.extract(docs).drop("place").collect())) == every
+
+
+def test_only_the_kinds_that_are_counted_are_looked_for(spark):
+    plan = QUERIES["E9_E12_entity_counts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Ministry" not in plan and "Abhiyan" not in plan
