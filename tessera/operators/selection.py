@@ -20,18 +20,17 @@ def cover_categories(df: DataFrame, k: int = 20, minimum: int = 1, weight: float
     # a category's own picks lie among its best: at most all categories' picks may be taken before it
     best = each.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "place").orderBy(*by_score))).where(F.col("r") <= F.col("n") * minimum)
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for _, group in pdf.sort_values(["place", "r"]).groupby("place", sort=True):
-            taken = 0
-            for c in group["chunk_id"]:
-                if taken < minimum and len(out) < k and c not in used:
-                    used.add(c)
-                    out.append(c)
-                    taken += 1
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[:1].repeat(len(out)).to_numpy(), "chunk_id": out, "pick": range(1, len(out) + 1)}).astype({"pick": "int32", "chunk_id": "int64"})
+    # category by category, results that none before has taken
+    none = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(-1).alias("place"), F.lit(0).alias("taken"))
 
-    picks = best.select("query_id", "chunk_id", "place", "r").groupBy("query_id").applyInPandas(first, "query_id long, chunk_id long, pick int")
+    def take(s, e):
+        taken = F.when(s["place"] == e["place"], s["taken"]).otherwise(0)
+        fits = (taken < minimum) & (F.size(s["out"]) < k) & ~F.array_contains(s["out"], e["chunk_id"])
+        return F.struct(F.when(fits, F.array_append(s["out"], e["chunk_id"])).otherwise(s["out"]).alias("out"), e["place"].alias("place"), F.when(fits, taken + 1).otherwise(taken).alias("taken"))
+
+    entries = F.array_sort(F.collect_list(F.struct("place", "r", F.col("chunk_id").cast("long").alias("chunk_id"))))
+    taken = best.groupBy("query_id").agg(entries.alias("entries")).select("query_id", F.aggregate("entries", none, take, lambda s: s["out"]).alias("out"))
+    picks = taken.select("query_id", F.posexplode("out").alias("pick", "chunk_id")).withColumn("pick", F.col("pick") + 1)
     marked = df.join(picks, ["query_id", "chunk_id"], "left")
     chosen = F.collect_list(F.when(F.col("pick").isNotNull(), F.col("vertical"))).over(Window.partitionBy("query_id"))
     bonus = F.aggregate("assigned", F.lit(0.0), lambda s, c: s + F.when(F.size(F.filter("_chosen", lambda v: v == c)) == 0, 0.3).when(F.size(F.filter("_chosen", lambda v: v == c)) == 1, 0.1).otherwise(0.0))

@@ -75,3 +75,8 @@ def test_relations_of_some_kinds_and_without_needless_searches(spark, monkeypatc
 def test_only_the_kinds_that_are_counted_are_looked_for(spark):
     plan = QUERIES["E9_E12_entity_counts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Ministry" not in plan and "Abhiyan" not in plan
+
+
+def test_categories_are_covered_without_python(spark):
+    plan = QUERIES["F24_category_coverage"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan
