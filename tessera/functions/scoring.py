@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.rewriting import bound
+
 # fixed values: weights and boosts
 RELATION_WEIGHTS = {"amends": 0.7, "implements": 0.4, "cites": 0.2, "governed_by": 0.3, "supersedes": -1.0}
 SECTION_BOOSTS = {"orders": 1.3, "order": 1.3, "content": 1.2, "annexure": 1.0, "preamble": 0.85, "table": 0.95}
@@ -66,8 +68,11 @@ def word_set(text: Column) -> Column:
 
 def term_overlap(query: Column, text: Column) -> Column:
     """Jaccard of the word sets."""
-    q, t = word_set(query), word_set(text)
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, t)) / F.size(F.array_union(q, t)))
+    # (each set is made once; in a branch Spark would make it for each use)
+    known = F.struct(word_set(query).alias("q"), word_set(text).alias("t"))
+    sized = lambda s: F.struct(F.size(s["q"]).alias("q"), F.size(s["t"]).alias("t"), F.size(F.array_intersect(s["q"], s["t"])).alias("both"))
+    share = lambda n: F.when(n["q"] == 0, 0.0).otherwise(n["both"] / (n["q"] + n["t"] - n["both"]))
+    return bound(bound(known, sized), share)
 
 
 def metadata_relevance(matched: Column, filters: Column) -> Column:

@@ -80,3 +80,8 @@ def test_only_the_kinds_that_are_counted_are_looked_for(spark):
 def test_categories_are_covered_without_python(spark):
     plan = QUERIES["F24_category_coverage"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "InPandas" not in plan
+
+
+def test_word_sets_are_made_once(spark):
+    plan = QUERIES["B24_term_overlap"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2  # five before
