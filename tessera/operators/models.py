@@ -124,8 +124,8 @@ def _or(made: Column, spare: Column) -> Column:
 def lite(text: Column, dims: int = 64) -> Column:
     """A unit vector of normally distributed components that the text's SHA-256 fixes: equal texts, equal vectors; null for null and blank texts."""
     part = lambda s, at: F.conv(F.substring(s, at, 8), 16, 10).cast("double")
-    digest = F.sha2(text, 256)
-    keys = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.sha2(F.concat(digest, F.lit(":"), i.cast("string")), 256))
+    # (the digest stands outside of the list, or the whole text would be hashed for each component)
+    keys = rewriting.bound(F.sha2(text, 256), lambda digest: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.sha2(F.concat(digest, F.lit(":"), i.cast("string")), 256)))
     normal = F.transform(keys, lambda s: F.sqrt(-2.0 * F.log((part(s, 1) + 1.0) / 4294967296.0)) * F.cos(2.0 * F.pi() * part(s, 9) / 4294967296.0))
     # the vector and its length stand in a struct, so that neither is worked out once for each component
     sized = F.transform(F.array(normal), lambda v: F.struct(v.alias("v"), vectors.norm(v).alias("n")))

@@ -85,3 +85,8 @@ def test_categories_are_covered_without_python(spark):
 def test_word_sets_are_made_once(spark):
     plan = QUERIES["B24_term_overlap"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 2  # five before
+
+
+def test_texts_are_hashed_once_for_all_components(spark):
+    plan = QUERIES["V1_V6_lite_embeddings"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat(sha2(" not in plan
