@@ -40,6 +40,8 @@ ABOUT_CLAUSES = r"\b(?:section|clause|article|rule|sub-rule|amendment|act|regula
 CLAUSE_WORDS = ["section", "article", "rule", "clause", "act", "rte", "cce", "apsermc"]
 SCANNED = {"section": r"(\d+)", "rule": r"(\d+)", "article": r"(\d+\w*)"}
 AROUND, MOST = 100, 5
+#: Texts that a task of the index reads on average, so that its memory doesn't grow with the table.
+TEXTS = 20_000
 
 
 def act_of(low: Column) -> Column:
@@ -54,6 +56,9 @@ def index(docs: DataFrame) -> DataFrame:
     confidence, ties by the smallest doc_id. doc_ids are distinct. Null and empty texts have no mentions.
     """
     low = F.lower("text")
+    # dealt by document first: small files would give a single task all patterns, and the steps by doc_id need no other shuffle
+    tasks = max(3 * docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // TEXTS))
+    docs = docs.select("doc_id", "text").where(low.rlike("|".join(KEYED))).repartition(tasks, "doc_id")
 
     def mentioned(kind: str, number: str) -> Column:
         plain = rf"\b{kind}\s+{number}"

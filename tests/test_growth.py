@@ -1,6 +1,7 @@
 """What must not grow faster than the input: joins by time, picks, written lines, searches for relations and entities, sets of words."""
 
 import random
+import re
 import time
 from datetime import datetime, timedelta
 
@@ -90,3 +91,17 @@ def test_word_sets_are_made_once(spark):
 def test_texts_are_hashed_once_for_all_components(spark):
     plan = QUERIES["V1_V6_lite_embeddings"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "concat(sha2(" not in plan
+
+
+def test_clause_index_is_dealt_by_document(spark, monkeypatch):
+    from tessera.operators import clauses
+
+    monkeypatch.setattr(clauses, "TEXTS", 2)
+    texts = [(f"d{i:03}", f"Section {i % 7} of the RTE Act" if i % 2 else "nothing") for i in range(200)] + [("null", None), ("upper", "RULE 5 and sub-rule 6"), ("none", "a rule without number")]
+    out = clauses.index(spark.createDataFrame(texts, "doc_id string, text string").coalesce(1))
+    # one file's texts are read by 102 tasks, and the window and the grouping by document deal them no second time
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\((\w+?)#\d+\S*, (\d+)\)", plan).count(("doc_id", "102")) == 1
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1
+    got = {r.key: r.doc_id for r in out.collect()}
+    assert got == {"rte section 1": "d001", "rte section 3": "d003", "rte section 5": "d005", "rte section 0": "d007", "rte section 2": "d009", "rte section 4": "d011", "rte section 6": "d013", "rule 5": "upper", "rule 6": "upper", "sub-rule 6": "upper"}
