@@ -102,14 +102,12 @@ def _one_of(low: Column, words: list[str]) -> Column:
 
 
 def is_technology(query: Column) -> Column:
-    low = F.lower(query)
-    return _one_of(low, AI_SIGNS) & (_one_of(low, CURRICULUM_SIGNS) | low.contains("integration"))
+    return bound(F.lower(query), lambda low: _one_of(low, AI_SIGNS) & (_one_of(low, CURRICULUM_SIGNS) | low.contains("integration")))
 
 
 def technology_terms(query: Column, found: Column, most: int) -> Column:
     """The fixed terms and what was found, without those in the query; fewest words first, then shortest, twice as many as usual."""
-    low = F.lower(query)
-    every = F.filter(F.concat(F.array(*map(F.lit, AI_TERMS)), found), lambda t: ~low.contains(F.lower(t)))
+    every = bound(F.lower(query), lambda low: F.filter(F.concat(F.array(*map(F.lit, AI_TERMS)), found), lambda t: ~low.contains(F.lower(t))))
     keyed = F.transform(every, lambda t, i: F.struct(F.size(F.split(t, " ")).alias("words"), F.length(t).alias("n"), i.alias("i"), t.alias("t")))
     return F.slice(F.transform(F.array_sort(keyed), lambda s: s["t"]), 1, 2 * most)
 
@@ -123,7 +121,7 @@ def expand_query(queries: DataFrame, dictionary: DataFrame, most: int | Column =
     most = F.lit(most) if isinstance(most, int) else most
     query = F.coalesce(F.col(text), F.lit(""))
     terms = F.when(is_technology(query), technology_terms(query, F.col("found"), most)).otherwise(F.slice("found", 1, most))
-    return expansions(queries, dictionary, text, limit).withColumn("expanded", appended(query, terms)).drop("found")
+    return expansions(queries, dictionary, text, limit).withColumn("expanded", bound(terms, lambda kept: appended(query, kept))).drop("found")
 
 
 def expand_with_categories(queries: DataFrame, dictionary: DataFrame, categories: str = "categories", text: str = "query", most: int = 10) -> DataFrame:

@@ -8,7 +8,7 @@ from tessera.functions import normalizer, rewriting
 from tessera.functions import vocabulary as words
 from tessera.operators import expansion
 from tessera.plans.query_queries import ASKED_SQL, asked
-from tessera.sources.tables import corpus, load, oracle
+from tessera.sources.tables import CORPUS_SQL, load, oracle
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -286,7 +286,8 @@ def understood(queries, entries, most: int = 3, qa: bool = False):
     own = F.array(F.struct(F.lit("normalized").alias("origin"), F.col("query").alias("text")))
     made = F.transform(rewriting.rewrites(F.col("query"), 1 if qa else most), lambda r: F.struct(r["domain"].alias("origin"), r["text"].alias("text")))
     named = F.transform(context_entities(F.coalesce(F.col("context"), F.lit(""))), lambda e: F.struct(F.lit("context").alias("origin"), e.alias("text")))
-    each = normal.select("query_id", F.posexplode(F.concat(own, made, named)).alias("place", "one")).select("query_id", "place", "one.origin", F.col("one.text").alias("rewrite"))
+    # (no list is empty; without _outer Spark would add a filter that computes every list twice more)
+    each = normal.select("query_id", F.posexplode_outer(F.concat(own, made, named)).alias("place", "one")).select("query_id", "place", "one.origin", F.col("one.text").alias("rewrite"))
     return expansion.expand_query(each, entries, 3 if qa else 10 if most >= 5 else 8, "rewrite")
 
 
@@ -302,8 +303,11 @@ def _understood_sql(most: int, cap: int) -> str:
 
 
 def _with_context(spark, d):
-    texts = corpus(spark, d).select(F.col("n").cast("long").alias("query_id"), F.col("text").alias("context"))
-    return questions(spark, d).join(texts, "query_id", "left")
+    # texts are made of the orders that questions name, so that the others' are neither shuffled nor broadcast; then dealt, since the join may leave few tasks
+    every = questions(spark, d)
+    named = load(spark, d, "orders").join(every.select(F.col("query_id").alias("o_orderkey")), "o_orderkey", "left_semi")
+    texts = spark.sql(CORPUS_SQL, orders=named).select(F.col("n").cast("long").alias("query_id"), F.col("text").alias("context"))
+    return every.join(texts, "query_id", "left").repartition(3 * spark.sparkContext.defaultParallelism)
 
 
 @query("Q13_understood", _understood_sql(3, 8))

@@ -105,3 +105,22 @@ def test_clause_index_is_dealt_by_document(spark, monkeypatch):
     assert plan.count("Exchange hashpartitioning(doc_id") == 1
     got = {r.key: r.doc_id for r in out.collect()}
     assert got == {"rte section 1": "d001", "rte section 3": "d003", "rte section 5": "d005", "rte section 0": "d007", "rte section 2": "d009", "rte section 4": "d011", "rte section 6": "d013", "rule 5": "upper", "rule 6": "upper", "sub-rule 6": "upper"}
+
+
+def test_contexts_are_made_of_named_orders_only(spark, monkeypatch):
+    from tessera.operators import expansion
+    from tessera.plans import understanding_queries as understanding
+
+    asked = understanding._with_context(spark, SF)
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan  # every order's text was made, and went to the join
+    assert plan.startswith("Repartition")
+    ids = {r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
+    got = asked.select("query_id", F.col("context").isNotNull().alias("has")).collect()
+    assert len(got) == understanding.questions(spark, SF).count()
+    assert all(r.has == (r.query_id in ids) for r in got)
+    # letters are lowered once, not for each sign
+    one = spark.createDataFrame([("AI in the school curriculum",), (None,), ("a road",)], "query string")
+    out = one.select(expansion.is_technology(F.col("query")).alias("t"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [r.t for r in out.collect()] == [True, None, False]
