@@ -409,8 +409,8 @@ def _short_bitmaps(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(short, pa.binary())], names=["doc_id", "bits"])
 
 
-def open_tiles(tiles: DataFrame, labels: DataFrame, sigs: DataFrame, best: bool) -> DataFrame:
-    """Pairs of unconnected documents in the large groups that pass the bounds; with best, a document's best one in each other component."""
+def open_tiles(tiles: DataFrame, labels: DataFrame, sigs: DataFrame, best: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of unconnected documents in the large groups that pass the bounds; with best, a document's best one in each other component. With them, the tables to release afterwards."""
     rows = tiles.select(F.col("x").alias("key"), F.col("y").alias("doc_id"), "n").distinct()
     rows = rows.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     # no pair inside a group's largest component is open, so its documents meet only the group's other ones
@@ -418,11 +418,13 @@ def open_tiles(tiles: DataFrame, labels: DataFrame, sigs: DataFrame, best: bool)
     several = sizes.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
     w = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9).cast("long")
     rows = rows.join(several.select("key", "main"), "key").select("key", "doc_id", "n", "component", (F.col("component") != F.col("main")).alias("other"), w.alias("band"))
-    counts = rows.groupBy("key", "band", "other").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("parts"))
+    # these are read several times below: written once, the joins before them aren't made again
+    rows = materialize(rows, "open-rows")
+    counts = materialize(rows.groupBy("key", "band", "other").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("parts")), "tile-parts")
     # tile (key, band): the band's other documents on the left; on the right other documents of this band and the next, and the largest component's of these and the band below
     lefts = counts.where("other").select("key", "band", F.col("parts").alias("left_parts"))
     bands = F.when(F.col("other"), F.expr("array(band, band - 1)")).otherwise(F.expr("array(band, band - 1, band + 1)"))
-    meets = counts.select("key", "other", F.col("band").alias("from"), "parts", F.explode(bands).alias("band")).join(lefts, ["key", "band"])
+    meets = materialize(counts.select("key", "other", F.col("band").alias("from"), "parts", F.explode(bands).alias("band")).join(lefts, ["key", "band"]), "tile-meets")
     own = rows.join(counts, ["key", "band", "other"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     # a left document goes to each right part of its tile, a right one to each left part; two parts of the same documents meet once
     same = F.col("other") & (F.col("from") == F.col("band"))
@@ -475,7 +477,7 @@ def open_tiles(tiles: DataFrame, labels: DataFrame, sigs: DataFrame, best: bool)
         if found:
             yield flush(found)
 
-    return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "a long, b long").distinct()
+    return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "a long, b long").distinct(), [rows, counts, meets]
 
 
 def join_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -502,7 +504,9 @@ def _join_components(docs: DataFrame, words: int) -> DataFrame:
     labels = components(copies.unionByName(found))
     tiles = groups.where("kind = 1")
     for best in (True, False):
-        open_pairs = materialize(bounded_pairs(open_tiles(tiles, labels, sigs, best), sigs), "open-pairs")
+        met, held = open_tiles(tiles, labels, sigs, best)
+        open_pairs = materialize(bounded_pairs(met, sigs), "open-pairs")
+        release(*held)
         if open_pairs.isEmpty():
             release(open_pairs)
             break

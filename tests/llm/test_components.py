@@ -28,3 +28,12 @@ def test_components(spark, monkeypatch):
     for edges in ([], [(1, 1)], chain, star, noise, chain + star + noise + noise):
         df = spark.createDataFrame(edges, "a long, b long").repartition(5)
         assert sorted(tuple(r) for r in module.components(df).collect()) == plain(edges)
+
+
+def test_small_graph_is_settled_at_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(module, "materialize", lambda df, name, write=module.materialize: written.append(name) or write(df, name))
+    edges = [(i, i + 1) for i in range(100, 300)] + [(7, 7), (5, 300)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    assert sorted(tuple(r) for r in module.components(df).collect()) == plain(edges)
+    assert written == ["edges", "components"]

@@ -104,3 +104,16 @@ def test_empty_and_null_ids(spark):
     assert ngramjoin.join_components(spark.createDataFrame([], schema)).collect() == []
     out = ngramjoin.join_components(spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "x y z q r s"), (5, "x y z q r s")], schema)).collect()
     assert sorted(((r.doc_id or 0), r.component_id or 0) for r in out) == [(0, 0), (4, 4), (4, 4), (5, 4)]
+
+
+def test_open_tiles_deal_rows_once(spark):
+    tiles = spark.createDataFrame([(7, d, 100 + d) for d in range(40)], "x long, y long, n long")
+    labels = spark.createDataFrame([(d, 0) for d in range(30)], "id long, component long")
+    bits = bytes(64)
+    sigs = spark.createDataFrame([(d, 100 + d, bytearray(bits)) for d in range(40)], "doc_id long, n int, bits binary")
+    pairs, held = ngramjoin.open_tiles(tiles, labels, sigs, False)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 6
+    got = {tuple(r) for r in pairs.collect()}
+    assert got == {(a, b) for b in range(30, 40) for a in range(b) if (100 + a) * 4 >= (100 + b) * 3}
+    ngramjoin.release(*held)
